@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import mixing, sharding
+from quarry.llm import bpe, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rank_file(path: str | None = None) -> bytes:
+    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        return f.read()
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN, digests=True)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -19,7 +29,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op6_mixing)}
+QUERIES = {f.__name__: f for f in (op3_bpe, op5_sharding, op6_mixing)}
 
 ORACLE_SQL = {
     "op6_mixing": r"""
