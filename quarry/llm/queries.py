@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, mixing, sharding
+from quarry.llm import bpe, media, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op5_sharding, op6_mixing)}
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length", "width", "height", "bits"]
+    return media.media_columns(table(spark, sf_dir, "documents")).select(*cols)
+
+
+QUERIES = {f.__name__: f for f in (op3_bpe, op5_sharding, op6_mixing, op7_media)}
 
 ORACLE_SQL = {
     "op6_mixing": r"""
