@@ -5,13 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, media, mixing, sharding
+from quarry.llm import bpe, media, mixing, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def rank_file(path: str | None = None) -> bytes:
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         return f.read()
@@ -34,7 +42,7 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents")).select(*cols)
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op5_sharding, op6_mixing, op7_media)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_bpe, op5_sharding, op6_mixing, op7_media, op8_quality)}
 
 ORACLE_SQL = {
     "op6_mixing": r"""
