@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, media, mixing, quality, sharding, toxicity
+from quarry.llm import ann, bpe, media, mixing, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +42,11 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents")).select(*cols)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_bpe, op5_sharding, op6_mixing, op7_media, op8_quality)}
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_bpe, op5_sharding, op6_mixing, op7_media, op8_quality, op9_ann)}
 
 ORACLE_SQL = {
     "op6_mixing": r"""
