@@ -7,9 +7,9 @@ is cut into blocks of bounded size, one binary row a block. Every valid row is i
 Search: a query goes to the lists whose directions are nearest to it; how many is tuned on the sample so
 that these lists hold 98 % of the sample's true neighbours. Queries of one list are packed, and each pack
 meets each block of its list once. There vectors are rotated at random and scanned in blocks of columns:
-after each block a candidate whose partial product plus RISK standard deviations of the rest stays below
-the query's bound is abandoned. The bound is the k-th best exact product among the candidates that
-lead after the first block. What is left is scored in double precision on the original vectors.
+after each block a candidate is abandoned whose partial squared distance, as a sample of the whole, says at
+risk RISK that its product stays below the query's bound. The bound is the k-th best exact product among the LEAD * k
+candidates that lead after the first block. What is left is scored in double precision on the original vectors.
 
 Defined cases: rows whose id or vector is null, whose vector is zero, or has a null or non-finite
 component take no part, as query or candidate; nor do vectors of another length than the most frequent
@@ -32,7 +32,9 @@ from quarry.plans.shared import materialize
 SAMPLE, TUNE = 20_000, 400  #: vectors that fit the directions; queries of these that tune the probes
 LISTS_MOST, BLOCK, PACK = 4_096, 1_024, 256
 COLUMNS = 16  #: dimensions of a column block
-RISK, COVER, SEED = 4.0, 0.98, 11
+RISK, LEAD = 1.2, 6  #: of the tests; candidates per result that set the bound
+SLACK = 1e-5  #: for single precision, of the squared norms
+COVER, SEED = 0.98, 11
 
 
 def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -76,26 +78,32 @@ def scan(q: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.nda
     qr, xr = (q @ turn).astype(np.float32), (x @ turn).astype(np.float32)
     d = q.shape[1]
     edges = [*range(0, d, COLUMNS), d]
-    rest = lambda m: np.sqrt(np.maximum(0, (m.astype(np.float64) ** 2)[:, ::-1].cumsum(1)[:, ::-1])).astype(np.float32)  # noqa: E731  norm of columns from i on
-    qn, xn = rest(qr), rest(xr)
+    upto = lambda m: np.concatenate([np.zeros((len(m), 1)), (m.astype(np.float64) ** 2).cumsum(1)], axis=1).astype(np.float32)  # noqa: E731  squared norm of the first columns
+    qn, xn = upto(qr), upto(xr)
     part = qr[:, : edges[1]] @ xr[:, : edges[1]].T
-    k = min(k, len(x))
-    lead = np.argpartition(-part, k - 1, axis=1)[:, :k]
-    bound = np.einsum("qkd,qd->qk", x[lead], q).min(1)
-    bound -= 1e-5 * np.abs(bound) + 1e-5 * qn[:, 0] * xn[:, 0].max()  # single precision
-    i = j = None
-    for n, a in enumerate(edges[1:-1]):
-        if n:
-            part += np.einsum("nd,nd->n", qr[i, edges[n] : a], xr[j, edges[n] : a])
-        left = RISK / np.sqrt(d - a)
+    k, lead = min(k, len(x)), min(LEAD * k, len(x))
+    first = np.argpartition(-part, lead - 1, axis=1)[:, :lead]
+    bound = np.partition(np.einsum("qkd,qd->qk", x[first], q), lead - k, axis=1)[:, lead - k]
+    i, j = np.nonzero(np.ones_like(part, bool)) if len(edges) == 2 else (None, None)
+    if i is not None:
+        part = part[i, j]
+    for n, a in enumerate(edges[1:]):
+        # Of a random rotation's first a columns, squared distances are a/d of the whole within this factor but for
+        # a small risk; of all columns, they are exact but for single precision.
+        grow = np.float32(a / d * (1 + RISK / np.sqrt(a)) ** 2 if a < d else 1)
         if i is None:
-            i, j = np.nonzero(part + (left * qn[:, a])[:, None] * xn[:, a][None] >= bound[:, None])
+            far = (qn[:, d] - 2 * bound)[:, None] + xn[:, d][None]  # squared distance at the bound
+            near = qn[:, a][:, None] + xn[:, a][None] - 2 * part
+            i, j = np.nonzero(near <= grow * far + SLACK * (qn[:, d][:, None] + xn[:, d][None]))
             part = part[i, j]
-        else:
-            stay = part + left * qn[i, a] * xn[j, a] >= bound[i]
-            i, j, part = i[stay], j[stay], part[stay]
-    if i is None:
-        i, j = np.nonzero(part >= bound[:, None])
+            continue
+        if n:
+            cols = slice(edges[n], a)
+            dense = len(i) * 4 > len(q) * len(x)
+            part += (qr[:, cols] @ xr[:, cols].T)[i, j] if dense else np.einsum("nd,nd->n", qr[i, cols], xr[j, cols])
+        far = qn[i, d] - 2 * bound[i] + xn[j, d]
+        stay = qn[i, a] + xn[j, a] - 2 * part <= grow * far + SLACK * (qn[i, d] + xn[j, d])
+        i, j, part = i[stay], j[stay], part[stay]
     return i, j
 
 
