@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ann, bpe, media, mixing, quality, sharding, toxicity
+from quarry.llm import ann, bpe, media, mixing, neardup, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def rank_file(path: str | None = None) -> bytes:
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         return f.read()
@@ -46,7 +50,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_bpe, op5_sharding, op6_mixing, op7_media, op8_quality, op9_ann)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op3_bpe, op5_sharding, op6_mixing, op7_media, op8_quality, op9_ann)}
 
 ORACLE_SQL = {
     "op6_mixing": r"""
