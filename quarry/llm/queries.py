@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ann, bpe, media, mixing, neardup, quality, sharding, toxicity
+from quarry.llm import ann, bpe, media, mixing, neardup, quality, sharding, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN, digests=True)
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op3_bpe, op5_sharding, op6_mixing, op7_media, op8_quality, op9_ann)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op3_bpe, op4_substring, op5_sharding, op6_mixing, op7_media, op8_quality, op9_ann)}
 
 ORACLE_SQL = {
     "op6_mixing": r"""
