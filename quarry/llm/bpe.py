@@ -233,27 +233,28 @@ def runs(texts: list[str | None]) -> Iterator[list[str]]:
         yield run
 
 
-def encode(docs: DataFrame, content: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """id, n_tokens and ids (array<int>) or, with ``digests``, the SHA-256 of the joined ids and of the decoded bytes."""
+def encode(docs: DataFrame, content: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, lists: bool = True) -> DataFrame:
+    """id, n_tokens and, with ``lists``, ids (array<int>) and, with ``digests``, the SHA-256 of the joined ids and of the decoded bytes."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
+    extra = [("ids", "array<int>", pa.list_(pa.int32()))] * lists + [("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())] * digests
+    schema = f"`{id_col}` {id_type}, n_tokens long, " + ", ".join(f"{name} {kind}" for name, kind, _ in extra)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.get(content, pattern)
         for batch in batches:
-            n, a, b = [], [], []
+            n, cols = [], [[] for _ in extra]
             for run in runs(batch.column(1).to_pylist()):
                 codec.learn(run)
                 for text in run:
                     ids, decoded = codec.run(text)
                     n.append(ids.count(" ") + 1 if ids else 0)
+                    if lists:
+                        cols[0].append(np.array(ids.split(), np.int32))
                     if digests:
-                        a.append(hashlib.sha256(ids.encode()).hexdigest())
-                        b.append(hashlib.sha256(decoded).hexdigest())
-                    else:
-                        a.append([int(x) for x in ids.split()])
-            cols = [batch.column(0), pa.array(n, pa.int64())] + ([pa.array(a, pa.string()), pa.array(b, pa.string())] if digests else [pa.array(a, pa.list_(pa.int32()))])
-            yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens"] + (["ids_sha256", "decoded_sha256"] if digests else ["ids"]))
+                        cols[-2].append(hashlib.sha256(ids.encode()).hexdigest())
+                        cols[-1].append(hashlib.sha256(decoded).hexdigest())
+            arrays = [pa.array(c, kind) for c, (*_, kind) in zip(cols, extra, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *arrays], names=[id_col, "n_tokens", *(name for name, *_ in extra)])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, schema)
 

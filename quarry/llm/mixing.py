@@ -73,23 +73,43 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return found
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
-    """One row per document: id, size, source_size, target, times, taken (= size * times)."""
-    slim = materialize(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1")).alias("src"),  # "1": null, after all others
-            word_count(F.col(text_col)).alias("size"),
-            F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, DIGITS).alias("pos"),
-        ),
-        "mix-rows",
-    )
+def positions(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs with __src (a key for its source, null last), __size and __pos."""
+    src = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
+    pos = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, DIGITS)
+    return docs.withColumns({"__src": src, "__size": word_count(F.col(text_col)), "__pos": pos})
+
+
+def plan(slim: DataFrame, weights: tuple[int, ...], share: float, cap: int) -> DataFrame:
+    """(src, size, pos) -> a row a source: source_size, target, whole, cut, take_cut."""
     sizes = slim.groupBy("src").agg(F.sum("size").alias("source_size"))
     goal = materialize(targets(sizes, weights, share, cap), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.withColumn("whole", whole)
-    cuts = thresholds(slim.drop("id"), goal.select("src", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")))
-    plan = goal.join(cuts, "src", "left")
-    extra = (F.col("pos") < F.col("cut")) | ((F.col("pos") == F.col("cut")) & F.col("take_cut"))
-    times = F.col("whole") + F.when(F.col("cut").isNotNull() & extra, 1).otherwise(0)
-    return slim.join(plan, "src").select(F.col("id").alias(id_col), "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
+    cuts = thresholds(slim, goal.select("src", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")))
+    return materialize(goal.join(cuts, "src", "left"), "mix-plan")
+
+
+def times(prefix: str = ""):
+    """How often the mix takes a row at ``pos``, from its source's plan."""
+    pos, cut, whole, take_cut = (F.col(prefix + c) for c in ("pos", "cut", "whole", "take_cut"))
+    extra = (pos < cut) | ((pos == cut) & take_cut)
+    return whole + F.when(cut.isNotNull() & extra, 1).otherwise(0)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """One row per document: id, size, source_size, target, times, taken (= size * times)."""
+    rows = positions(docs.select(id_col, text_col, source_col), id_col, text_col, source_col)
+    slim = materialize(rows.select(F.col(id_col).alias("id"), F.col("__src").alias("src"), F.col("__size").alias("size"), F.col("__pos").alias("pos")), "mix-rows")
+    by_source = plan(slim.drop("id"), weights, share, cap)
+    taken = slim.join(by_source, "src").withColumn("times", times())
+    return taken.select(F.col("id").alias(id_col), "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """The mix itself: the rows and columns of docs, each row as often as it is taken."""
+    rows = positions(docs, id_col, text_col, source_col)
+    slim = materialize(rows.select(F.col("__src").alias("src"), F.col("__size").alias("size"), F.col("__pos").alias("pos")), "mix-rows")
+    by_source = plan(slim, weights, share, cap).select(F.col("src").alias("__src"), "whole", "cut", "take_cut")
+    by_source = by_source.select("__src", *[F.col(c).alias(f"__{c}") for c in ("whole", "cut", "take_cut")])
+    return rows.join(by_source, "__src").withColumn("__n", F.explode(F.array_repeat(F.lit(1), times("__").cast("int")))).select(*docs.columns)

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
@@ -261,3 +261,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     out = out.withColumn("start", start).join(comps.withColumnRenamed("id", "start"), "start", "left")
     component = F.coalesce("component", "start")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group, that with the least id (of rows with equal ids, the least text); rows with a null id stay."""
+    kept = near_duplicates(docs.select(id_col, text_col), k, percent, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct()
+    rows = docs.join(kept, docs[id_col] == F.col("__id"), "left_semi")
+    one = F.row_number().over(Window.partitionBy(id_col).orderBy(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    rows = rows.withColumn("__row", one).where("__row = 1").drop("__row")
+    return rows.unionByName(docs.where(F.col(id_col).isNull()))

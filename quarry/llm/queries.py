@@ -30,7 +30,7 @@ def rank_file(path: str | None = None) -> bytes:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN, digests=True)
+    return bpe.encode(table(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN, digests=True, lists=False)
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

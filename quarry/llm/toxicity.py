@@ -77,20 +77,21 @@ def train(texts: list[str], y: np.ndarray, share: float, bits: int = BITS) -> tu
     return out, float(b + odds(share) - odds(n[1] / n.sum()))
 
 
-def score(docs: DataFrame, weights: np.ndarray, intercept: float, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id (or the columns ``keep``) and score, 0 to 1."""
+def score(docs: DataFrame, weights: np.ndarray, intercept: float, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """id (or the columns ``keep``) and the score, 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast((weights, intercept))  # 4 * 2**BITS bytes
     cols = keep or [id_col]
-    given = docs.select(*cols, F.col(text_col).alias("__text"))
+    given = docs.select(*cols, *([] if text_col in cols else [text_col]))
+    at = given.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = shared.value
         for batch in batches:
-            z = np.array([w[present(t.as_py() or "", weights=w)].sum(dtype=np.float64) + b for t in batch.column(len(cols))])
+            z = np.array([w[present(t.as_py() or "", weights=w)].sum(dtype=np.float64) + b for t in batch.column(at)], np.float64)
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], names=[*cols, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], pa.array(s, pa.float64())], names=[*cols, name])
 
-    schema = given.drop("__text").schema.add("score", "double")
+    schema = given.select(*cols).schema.add(name, "double")
     return given.mapInArrow(work, schema)
 
 
@@ -103,3 +104,10 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, out_fold: int =
     held_out = fold("doc_id", folds) == out_fold
     scored = score(docs, *fit(docs, labels, held_out))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, all columns kept; learns from all labelled rows."""
+    model = fit(docs, labels, F.lit(False), id_col=id_col, text_col=text_col)
+    name = "__toxicity"
+    return score(docs, *model, id_col=id_col, text_col=text_col, keep=docs.columns, name=name).where(F.col(name) < threshold).drop(name)
