@@ -5,14 +5,18 @@ has SIGNATURE minwise tokens. A tree starts with all classes in its root; a node
 the signature by its own hash, for a quarter of nodes a second one, and a class goes on to the child named
 by its token there, so that two classes of similarity J share a child with 1.25 J at the mean, 1 or more
 from 0.8 on. Nodes of up to LEAF classes are compared exhaustively, by a sketch of 32 bytes; larger nodes
-branch again, and what is still large after DEPTH levels is compared in a grid of blocks. TREES
-independent trees bring the recall of a pair at the threshold to over 0.999 at any depth up to 5.
-Every candidate is confirmed on the full sets, rebuilt from whole texts.
-
-Large groups of near copies: links are first sought from each class to the least similar one of a block of
-its node in FIRST trees, and their components found. After that only pairs of different components matter:
-nodes within one component are dropped, and no node emits pairs within one. Hot nodes are dealt to blocks
-by salt; star centres are confirmed in salted parts. Nothing is capped and nothing collected.
+branch again. As branching can't part classes that are alike, a class of a large node whose mean agreement
+with the node (by a random block of it) is DENSE or more is compared with all of the node that may be
+similar, and goes no further. What is still large after DEPTH levels is compared in a grid of blocks. TREES
+independent trees bring the recall of a pair at the threshold to over 0.999 at any depth up to 5. Every
+candidate is confirmed on the full sets, rebuilt from whole texts.
+
+Large groups of near copies: links are first sought from each class to the most similar one of its block of
+a node, in FIRST trees, and their components found. After that only pairs of different components matter:
+nodes within one component are dropped. Where many pairs of a group are candidates, they are not written
+out: the texts of the group's classes are brought together in blocks, compared in place, and links alone
+come out, one for each class and component. Hot nodes are dealt to blocks by salt; star centres are
+confirmed in salted parts. Nothing is capped and nothing collected.
 
 Defined cases: a text without words, or null, has an empty set and links with nothing; fewer words than a
 shingle are one shingle; rows with equal ids are one vertex; a null id takes part in no link, has a null
@@ -22,6 +26,7 @@ component and is kept; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +40,8 @@ from quarry.plans.shared import materialize
 
 SIGNATURE, SKETCH = 128, 32
 TREES, FIRST, DEPTH, LEAF = 12, 3, 10, 64
+DENSE, NEARLY = 16, 6  #: of 32, mean agreement with a node; by the triangle inequality what is similar to a dense class has NEARLY
+CROWDED, GRID = 2, 256  #: candidates per class of a group that are compared in place; classes of a block there
 SKETCH_LEAST = 16  #: of 32 coordinates; a pair of similarity 0.8 has fewer in 3 of a million cases
 STAR = 512  #: members of a star that are confirmed in one group
 _RNG = np.random.Generator(np.random.PCG64(77))
@@ -125,54 +132,163 @@ def next_level(open_rows: DataFrame, classes: DataFrame) -> DataFrame:
     return open_rows.select("tree", "node", "id").join(classes.select("id", "signature"), "id").select("tree", "node", "id", "signature").mapInArrow(work, NODE).distinct()
 
 
-def compare(groups: DataFrame, nearest: bool) -> DataFrame:
-    """Candidates (a, b), a > b, among rows with equal ``group``: node-block rows of id, comp, sketch.
+def _pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows with one group, rows sorted by it, as (later, earlier), step by step."""
+    at = np.arange(len(group))
+    for step in range(1, len(group)):
+        at = at[at + step < len(group)]
+        at = at[group[at] == group[at + step]]
+        if not len(at):
+            return
+        yield at + step, at
 
-    ``nearest``: for each row the least similar one only; else all similar pairs of different components.
-    """
-    rows = groups.select("group", "id", "comp", "side", "sketch").repartition("group").sortWithinPartitions("group", "id")
-
-    def pairs(group, ids, comp, side, sketch):
-        found_a, found_b = [], []
-        at = np.arange(len(group))
-        for step in range(1, len(group)):
-            at = at[at + step < len(group)]
-            at = at[group[at] == group[at + step]]
-            if not len(at):
-                break
-            a, b = at + step, at
-            fit = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] == 2))
-            a, b = a[fit], b[fit]
-            fit = (sketch[a] == sketch[b]).sum(1) >= SKETCH_LEAST
-            found_a.append(ids[a[fit]])
-            found_b.append(ids[b[fit]])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_a, found_b))
-        if nearest and len(a):
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            first = np.flatnonzero(np.diff(a, prepend=a[0] - 1))
-            a, b = a[first], b[first]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def by_group(rows: DataFrame, columns: str, work, schema: str) -> DataFrame:
+    """``work`` on numpy columns group, then ``columns`` (the last one the sketch), a batch of whole groups at a time."""
+    names = ["group", *columns.split()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(i).to_numpy() for i in range(4)] + [np.frombuffer(b"".join(x.as_py() for x in b.column(4)), np.uint8).reshape(-1, SKETCH)]
+            cols = [b.column(i).to_numpy() for i in range(len(names) - 1)] + [np.frombuffer(b"".join(x.as_py() for x in b.column(len(names) - 1)), np.uint8).reshape(-1, SKETCH)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             cut = np.searchsorted(cols[0], cols[0][-1])  # the last group may go on in the next batch
             if cut:
-                yield pairs(*(c[:cut] for c in cols))
+                yield work(*(c[:cut] for c in cols))
             held = [c[cut:] for c in cols]
         if held is not None:
-            yield pairs(*held)
+            yield work(*held)
+
+    return rows.select(*names).repartition("group").sortWithinPartitions("group", "id").mapInArrow(run, schema)
+
+
+def nearest(groups: DataFrame) -> DataFrame:
+    """Rows that have a similar one in their group, with the most similar (partner); ties: the least id."""
 
-    return rows.mapInArrow(work, "a long, b long").distinct()
+    def work(group, tree, node, whole, ids, sketch):
+        best = np.zeros(len(ids), np.int64)
+        partner = np.zeros(len(ids), np.int64)
+        for a, b in _pairs(group):
+            agree = (sketch[a] == sketch[b]).sum(1)
+            for x, y in ((a, b), (b, a)):
+                better = (agree > best[x]) | ((agree == best[x]) & (ids[y] < partner[x]))
+                best[x[better]], partner[x[better]] = agree[better], ids[y[better]]
+        hit = np.flatnonzero(best >= SKETCH_LEAST)
+        return pa.RecordBatch.from_arrays([pa.array(tree[hit]), pa.array(node[hit]), pa.array(whole[hit]), pa.array(ids[hit]), pa.array(partner[hit]), pa.array([x.tobytes() for x in sketch[hit]], pa.binary())], names=["tree", "node", "whole", "id", "partner", "sketch"])
 
+    return by_group(groups, "tree node whole id sketch", work, "tree int, node long, whole int, id long, partner long, sketch binary")
 
-def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+
+def candidates(groups: DataFrame) -> DataFrame:
+    """Similar pairs (a, b), a > b, of different components, with a null group; of groups that have many, the
+    members that are in any instead: (a = id, b = component, group)."""
+
+    def work(group, ids, comp, side, sketch):
+        found = []
+        for a, b in _pairs(group):
+            fit = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] == 2))
+            a, b = a[fit], b[fit]
+            fit = (sketch[a] == sketch[b]).sum(1) >= SKETCH_LEAST
+            found.append(np.stack([a[fit], b[fit]]))
+        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        keys, at, rows = np.unique(group, return_inverse=True, return_counts=True)
+        crowded = np.bincount(at[a], minlength=len(keys)) > CROWDED * rows
+        many = crowded[at[a]]
+        members = np.unique(np.concatenate([a[many], b[many]]))
+        a, b = a[~many], b[~many]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[a], ids[members]])), pa.array(np.concatenate([ids[b], comp[members]])), pa.array(np.concatenate([group[a], group[members]]), mask=np.arange(len(a) + len(members)) < len(a))], names=["a", "b", "group"])
+
+    return by_group(groups, "id comp side sketch", work, "a long, b long, group long")
+
+
+def density(blocks: DataFrame) -> DataFrame:
+    """Adds the mean agreement of each row with the others of its block."""
+
+    def work(group, tree, node, ids, comp, sketch):
+        total = np.zeros(len(ids))
+        for a, b in _pairs(group):
+            agree = (sketch[a] == sketch[b]).sum(1)
+            total[a] += agree  # an index stands once in a and once in b of a step
+            total[b] += agree
+        _, at, rows = np.unique(group, return_inverse=True, return_counts=True)
+        mean = total / np.maximum(rows[at] - 1, 1)
+        return pa.RecordBatch.from_arrays([pa.array(tree), pa.array(node), pa.array(ids), pa.array(comp), pa.array(mean)], names=["tree", "node", "id", "comp", "mean"])
+
+    return by_group(blocks, "tree node id comp sketch", work, "tree int, node long, id long, comp long, mean double")
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of the two lists have at least ``percent`` of their union in common: a boolean matrix."""
+    sizes = np.array([len(s) for s in (*left, *right)])
+    tokens, at, counts = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    more = counts > 1
+    place = np.cumsum(more) - 1
+    row, at = row[more[at]], place[at[more[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    n, both = len(left), np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(more.sum()), 4096):
+        a, b = np.searchsorted(at, [first, first + 4096])
+        m = np.zeros((len(sizes), 4096), np.float32)
+        m[row[a:b], at[a:b] - first] = 1
+        both += m[:n] @ m[n:].T
+    both = both.astype(np.int64)
+    return 100 * both >= percent * (sizes[:n, None] + sizes[None, n:] - both)
+
+
+def confirm_blocks(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows (g, side, id, comp): links between side 0 and side 1 of a group, or within it (side 2), of different
+    components; of several from one class to a component, one."""
+    given = rows.join(texts.hint("shuffle_hash"), "id").select("g", "side", "id", "comp", "text").repartition("g").sortWithinPartitions("g")
+
+    def links(side, ids, comp, sets) -> tuple[list[int], list[int]]:
+        side, ids, comp = np.array(side), np.array(ids), np.array(comp)
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        if not len(left) or not len(right):
+            return [], []
+        fit = similar([sets[i] for i in left], [sets[i] for i in right], percent) & (comp[left][:, None] != comp[right][None])
+        i, j = np.nonzero(fit)
+        _, first = np.unique(np.stack([ids[left[i]], comp[right[j]]], axis=1), axis=0, return_index=True)
+        return ids[left[i[first]]].tolist(), ids[right[j[first]]].tolist()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, ([], [], [], [])
+        for batch in batches:
+            out = ([], [])
+            for g, side, id_, comp, text in zip(*(batch.column(i) for i in range(5)), strict=True):
+                if g != key:
+                    if held[0]:
+                        for x, y in zip(out, links(*held), strict=True):
+                            x += y
+                    key, held = g, ([], [], [], [])
+                for x, y in zip(held, (side.as_py(), id_.as_py(), comp.as_py(), shingle_set(text.as_py(), k)), strict=True):
+                    x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
+        if held[0]:
+            a, b = links(*held)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return materialize(given.mapInArrow(work, "a long, b long"), "near-links")
+
+
+def dense_grid(rows: DataFrame) -> DataFrame:
+    """Rows (node, id, comp) of classes that may be similar to dense ones -> (g, side, id, comp): in each node, all
+    that are not of its most frequent component against all."""
+    counts = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
+    nodes = counts.groupBy("node").agg(F.max_by("comp", "n").alias("most"), F.max("n").alias("of_most"), F.sum("n").alias("all")).withColumn("rest", F.col("all") - F.col("of_most")).where("rest > 0")
+    parts = lambda c: F.ceil(F.col(c) / F.lit(GRID)).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("id", "node"), parts(c)).cast("int")
+    both = rows.join(nodes, "node")
+    rest = both.where("comp <> most").select("node", "id", "comp", F.lit(0).alias("side"), own("rest").alias("i"), F.explode(F.sequence(F.lit(0), parts("all") - 1)).alias("j"))
+    every = both.select("node", "id", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), parts("rest") - 1)).alias("i"), own("all").alias("j"))
+    return rest.unionByName(every).select(F.xxhash64("node", "i", "j").alias("g"), "side", "id", "comp")
+
+
+def confirm_stars(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those (a, b) whose full sets have at least ``percent`` of their union in common.
 
     Stars around b are split into parts of about STAR members; each part gets b's text once and is worked
@@ -181,7 +297,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(STAR)).cast("int").alias("parts"))
     members = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).select("b", "part", F.col("a").alias("id"))
     centres = parts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("id"))
-    rows = members.withColumn("centre", F.lit(0)).union(centres.withColumn("centre", F.lit(1))).join(texts, "id")
+    rows = members.withColumn("centre", F.lit(0)).union(centres.withColumn("centre", F.lit(1))).join(texts.hint("shuffle_hash"), "id")
     rows = rows.select("b", "part", "centre", "id", "text").repartition("b", "part").sortWithinPartitions("b", "part", F.desc("centre"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,36 +341,47 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = materialize(alive.join(reps, "digest").where("id = rep").select(F.col("id").cast("long").alias("id"), "signature").dropDuplicates(["id"]), "near-classes")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        return materialize(base.join(ids, "id", "left_semi"), "near-texts")
-
+    # Links to the most similar class of a block, in a few trees; their components.
     level = materialize(first_level(classes), "near-level")
-    # Links to the least similar class of a block, in a few trees; their components.
-    early = level.where(F.col("tree") < FIRST)
-    sizes = early.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = materialize(compare(blocks_of(early, sizes).withColumn("comp", F.col("id")), nearest=True), "near-pairs")
-    links = confirm(pairs, texts_of(pairs), k, percent)
-    comps = components(links)
-
-    # All other pairs of different components, level by level.
-    later = None
+    sizes = materialize(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
+    close = materialize(nearest(blocks_of(level, sizes).withColumn("whole", (F.col("n") == 1).cast("int"))), "near-close")
+    texts = materialize(base.join(close.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"), "near-texts")
+    first = close.where(F.col("tree") < FIRST).select(F.greatest("id", "partner").alias("a"), F.least("id", "partner").alias("b")).distinct()
+    links = [confirm_stars(first, texts, k, percent)]
+    comps = components(links[0])
+
+    # All other pairs of different components, level by level. In whole nodes only rows that have a similar one matter.
+    label = lambda rows: rows.join(comps, "id", "left").select("tree", "node", "id", "sketch", F.coalesce("component", "id").alias("comp"))
+    level = level.join(sizes.where(F.col("n") > LEAF).select("node"), "node", "left_semi")
+    labelled = label(close.where("whole = 1").select(*level.columns).unionByName(level))
+    pairs, crowds, grids = [], [], []
     for depth in range(1, DEPTH + 1):
-        labelled = level.join(comps, "id", "left").select("tree", "node", "id", "sketch", F.coalesce("component", "id").alias("comp"))
-        sizes = materialize(labelled.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("n > 1 and c0 <> c1"), "near-nodes")
+        labelled = materialize(labelled, "near-labelled")
+        sizes = materialize(labelled.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1"), "near-nodes")
         small, large = sizes.where(F.col("n") <= LEAF), sizes.where(F.col("n") > LEAF)
-        found = compare(blocks_of(labelled, small), nearest=False)
-        last = depth == DEPTH or large.isEmpty()
-        if last and depth == DEPTH:
-            found = found.union(compare(blocks_of(labelled, large, grid=True), nearest=False))
-        found = materialize(found, "near-pairs")
-        later = found if later is None else later.union(found)
-        if last:
+        found = candidates(blocks_of(labelled, small))
+        done = large.isEmpty()
+        if not done and depth == DEPTH:
+            found, done = found.union(candidates(blocks_of(labelled, large, grid=True))), True
+        found = materialize(found, "near-found")
+        pairs.append(found.where("group is null").select("a", "b"))
+        crowds.append(found.where("group is not null").select(F.col("group").alias("g"), F.lit(2).alias("side"), F.col("a").alias("id"), F.col("b").alias("comp")))
+        if done:
             break
-        level = materialize(next_level(level.join(large, "node", "left_semi"), classes), "near-level")
-    later = materialize(later.distinct(), "near-pairs")
-    more = confirm(later, texts_of(later), k, percent)
-    comps = materialize(components(links.union(more)), "near-components")
+        thick = materialize(density(blocks_of(labelled, large)), "near-density")
+        grids.append(dense_grid(thick.where(F.col("mean") >= NEARLY).select("node", "id", "comp")))
+        labelled = label(next_level(thick.where(F.col("mean") < DENSE), classes))
+
+    together = lambda parts: reduce(DataFrame.union, parts)
+    pairs = materialize(together(pairs).distinct(), "near-pairs")
+    blocks = materialize(together(crowds + grids), "near-blocks")
+    known = texts.select("id")
+    more = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(blocks.select("id")).distinct().join(known, "id", "left_anti")
+    more = materialize(more, "near-more")
+    if not more.isEmpty():
+        texts = materialize(texts.unionByName(base.join(more.hint("shuffle_hash"), "id", "left_semi")), "near-texts")
+    links += [confirm_stars(pairs, texts, k, percent), confirm_blocks(blocks, texts, k, percent)]
+    comps = materialize(components(together(links)), "near-components")
 
     out = all_sets.select("id", "n", "digest").join(reps, "digest", "left")
     start = F.coalesce("rep", "id").cast("long")
