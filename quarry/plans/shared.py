@@ -25,11 +25,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and returns a scan of it.
 
-    Cuts lineage: a lost executor costs a re-read of the table, not a re-run of what made it.
+    Cuts lineage: a lost executor costs a re-read of the table, not a re-run of what made it. With ``free``,
+    shuffle files of what made it are let go at once instead of when the driver next collects garbage.
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    if free:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
