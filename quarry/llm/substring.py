@@ -4,13 +4,13 @@ A window is ``window`` consecutive words. It counts as repeated where its words
 with a smaller id. Which shard must know a window follows from its content: the least hash among its runs
 of GRAM words, its anchor. Documents are cut into segments, maximal runs of windows with one anchor;
 anchors that only one text has are dropped, so that the shards hold the repeated parts of the corpus and
-no more. Equal texts count once, equal segments once with the least id that has them. Each shard builds
+no more. Equal texts count once, equal segments of a batch once with the least id that has them. Each shard builds
 an FM-index over its segments; these are streamed against it by backward search over its wavelet tree,
 which gives every window its range of suffixes and the least id among them. Windows whose least id is
 smaller are reported as intervals of words.
 
-Bounds: a shard is cut at SHARD_WORDS words, at a change of anchor; an anchor with over HOT distinct
-segments is split into its single windows, which are routed by their own hash. Shuffles carry anchors
+Bounds: a shard is cut at SHARD_WORDS words, at a change of anchor; the segments of an anchor with over HOT
+are split into their single windows, which are routed by their own hash. Shuffles carry anchors
 (8 bytes, about one in five words), segments of repeated anchors, and texts of documents that have any.
 
 Defined cases: null and empty texts have no words; of rows with equal text the least id counts as the
@@ -69,103 +69,119 @@ def survey(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFram
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(work, "id long, digest binary, n_words long, clean_sha256 string, anchors array<long>")
 
 
-SEGMENT = "id long, digest binary, start int, anchor long, segment_id binary, segment binary"
+SEGMENT = "id long, start int, segment_id binary, anchor long, segment binary"
+_ARROW = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
+
+
+def _rows(rows: list[tuple], schema: str = SEGMENT, types: tuple = _ARROW) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
 
 def segments(texts: DataFrame, window: int) -> DataFrame:
-    """(id, digest, text, anchors) -> the segments whose anchors are among those given."""
+    """(id, text, anchors) -> where segments with these anchors start (id, start, segment_id) and, with a null
+    start, the segments themselves (least id of the batch, segment_id, anchor, segment)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for id_, digest, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            rows, bodies = [], {}
+            for id_, text, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 data = text.as_py().encode()
                 words, anchors = data.split(), window_anchors(word_hashes(data), window)
                 edges = np.flatnonzero(np.diff(anchors, prepend=~anchors[:1], append=~anchors[-1:]))
                 runs = anchors[edges[:-1]].view(np.int64)
-                for k in np.flatnonzero(np.isin(runs, wanted.values.to_numpy())):
-                    a = int(edges[k])
-                    body = b" ".join(words[a : int(edges[k + 1]) + window - 1])
-                    rows.append((id_, digest, a, int(runs[k]), xxhash.xxh3_128_digest(body), body))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["id", "digest", "start", "anchor", "segment_id", "segment"])
+                at = np.flatnonzero(np.isin(runs, wanted.values.to_numpy()))
+                for a, e, anchor in zip(edges[at].tolist(), edges[at + 1].tolist(), runs[at].tolist(), strict=True):
+                    body = b" ".join(words[a : e + window - 1])
+                    key = xxhash.xxh3_128_digest(body)
+                    rows.append((id_, a, key, None, None))
+                    if key not in bodies or id_ < bodies[key][0]:
+                        bodies[key] = (id_, None, key, anchor, body)
+            yield _rows(rows + list(bodies.values()))
 
-    return texts.select("id", "digest", "text", "anchors").mapInArrow(work, SEGMENT)
+    return texts.select("id", "text", "anchors").mapInArrow(work, SEGMENT)
 
 
-def single_windows(rows: DataFrame, window: int) -> DataFrame:
-    """Segments cut into their windows, each a segment with an anchor of its own."""
+def single_windows(bodies: DataFrame, window: int) -> DataFrame:
+    """Segments cut into their windows: (of, at) name segment and place, the rest are rows like segments."""
+    schema, types = "of binary, at int, id long, segment_id binary, anchor long, segment binary", (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for id_, digest, start, segment in zip(*(b.column(c).to_pylist() for c in ("id", "digest", "start", "segment")), strict=True):
+            for id_, key, segment in zip(*(b.column(c).to_pylist() for c in ("id", "segment_id", "segment")), strict=True):
                 words = segment.split()
                 for j in range(len(words) - window + 1):
                     body = b" ".join(words[j : j + window])
-                    key = xxhash.xxh3_128_digest(body)
-                    out.append((id_, digest, start + j, int.from_bytes(key[:8], "little", signed=True), key, body))
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["id", "digest", "start", "anchor", "segment_id", "segment"])
+                    own = xxhash.xxh3_128_digest(body)
+                    out.append((key, j, id_, own, int.from_bytes(own[:8], "little", signed=True), body))
+            yield _rows(out, schema, types)
 
-    return rows.mapInArrow(work, SEGMENT)
+    return bodies.mapInArrow(work, schema)
 
 
-def search_shards(distinct: DataFrame, window: int) -> DataFrame:
-    """(anchor, segment_id, segment, least_id) -> segment_id and the least id of each of its windows."""
+def search_shards(bodies: DataFrame, window: int) -> DataFrame:
+    """(id, segment_id, anchor, segment) -> segment_id and the least id of each of its windows."""
 
-    def shard(keys: list[bytes], bodies: list[bytes], ids: list[int]) -> pa.RecordBatch:
+    def shard(found: dict[bytes, list]) -> pa.RecordBatch:
         symbol: dict[bytes, int] = {}
-        split = [body.split() for body in bodies]
+        split = [body.split() for body, _ in found.values()]
         text = np.fromiter((s for words in split for s in (*(symbol.setdefault(w, len(symbol) + 1) for w in words), 0)), np.int64)
         sizes = np.array([len(w) for w in split])
         starts = np.cumsum(sizes + 1) - sizes - 1
-        index = FMIndex(text, np.repeat(np.array(ids, np.int64), sizes + 1), window)
+        index = FMIndex(text, np.repeat(np.array([i for _, i in found.values()], np.int64), sizes + 1), window)
         least = index.least_owners(text, starts, sizes)
         lengths = sizes - window + 1
         values = least[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))]
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["segment_id", "least"])
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["segment_id", "least"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, bodies, ids, words, last = [], [], [], 0, None
+        found, words, last = {}, 0, None
         for b in batches:
             for anchor, key, body, id_ in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if words > SHARD_WORDS and anchor != last:
-                    yield shard(keys, bodies, ids)
-                    keys, bodies, ids, words = [], [], [], 0
-                keys.append(key)
-                bodies.append(body)
-                ids.append(id_)
-                words += body.count(b" ") + 2
+                    yield shard(found)
+                    found, words = {}, 0
+                if key not in found:
+                    found[key] = [body, id_]
+                    words += body.count(b" ") + 2
+                elif id_ < found[key][1]:
+                    found[key][1] = id_
                 last = anchor
-        if keys:
-            yield shard(keys, bodies, ids)
+        if found:
+            yield shard(found)
 
-    dealt = distinct.select("anchor", "segment_id", "segment", "least_id").repartition("anchor").sortWithinPartitions("anchor")
+    dealt = bodies.select("anchor", "segment_id", "segment", "id").repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(work, "segment_id binary, least array<long>")
 
 
 def repeated_windows(docs: DataFrame, known: DataFrame, reps: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
     """(id, digest) and the first words of its repeated windows, for the first document of each text."""
-    first = known.join(reps, "digest").where("id = rep").select("id", "digest", "anchors").dropDuplicates(["digest"])
-    each = first.select("id", "digest", F.explode("anchors").alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("anchor")
-    wanted = each.join(shared.hint("shuffle_hash"), "anchor").groupBy("id", "digest").agg(F.collect_list("anchor").alias("anchors"))
-    wanted = materialize(wanted, "sub-anchors")
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(wanted, "id").where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("digest"))
-    parts = materialize(segments(texts, window), "sub-segments")
+    some = known.where("id is not null")
+    each = some.select(F.xxhash64("digest").alias("text"), F.explode("anchors").alias("anchor"))
+    shared = each.groupBy("anchor").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("anchor")  # of two texts at least
+    where = some.select("id", F.explode("anchors").alias("anchor")).join(shared.hint("shuffle_hash"), "anchor")
+    wanted = materialize(where.groupBy("id").agg(F.collect_list("anchor").alias("anchors")), "sub-anchors", free=True)
+    first = known.select("id", "digest").join(reps, "digest").where("id = rep").select("id", "digest").dropDuplicates(["digest"])
+    wanted = materialize(wanted.join(first, "id"), "sub-wanted")
 
-    unique = lambda s: s.groupBy("anchor", "segment_id").agg(F.min("id").alias("least_id"), F.first("segment").alias("segment"))
-    hot = unique(parts).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor")
-    hot = materialize(hot, "sub-hot")
-    parts = parts.join(hot, "anchor", "left_anti").unionByName(single_windows(parts.join(hot, "anchor", "left_semi").select(*parts.columns), window))
-    found = materialize(search_shards(unique(parts), window), "sub-found")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = texts.join(wanted.hint("shuffle_hash"), "id").where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("digest"))
+    parts = materialize(segments(texts, window), "sub-segments", free=True)
+
+    bodies = parts.where("segment is not null")
+    hot = materialize(bodies.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor"), "sub-hot")
+    found = search_shards(bodies.join(hot, "anchor", "left_anti"), window)
+    if not hot.isEmpty():
+        windows = materialize(single_windows(bodies.join(hot, "anchor", "left_semi").select(*parts.columns), window), "sub-windows")
+        least = windows.select("of", "at", "segment_id").distinct().join(search_shards(windows, window), "segment_id")
+        found = found.unionByName(least.groupBy(F.col("of").alias("segment_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("least")[0].alias("m")))), lambda x: x["m"]).alias("least")))
+    found = materialize(found, "sub-found", free=True)
 
     starts = F.filter(F.transform("least", lambda m, j: F.when(m < F.col("id"), F.col("start") + j)), lambda x: x.isNotNull())
-    hits = parts.select("id", "digest", "start", "segment_id").join(found, "segment_id").select("id", "digest", starts.alias("starts")).where(F.size("starts") > 0)
-    return hits.groupBy("id", "digest").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    hits = parts.where("start is not null").select("id", "start", "segment_id").join(found, "segment_id").select("id", starts.alias("starts")).where(F.size("starts") > 0)
+    return hits.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts")).join(first, "id").select("id", "digest", "starts")
 
 
 def removed(words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -177,7 +193,7 @@ def removed(words: int, starts: np.ndarray, window: int) -> np.ndarray:
 
 
 def _survey(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    known = materialize(survey(docs, window, id_col, text_col), "sub-survey")
+    known = materialize(survey(docs, window, id_col, text_col), "sub-survey", free=True)
     return known, known.where("id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
 
 
@@ -185,7 +201,7 @@ def _apply(docs: DataFrame, hits: DataFrame, window: int, id_col: str, text_col:
     """Joins documents with their windows: (all columns of docs, n_removed, kept) with kept words or their hash."""
     names = docs.columns
     given = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__digest", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
-    joined = given.join(hits.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("starts").alias("__starts")), ["__id", "__digest"], how)
+    joined = given.join(hits.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("starts").alias("__starts")).hint("shuffle_hash"), ["__id", "__digest"], how)
     schema = docs.select(names).schema.add("n_removed", "long").add("kept", "string")
     at = names.index(text_col)
 
@@ -211,7 +227,7 @@ def _apply(docs: DataFrame, hits: DataFrame, window: int, id_col: str, text_col:
 def digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
     known, reps = _survey(docs, window, id_col, text_col)
-    hits = materialize(repeated_windows(docs, known, reps, window, id_col, text_col), "sub-hits")
+    hits = materialize(repeated_windows(docs, known, reps, window, id_col, text_col), "sub-hits", free=True)
     changed = _apply(docs.select(id_col, text_col), hits, window, id_col, text_col, "inner", texts=False)
     digest = F.unhex(F.md5(F.col(text_col).cast("binary")))
     changed = materialize(changed.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), "n_removed", "kept").dropDuplicates(["id", "digest"]), "sub-changed")
