@@ -73,7 +73,10 @@ def write_objects(objects: DataFrame, root: str) -> None:
 
 
 def read_objects(spark, root: str, content: bool = True) -> DataFrame:
-    """(s3_key, length, content) of all objects under root; without content no bytes are read."""
+    """(s3_key, length, content) of all objects under root; without content no bytes are read.
+
+    Spark lists no empty files; blocks are never empty, as empty payloads are rejected.
+    """
     uri = root if "://" in root else f"file://{root}"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.block").load(uri)
     base = uri.split("://", 1)[1].rstrip("/") + "/"
