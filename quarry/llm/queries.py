@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ann, bpe, media, mixing, neardup, quality, sharding, substring, toxicity
+from quarry.llm import ann, bpe, licenses, media, mixing, neardup, quality, sharding, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,41 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op3_bpe, op4_substring, op5_sharding, op6_mixing, op7_media, op8_quality, op9_ann)}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op3_bpe, op4_substring, op5_sharding, op6_mixing, op7_media, op8_quality, op9_ann, op10_licenses)}
+
+def _licenses_sql() -> str:
+    """The same tables of sentences and rules, as SQL."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    clean = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'), '\.+([^0-9.]|$)', ' \1', 'g'), '\s+', ' ', 'g'))"
+    known = "CASE " + " ".join(f"WHEN regexp_full_match(n, {quote(pattern)}) THEN {quote(name)}" for pattern, name in licenses.SENTENCES) + " END"
+    steps, left = [], "r0"
+    for i, (rule, name) in enumerate(licenses.RULES, 1):
+        sequence = quote("," + ",".join(rule) + ",")
+        steps.append(f"r{i} AS (SELECT *, CASE WHEN contains(left{i - 1}, {sequence}) THEN {quote(name)} END AS n{i}, replace(left{i - 1}, {sequence}, ',|,') AS left{i} FROM {left})")
+        left = f"r{i}"
+    names = ", ".join(f"n{i}" for i in range(1, len(licenses.RULES) + 1))
+    return f"""
+WITH lines AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), {quote(licenses.LINES)}), lambda x: regexp_matches(x, {quote(licenses.HINT)})) AS lines FROM documents),
+sentences AS (
+  SELECT doc_id, list_transform(flatten(list_transform(lines, lambda x: string_split_regex(x, {quote(licenses.ENDS)}))), lambda s: {clean}) AS sentences FROM lines),
+found AS (SELECT doc_id, list_filter(list_transform(sentences, lambda n: {known}), lambda x: x IS NOT NULL) AS ids FROM sentences),
+r0 AS (SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS left0 FROM found),
+{", ".join(steps)},
+m AS (SELECT doc_id, ids, list_filter([{names}], lambda x: x IS NOT NULL) AS names FROM {left})
+SELECT doc_id, len(ids)::INT AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
+       CASE WHEN len(names) > 0 THEN array_to_string(list_transform(list_filter(names, lambda x, i: list_position(names, x) = i), lambda x: x), ',')
+            WHEN len(ids) > 0 THEN 'UNKNOWN' ELSE 'NONE' END AS licenses
+FROM m
+"""
+
 
 ORACLE_SQL = {
+    "op10_licenses": _licenses_sql(),
     "op6_mixing": r"""
 WITH d AS (
   SELECT doc_id, coalesce('0' || source, '1') AS src,
