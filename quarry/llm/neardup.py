@@ -39,7 +39,7 @@ from quarry.llm.text import mix64, shingle_hashes, word_hashes
 from quarry.plans.shared import materialize
 
 SIGNATURE, SKETCH = 128, 32
-TREES, FIRST, DEPTH, LEAF = 12, 3, 10, 64
+TREES, FIRST, DEPTH, LEAF = 12, 3, 6, 192
 DENSE, NEARLY = 16, 6  #: of 32, mean agreement with a node; by the triangle inequality what is similar to a dense class has NEARLY
 CROWDED, GRID = 2, 256  #: candidates per class of a group that are compared in place; classes of a block there
 SKETCH_LEAST = 16  #: of 32 coordinates; a pair of similarity 0.8 has fewer in 3 of a million cases
@@ -98,16 +98,16 @@ def sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(work, f"id {id_type}, n long, digest binary, signature binary")
 
 
-NODE = "tree int, node long, id long, sketch binary"
+NODE = "tree int, node long, id long, comp long, sketch binary"
 
 
 def _signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), np.uint32).reshape(-1, SIGNATURE)
 
 
-def _node_batch(tree, node, ids, signatures) -> pa.RecordBatch:
+def _node_batch(tree, node, ids, comp, signatures) -> pa.RecordBatch:
     low = np.ascontiguousarray(signatures[:, :SKETCH].astype(np.uint8))
-    return pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(node.view(np.int64)), pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in low], pa.binary())], names=["tree", "node", "id", "sketch"])
+    return pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(node.view(np.int64)), pa.array(ids, pa.int64()), pa.array(comp, pa.int64()), pa.array([x.tobytes() for x in low], pa.binary())], names=["tree", "node", "id", "comp", "sketch"])
 
 
 def first_level(classes: DataFrame) -> DataFrame:
@@ -116,7 +116,8 @@ def first_level(classes: DataFrame) -> DataFrame:
             if b.num_rows:
                 sig = np.repeat(_signatures(b.column(1)), TREES, axis=0)
                 rows, keys = children(np.tile(root_keys(), b.num_rows), sig)
-                yield _node_batch((rows % TREES).astype(np.int32), keys, b.column(0).to_numpy()[rows // TREES], sig[rows])
+                ids = b.column(0).to_numpy()[rows // TREES]
+                yield _node_batch((rows % TREES).astype(np.int32), keys, ids, ids, sig[rows])
 
     return classes.select("id", "signature").mapInArrow(work, NODE)
 
@@ -125,11 +126,11 @@ def next_level(open_rows: DataFrame, classes: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                sig = _signatures(b.column(3))
+                sig = _signatures(b.column(4))
                 rows, keys = children(b.column(1).to_numpy().view(np.uint64), sig)
-                yield _node_batch(b.column(0).to_numpy()[rows], keys, b.column(2).to_numpy()[rows], sig[rows])
+                yield _node_batch(*(x[rows] if i != 1 else keys for i, x in enumerate(b.column(i).to_numpy() for i in range(4))), sig[rows])
 
-    return open_rows.select("tree", "node", "id").join(classes.select("id", "signature"), "id").select("tree", "node", "id", "signature").mapInArrow(work, NODE).distinct()
+    return open_rows.select("tree", "node", "id", "comp").join(classes.select("id", "signature").hint("shuffle_hash"), "id").select("tree", "node", "id", "comp", "signature").mapInArrow(work, NODE)
 
 
 def _pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -183,15 +184,23 @@ def nearest(groups: DataFrame) -> DataFrame:
 
 
 def candidates(groups: DataFrame) -> DataFrame:
-    """Similar pairs (a, b), a > b, of different components, with a null group; of groups that have many, the
-    members that are in any instead: (a = id, b = component, group)."""
+    """What a group tells, by kind.
 
-    def work(group, ids, comp, side, sketch):
-        found = []
+    0: similar pairs (a, b), a > b, of different components. 1: of groups that have many, the members that are in
+    any instead (a = id, b = component, group). 2: of blocks of large nodes (side 3), each row with its mean agreement with
+    the others (tree, node, a = id, b = component, mean).
+    """
+
+    def work(group, tree, node, ids, comp, side, sketch):
+        found, total = [], np.zeros(len(ids))
         for a, b in _pairs(group):
-            fit = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] == 2))
-            a, b = a[fit], b[fit]
-            fit = (sketch[a] == sketch[b]).sum(1) >= SKETCH_LEAST
+            thick = side[a] == 3
+            agree = np.zeros(len(a), np.int64)
+            fit = thick | ((comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] == 2)))
+            agree[fit] = (sketch[a[fit]] == sketch[b[fit]]).sum(1)
+            total[a] += agree  # an index stands once in a and once in b of a step
+            total[b] += agree
+            fit = ~thick & (agree >= SKETCH_LEAST)
             found.append(np.stack([a[fit], b[fit]]))
         a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
         keys, at, rows = np.unique(group, return_inverse=True, return_counts=True)
@@ -199,25 +208,12 @@ def candidates(groups: DataFrame) -> DataFrame:
         many = crowded[at[a]]
         members = np.unique(np.concatenate([a[many], b[many]]))
         a, b = a[~many], b[~many]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[a], ids[members]])), pa.array(np.concatenate([ids[b], comp[members]])), pa.array(np.concatenate([group[a], group[members]]), mask=np.arange(len(a) + len(members)) < len(a))], names=["a", "b", "group"])
-
-    return by_group(groups, "id comp side sketch", work, "a long, b long, group long")
-
-
-def density(blocks: DataFrame) -> DataFrame:
-    """Adds the mean agreement of each row with the others of its block."""
-
-    def work(group, tree, node, ids, comp, sketch):
-        total = np.zeros(len(ids))
-        for a, b in _pairs(group):
-            agree = (sketch[a] == sketch[b]).sum(1)
-            total[a] += agree  # an index stands once in a and once in b of a step
-            total[b] += agree
-        _, at, rows = np.unique(group, return_inverse=True, return_counts=True)
-        mean = total / np.maximum(rows[at] - 1, 1)
-        return pa.RecordBatch.from_arrays([pa.array(tree), pa.array(node), pa.array(ids), pa.array(comp), pa.array(mean)], names=["tree", "node", "id", "comp", "mean"])
+        mean, large = total / np.maximum(rows[at] - 1, 1), np.flatnonzero(side == 3)
+        kinds = np.repeat(np.arange(3, dtype=np.int32), [len(a), len(members), len(large)])
+        rest = lambda x, fill: np.concatenate([np.full(len(a), fill, x.dtype), x[members], x[large]])
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(rest(tree, 0)), pa.array(rest(node, 0)), pa.array(rest(group, 0)), pa.array(np.concatenate([ids[a], ids[members], ids[large]])), pa.array(np.concatenate([ids[b], comp[members], comp[large]])), pa.array(rest(mean, 0.0))], names=["kind", "tree", "node", "group", "a", "b", "mean"])
 
-    return by_group(blocks, "tree node id comp sketch", work, "tree int, node long, id long, comp long, mean double")
+    return by_group(groups, "tree node id comp side sketch", work, "kind int, tree int, node long, group long, a long, b long, mean double")
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
@@ -323,11 +319,12 @@ def confirm_stars(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> D
 
 
 def blocks_of(rows: DataFrame, sizes: DataFrame, grid: bool = False) -> DataFrame:
-    """Rows of nodes in blocks of about LEAF, salted by id; in a grid, each block meets each."""
+    """Rows of nodes in blocks of LEAF at the mean, salted by id. side: 2 for whole nodes, 3 for blocks of large ones; in a
+    grid, where each block meets each, 0 and 1 for two blocks that meet and 2 within a block."""
     n = F.ceil(F.col("n") / F.lit(LEAF)).cast("int")
     dealt = rows.join(sizes.select("node", "n"), "node").withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("id", "node"), F.col("n")).cast("int"))
     if not grid:
-        return dealt.withColumn("group", F.xxhash64("node", "block")).withColumn("side", F.lit(2))
+        return dealt.withColumn("group", F.xxhash64("node", "block")).withColumn("side", F.when(F.col("n") > 1, 3).otherwise(2))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     side = F.when(F.col("other") == F.col("block"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
     return met.withColumn("group", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))).withColumn("side", side)
@@ -351,26 +348,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     comps = components(links[0])
 
     # All other pairs of different components, level by level. In whole nodes only rows that have a similar one matter.
-    label = lambda rows: rows.join(comps, "id", "left").select("tree", "node", "id", "sketch", F.coalesce("component", "id").alias("comp"))
+    columns = ["tree", "node", "id", "sketch"]
     level = level.join(sizes.where(F.col("n") > LEAF).select("node"), "node", "left_semi")
-    labelled = label(close.where("whole = 1").select(*level.columns).unionByName(level))
+    level = close.where("whole = 1").select(*columns).unionByName(level.select(*columns))
+    level = materialize(level.join(comps, "id", "left").select(*columns, F.coalesce("component", "id").alias("comp")), "near-level")
     pairs, crowds, grids = [], [], []
     for depth in range(1, DEPTH + 1):
-        labelled = materialize(labelled, "near-labelled")
-        sizes = materialize(labelled.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1"), "near-nodes")
-        small, large = sizes.where(F.col("n") <= LEAF), sizes.where(F.col("n") > LEAF)
-        found = candidates(blocks_of(labelled, small))
-        done = large.isEmpty()
-        if not done and depth == DEPTH:
-            found, done = found.union(candidates(blocks_of(labelled, large, grid=True))), True
+        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+        if depth == DEPTH:
+            found = candidates(blocks_of(level, sizes, grid=True))
+        else:
+            found = candidates(blocks_of(level, sizes))
         found = materialize(found, "near-found")
-        pairs.append(found.where("group is null").select("a", "b"))
-        crowds.append(found.where("group is not null").select(F.col("group").alias("g"), F.lit(2).alias("side"), F.col("a").alias("id"), F.col("b").alias("comp")))
-        if done:
+        pairs.append(found.where("kind = 0").select("a", "b"))
+        crowds.append(found.where("kind = 1").select(F.col("group").alias("g"), F.lit(2).alias("side"), F.col("a").alias("id"), F.col("b").alias("comp")))
+        thick = found.where("kind = 2").select("tree", "node", F.col("a").alias("id"), F.col("b").alias("comp"), "mean")
+        if depth == DEPTH or thick.isEmpty():
             break
-        thick = materialize(density(blocks_of(labelled, large)), "near-density")
         grids.append(dense_grid(thick.where(F.col("mean") >= NEARLY).select("node", "id", "comp")))
-        labelled = label(next_level(thick.where(F.col("mean") < DENSE), classes))
+        level = materialize(next_level(thick.where(F.col("mean") < DENSE), classes), "near-level")
 
     together = lambda parts: reduce(DataFrame.union, parts)
     pairs = materialize(together(pairs).distinct(), "near-pairs")
