@@ -25,14 +25,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
-    """Writes ``df`` once as Parquet in the shared folder and returns a scan of it.
+class Scratch:
+    """Tables of one operator in the shared folder, each written once and dropped when nothing reads it any more.
 
-    Cuts lineage: a lost executor costs a re-read of the table, not a re-run of what made it. With ``free``,
-    shuffle files of what made it are let go at once instead of when the driver next collects garbage.
+    Cuts lineage: a lost executor costs a re-read of a table, not a re-run of what made it.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    if free:
-        df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """``df`` as a scan of Parquet. With ``free``, shuffle files of what made it are let go at once instead of
+        when the driver next collects garbage."""
+        path = new_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        if free:
+            self.spark.sparkContext._jvm.System.gc()
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Removes the tables of these names, or all; only where no lazy result reads them."""
+        for name in names or tuple(self.paths):
+            for path in self.paths.pop(name, ()):
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """One table that stays."""
+    return Scratch(df.sparkSession).table(df, name)
