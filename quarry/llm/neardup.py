@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import components
 from quarry.llm.text import mix64, shingle_hashes, word_hashes
-from quarry.plans.shared import materialize
+from quarry.plans.shared import Scratch, materialize
 
 SIGNATURE, SKETCH = 128, 32
 TREES, FIRST, DEPTH, LEAF = 12, 3, 6, 192
@@ -236,7 +236,7 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np
     return 100 * both >= percent * (sizes[:n, None] + sizes[None, n:] - both)
 
 
-def confirm_blocks(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def confirm_blocks(rows: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """Rows (g, side, id, comp): links between side 0 and side 1 of a group, or within it (side 2), of different
     components; of several from one class to a component, one."""
     given = rows.join(texts.hint("shuffle_hash"), "id").select("g", "side", "id", "comp", "text").repartition("g").sortWithinPartitions("g")
@@ -268,7 +268,7 @@ def confirm_blocks(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> D
             a, b = links(*held)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return materialize(given.mapInArrow(work, "a long, b long"), "near-links")
+    return scratch.table(given.mapInArrow(work, "a long, b long"), "near-links")
 
 
 def dense_grid(rows: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def dense_grid(rows: DataFrame) -> DataFrame:
     return rest.unionByName(every).select(F.xxhash64("node", "i", "j").alias("g"), "side", "id", "comp")
 
 
-def confirm_stars(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def confirm_stars(pairs: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """Those (a, b) whose full sets have at least ``percent`` of their union in common.
 
     Stars around b are split into parts of about STAR members; each part gets b's text once and is worked
@@ -315,7 +315,7 @@ def confirm_stars(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> D
                         break
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    return materialize(rows.mapInArrow(work, "a long, b long"), "near-links")
+    return scratch.table(rows.mapInArrow(work, "a long, b long"), "near-links")
 
 
 def blocks_of(rows: DataFrame, sizes: DataFrame, grid: bool = False) -> DataFrame:
@@ -332,26 +332,27 @@ def blocks_of(rows: DataFrame, sizes: DataFrame, grid: bool = False) -> DataFram
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept: one row per row of docs."""
-    all_sets = materialize(sets(docs, k, id_col, text_col), "near-sets")
+    scratch = Scratch(docs.sparkSession)
+    all_sets = scratch.table(sets(docs, k, id_col, text_col), "near-sets")
     alive = all_sets.where("digest is not null and id is not null")
     reps = alive.groupBy("digest").agg(F.min("id").alias("rep"))
-    classes = materialize(alive.join(reps, "digest").where("id = rep").select(F.col("id").cast("long").alias("id"), "signature").dropDuplicates(["id"]), "near-classes")
+    classes = scratch.table(alive.join(reps, "digest").where("id = rep").select(F.col("id").cast("long").alias("id"), "signature").dropDuplicates(["id"]), "near-classes")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     # Links to the most similar class of a block, in a few trees; their components.
-    level = materialize(first_level(classes), "near-level")
-    sizes = materialize(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
-    close = materialize(nearest(blocks_of(level, sizes).withColumn("whole", (F.col("n") == 1).cast("int"))), "near-close")
-    texts = materialize(base.join(close.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"), "near-texts")
+    level = scratch.table(first_level(classes), "near-level")
+    sizes = scratch.table(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
+    close = scratch.table(nearest(blocks_of(level, sizes).withColumn("whole", (F.col("n") == 1).cast("int"))), "near-close")
+    texts = scratch.table(base.join(close.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"), "near-texts")
     first = close.where(F.col("tree") < FIRST).select(F.greatest("id", "partner").alias("a"), F.least("id", "partner").alias("b")).distinct()
-    links = [confirm_stars(first, texts, k, percent)]
+    links = [confirm_stars(first, texts, k, percent, scratch)]
     comps = components(links[0])
 
     # All other pairs of different components, level by level. In whole nodes only rows that have a similar one matter.
     columns = ["tree", "node", "id", "sketch"]
     level = level.join(sizes.where(F.col("n") > LEAF).select("node"), "node", "left_semi")
     level = close.where("whole = 1").select(*columns).unionByName(level.select(*columns))
-    level = materialize(level.join(comps, "id", "left").select(*columns, F.coalesce("component", "id").alias("comp")), "near-level")
+    level = scratch.table(level.join(comps, "id", "left").select(*columns, F.coalesce("component", "id").alias("comp")), "near-level")
     pairs, crowds, grids = [], [], []
     for depth in range(1, DEPTH + 1):
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
@@ -359,31 +360,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             found = candidates(blocks_of(level, sizes, grid=True))
         else:
             found = candidates(blocks_of(level, sizes))
-        found = materialize(found, "near-found")
+        found = scratch.table(found, "near-found")
         pairs.append(found.where("kind = 0").select("a", "b"))
         crowds.append(found.where("kind = 1").select(F.col("group").alias("g"), F.lit(2).alias("side"), F.col("a").alias("id"), F.col("b").alias("comp")))
         thick = found.where("kind = 2").select("tree", "node", F.col("a").alias("id"), F.col("b").alias("comp"), "mean")
         if depth == DEPTH or thick.isEmpty():
             break
         grids.append(dense_grid(thick.where(F.col("mean") >= NEARLY).select("node", "id", "comp")))
-        level = materialize(next_level(thick.where(F.col("mean") < DENSE), classes), "near-level")
+        level = scratch.table(next_level(thick.where(F.col("mean") < DENSE), classes), "near-level")
 
     together = lambda parts: reduce(DataFrame.union, parts)
-    pairs = materialize(together(pairs).distinct(), "near-pairs")
-    blocks = materialize(together(crowds + grids), "near-blocks")
+    pairs = scratch.table(together(pairs).distinct(), "near-pairs")
+    blocks = scratch.table(together(crowds + grids), "near-blocks")
     known = texts.select("id")
     more = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(blocks.select("id")).distinct().join(known, "id", "left_anti")
-    more = materialize(more, "near-more")
+    more = scratch.table(more, "near-more")
     if not more.isEmpty():
-        texts = materialize(texts.unionByName(base.join(more.hint("shuffle_hash"), "id", "left_semi")), "near-texts")
-    links += [confirm_stars(pairs, texts, k, percent), confirm_blocks(blocks, texts, k, percent)]
-    comps = materialize(components(together(links)), "near-components")
+        texts = scratch.table(texts.unionByName(base.join(more.hint("shuffle_hash"), "id", "left_semi")), "near-texts")
+    links += [confirm_stars(pairs, texts, k, percent, scratch), confirm_blocks(blocks, texts, k, percent, scratch)]
+    comps = components(together(links))
 
     out = all_sets.select("id", "n", "digest").join(reps, "digest", "left")
     start = F.coalesce("rep", "id").cast("long")
     out = out.withColumn("start", start).join(comps.withColumnRenamed("id", "start"), "start", "left")
     component = F.coalesce("component", "start")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    out = materialize(out, "near-duplicates")
+    scratch.drop()
+    return out
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

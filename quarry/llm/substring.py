@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.fmindex import FMIndex
 from quarry.llm.text import shingle_hashes, word_hashes
-from quarry.plans.shared import materialize
+from quarry.plans.shared import Scratch, materialize
 
 WINDOW, GRAM = 13, 5
 SHARD_WORDS, HOT = 1_000_000, 20_000
@@ -69,8 +69,8 @@ def survey(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFram
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(work, "id long, digest binary, n_words long, clean_sha256 string, anchors array<long>")
 
 
-SEGMENT = "id long, start int, segment_id binary, anchor long, segment binary"
-_ARROW = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
+SEGMENT = "id long, key long, start int, segment_id binary, anchor long, segment binary"
+_ARROW = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
 
 
 def _rows(rows: list[tuple], schema: str = SEGMENT, types: tuple = _ARROW) -> pa.RecordBatch:
@@ -79,13 +79,13 @@ def _rows(rows: list[tuple], schema: str = SEGMENT, types: tuple = _ARROW) -> pa
 
 
 def segments(texts: DataFrame, window: int) -> DataFrame:
-    """(id, text, anchors) -> where segments with these anchors start (id, start, segment_id) and, with a null
-    start, the segments themselves (least id of the batch, segment_id, anchor, segment)."""
+    """(id, key, text, anchors) -> where segments with these anchors start (id, key, start, segment_id) and, with a
+    null start, the segments themselves (least id of the batch, segment_id, anchor, segment). key tells texts apart."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, bodies = [], {}
-            for id_, text, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            for id_, of, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 data = text.as_py().encode()
                 words, anchors = data.split(), window_anchors(word_hashes(data), window)
                 edges = np.flatnonzero(np.diff(anchors, prepend=~anchors[:1], append=~anchors[-1:]))
@@ -94,12 +94,12 @@ def segments(texts: DataFrame, window: int) -> DataFrame:
                 for a, e, anchor in zip(edges[at].tolist(), edges[at + 1].tolist(), runs[at].tolist(), strict=True):
                     body = b" ".join(words[a : e + window - 1])
                     key = xxhash.xxh3_128_digest(body)
-                    rows.append((id_, a, key, None, None))
+                    rows.append((id_, of, a, key, None, None))
                     if key not in bodies or id_ < bodies[key][0]:
-                        bodies[key] = (id_, None, key, anchor, body)
+                        bodies[key] = (id_, None, None, key, anchor, body)
             yield _rows(rows + list(bodies.values()))
 
-    return texts.select("id", "text", "anchors").mapInArrow(work, SEGMENT)
+    return texts.select("id", "key", "text", "anchors").mapInArrow(work, SEGMENT)
 
 
 def single_windows(bodies: DataFrame, window: int) -> DataFrame:
@@ -156,32 +156,37 @@ def search_shards(bodies: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(work, "segment_id binary, least array<long>")
 
 
-def repeated_windows(docs: DataFrame, known: DataFrame, reps: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+def repeated_windows(docs: DataFrame, known: DataFrame, reps: DataFrame, window: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """(id, digest) and the first words of its repeated windows, for the first document of each text."""
     some = known.where("id is not null")
     each = some.select(F.xxhash64("digest").alias("text"), F.explode("anchors").alias("anchor"))
     shared = each.groupBy("anchor").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("anchor")  # of two texts at least
     where = some.select("id", F.explode("anchors").alias("anchor")).join(shared.hint("shuffle_hash"), "anchor")
-    wanted = materialize(where.groupBy("id").agg(F.collect_list("anchor").alias("anchors")), "sub-anchors", free=True)
-    first = known.select("id", "digest").join(reps, "digest").where("id = rep").select("id", "digest").dropDuplicates(["digest"])
-    wanted = materialize(wanted.join(first, "id"), "sub-wanted")
+    wanted = scratch.table(where.groupBy("id").agg(F.collect_list("anchor").alias("anchors")), "sub-anchors", free=True)
+    first = known.select("id", "digest").join(reps, "digest").where("id = rep").select("id", "digest", F.xxhash64("digest").alias("key")).dropDuplicates(["digest"])
+    wanted = scratch.table(wanted.join(first, "id"), "sub-wanted")
+    scratch.drop("sub-anchors")
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = texts.join(wanted.hint("shuffle_hash"), "id").where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("digest"))
-    parts = materialize(segments(texts, window), "sub-segments", free=True)
+    parts = scratch.table(segments(texts, window), "sub-segments", free=True)
+    scratch.drop("sub-wanted")
 
     bodies = parts.where("segment is not null")
-    hot = materialize(bodies.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor"), "sub-hot")
+    hot = scratch.table(bodies.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor"), "sub-hot")
     found = search_shards(bodies.join(hot, "anchor", "left_anti"), window)
     if not hot.isEmpty():
-        windows = materialize(single_windows(bodies.join(hot, "anchor", "left_semi").select(*parts.columns), window), "sub-windows")
+        windows = scratch.table(single_windows(bodies.join(hot, "anchor", "left_semi").select(*parts.columns), window), "sub-windows")
         least = windows.select("of", "at", "segment_id").distinct().join(search_shards(windows, window), "segment_id")
         found = found.unionByName(least.groupBy(F.col("of").alias("segment_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("least")[0].alias("m")))), lambda x: x["m"]).alias("least")))
-    found = materialize(found, "sub-found", free=True)
+    found = scratch.table(found, "sub-found", free=True)
 
     starts = F.filter(F.transform("least", lambda m, j: F.when(m < F.col("id"), F.col("start") + j)), lambda x: x.isNotNull())
-    hits = parts.where("start is not null").select("id", "start", "segment_id").join(found, "segment_id").select("id", starts.alias("starts")).where(F.size("starts") > 0)
-    return hits.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts")).join(first, "id").select("id", "digest", "starts")
+    hits = parts.where("start is not null").select("id", "key", "start", "segment_id").join(found, "segment_id").select("id", "key", starts.alias("starts")).where(F.size("starts") > 0)
+    hits = hits.groupBy("id", "key").agg(F.flatten(F.collect_list("starts")).alias("starts")).join(first, ["id", "key"]).select("id", "digest", "starts")
+    hits = scratch.table(hits, "sub-hits", free=True)
+    scratch.drop("sub-segments", "sub-hot", "sub-windows", "sub-found")
+    return hits
 
 
 def removed(words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -192,8 +197,8 @@ def removed(words: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(change)[:words] > 0
 
 
-def _survey(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    known = materialize(survey(docs, window, id_col, text_col), "sub-survey", free=True)
+def _survey(docs: DataFrame, window: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    known = scratch.table(survey(docs, window, id_col, text_col), "sub-survey", free=True)
     return known, known.where("id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
 
 
@@ -226,19 +231,23 @@ def _apply(docs: DataFrame, hits: DataFrame, window: int, id_col: str, text_col:
 
 def digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
-    known, reps = _survey(docs, window, id_col, text_col)
-    hits = materialize(repeated_windows(docs, known, reps, window, id_col, text_col), "sub-hits", free=True)
+    scratch = Scratch(docs.sparkSession)
+    known, reps = _survey(docs, window, id_col, text_col, scratch)
+    hits = repeated_windows(docs, known, reps, window, id_col, text_col, scratch)
     changed = _apply(docs.select(id_col, text_col), hits, window, id_col, text_col, "inner", texts=False)
     digest = F.unhex(F.md5(F.col(text_col).cast("binary")))
-    changed = materialize(changed.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), "n_removed", "kept").dropDuplicates(["id", "digest"]), "sub-changed")
+    changed = scratch.table(changed.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), "n_removed", "kept").dropDuplicates(["id", "digest"]), "sub-changed", free=True)
     out = known.select("id", "digest", "n_words", "clean_sha256").join(reps, "digest", "left").join(changed, ["id", "digest"], "left")
     copy = (F.col("id") > F.col("rep")) & (F.col("n_words") >= window)  # all its windows start in the first document of its text
-    return out.select(
+    out = out.select(
         F.col("id").alias(id_col),
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "clean_sha256")).alias("kept_sha256"),
     )
+    out = materialize(out, "sub-digests")
+    scratch.drop()
+    return out
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,8 +255,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
     Texts without repeats stay as they are.
     """
-    known, reps = _survey(docs, window, id_col, text_col)
-    hits = repeated_windows(docs, known, reps, window, id_col, text_col)
+    scratch = Scratch(docs.sparkSession)
+    known, reps = _survey(docs, window, id_col, text_col, scratch)
+    hits = repeated_windows(docs, known, reps, window, id_col, text_col, scratch)
     copies = known.join(reps, "digest").where((F.col("id") > F.col("rep")) & (F.col("n_words") >= window)).select("id", "digest", F.sequence(F.lit(0), (F.col("n_words") - window).cast("int")).alias("starts")).dropDuplicates(["id", "digest"])
-    out = _apply(docs, materialize(hits.unionByName(copies), "sub-hits"), window, id_col, text_col, "left", texts=True)
+    hits = materialize(hits.unionByName(copies), "sub-all-hits")
+    scratch.drop()
+    out = _apply(docs, hits, window, id_col, text_col, "left", texts=True)
     return out.select(*[F.col("kept").alias(c) if c == text_col else F.col(c) for c in docs.columns])
