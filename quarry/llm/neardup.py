@@ -7,7 +7,8 @@ by its token there, so that two classes of similarity J share a child with 1.25
 from 0.8 on. Nodes of up to LEAF classes are compared exhaustively, by a sketch of 32 bytes; larger nodes
 branch again. As branching can't part classes that are alike, a class of a large node whose mean agreement
 with the node (by a random block of it) is DENSE or more is compared with all of the node that may be
-similar, and goes no further. What is still large after DEPTH levels is compared in a grid of blocks. TREES
+similar, and goes no further. From the second level on, nodes of up to WIDE classes are compared in a grid of
+blocks, as is all that is left at level DEPTH. TREES
 independent trees bring the recall of a pair at the threshold to over 0.999 at any depth up to 5. Every
 candidate is confirmed on the full sets, rebuilt from whole texts.
 
@@ -39,9 +40,9 @@ from quarry.llm.text import mix64, shingle_hashes, word_hashes
 from quarry.plans.shared import Scratch, materialize
 
 SIGNATURE, SKETCH = 128, 32
-TREES, FIRST, DEPTH, LEAF = 12, 3, 6, 192
+TREES, FIRST, DEPTH, LEAF, WIDE = 12, 3, 10, 192, 4_096
 DENSE, NEARLY = 16, 6  #: of 32, mean agreement with a node; by the triangle inequality what is similar to a dense class has NEARLY
-CROWDED, GRID = 2, 256  #: candidates per class of a group that are compared in place; classes of a block there
+CROWDED, GRID = 2, 384  #: candidates per class of a group that are compared in place; classes of a block among dense ones
 SKETCH_LEAST = 16  #: of 32 coordinates; a pair of similarity 0.8 has fewer in 3 of a million cases
 STAR = 512  #: members of a star that are confirmed in one group
 _RNG = np.random.Generator(np.random.PCG64(77))
@@ -188,7 +189,7 @@ def candidates(groups: DataFrame) -> DataFrame:
 
     0: similar pairs (a, b), a > b, of different components. 1: of groups that have many, the members that are in
     any instead (a = id, b = component, group). 2: of blocks of large nodes (side 3), each row with its mean agreement with
-    the others (tree, node, a = id, b = component, mean).
+    the others and its sketch (tree, node, a = id, b = component, mean, sketch).
     """
 
     def work(group, tree, node, ids, comp, side, sketch):
@@ -211,9 +212,9 @@ def candidates(groups: DataFrame) -> DataFrame:
         mean, large = total / np.maximum(rows[at] - 1, 1), np.flatnonzero(side == 3)
         kinds = np.repeat(np.arange(3, dtype=np.int32), [len(a), len(members), len(large)])
         rest = lambda x, fill: np.concatenate([np.full(len(a), fill, x.dtype), x[members], x[large]])
-        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(rest(tree, 0)), pa.array(rest(node, 0)), pa.array(rest(group, 0)), pa.array(np.concatenate([ids[a], ids[members], ids[large]])), pa.array(np.concatenate([ids[b], comp[members], comp[large]])), pa.array(rest(mean, 0.0))], names=["kind", "tree", "node", "group", "a", "b", "mean"])
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(rest(tree, 0)), pa.array(rest(node, 0)), pa.array(rest(group, 0)), pa.array(np.concatenate([ids[a], ids[members], ids[large]])), pa.array(np.concatenate([ids[b], comp[members], comp[large]])), pa.array(rest(mean, 0.0)), pa.array([None] * (len(a) + len(members)) + [x.tobytes() for x in sketch[large]], pa.binary())], names=["kind", "tree", "node", "group", "a", "b", "mean", "sketch"])
 
-    return by_group(groups, "tree node id comp side sketch", work, "kind int, tree int, node long, group long, a long, b long, mean double")
+    return by_group(groups, "tree node id comp side sketch", work, "kind int, tree int, node long, group long, a long, b long, mean double, sketch binary")
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
@@ -272,16 +273,16 @@ def confirm_blocks(rows: DataFrame, texts: DataFrame, k: int, percent: int, scra
 
 
 def dense_grid(rows: DataFrame) -> DataFrame:
-    """Rows (node, id, comp) of classes that may be similar to dense ones -> (g, side, id, comp): in each node, all
-    that are not of its most frequent component against all."""
+    """Rows (tree, node, id, comp, sketch) of classes that may be similar to dense ones, in groups with sides 0 and 1: in
+    each node, all that are not of its most frequent component against all."""
     counts = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
     nodes = counts.groupBy("node").agg(F.max_by("comp", "n").alias("most"), F.max("n").alias("of_most"), F.sum("n").alias("all")).withColumn("rest", F.col("all") - F.col("of_most")).where("rest > 0")
     parts = lambda c: F.ceil(F.col(c) / F.lit(GRID)).cast("int")
     own = lambda c: F.pmod(F.xxhash64("id", "node"), parts(c)).cast("int")
-    both = rows.join(nodes, "node")
-    rest = both.where("comp <> most").select("node", "id", "comp", F.lit(0).alias("side"), own("rest").alias("i"), F.explode(F.sequence(F.lit(0), parts("all") - 1)).alias("j"))
-    every = both.select("node", "id", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), parts("rest") - 1)).alias("i"), own("all").alias("j"))
-    return rest.unionByName(every).select(F.xxhash64("node", "i", "j").alias("g"), "side", "id", "comp")
+    both, columns = rows.join(nodes, "node"), ["tree", "node", "id", "comp", "sketch"]
+    rest = both.where("comp <> most").select(*columns, F.lit(0).alias("side"), own("rest").alias("i"), F.explode(F.sequence(F.lit(0), parts("all") - 1)).alias("j"))
+    every = both.select(*columns, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), parts("rest") - 1)).alias("i"), own("all").alias("j"))
+    return rest.unionByName(every).withColumn("group", F.xxhash64("node", "i", "j"))
 
 
 def confirm_stars(pairs: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -318,16 +319,19 @@ def confirm_stars(pairs: DataFrame, texts: DataFrame, k: int, percent: int, scra
     return scratch.table(rows.mapInArrow(work, "a long, b long"), "near-links")
 
 
-def blocks_of(rows: DataFrame, sizes: DataFrame, grid: bool = False) -> DataFrame:
-    """Rows of nodes in blocks of LEAF at the mean, salted by id. side: 2 for whole nodes, 3 for blocks of large ones; in a
-    grid, where each block meets each, 0 and 1 for two blocks that meet and 2 within a block."""
-    n = F.ceil(F.col("n") / F.lit(LEAF)).cast("int")
-    dealt = rows.join(sizes.select("node", "n"), "node").withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("id", "node"), F.col("n")).cast("int"))
-    if not grid:
-        return dealt.withColumn("group", F.xxhash64("node", "block")).withColumn("side", F.when(F.col("n") > 1, 3).otherwise(2))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    side = F.when(F.col("other") == F.col("block"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    return met.withColumn("group", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))).withColumn("side", side)
+def blocks_of(rows: DataFrame, sizes: DataFrame, grid: int = 0) -> DataFrame:
+    """Rows of nodes in blocks of LEAF at the mean, salted by id, each with its block's key (group).
+
+    side: 2 for whole nodes, 3 for blocks of large ones. In nodes of up to ``grid`` rows each block meets each: 0
+    and 1 for two blocks that meet, 2 within a block.
+    """
+    parts = F.ceil(F.col("n") / F.lit(LEAF)).cast("int")
+    dealt = rows.join(sizes.select("node", "n"), "node").withColumns({"met": F.col("n") <= grid, "n": parts}).withColumn("met", F.col("met") & (F.col("n") > 1))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", "node"), F.col("n")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.when(F.col("met"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array("block"))))
+    apart = F.when(F.col("block") < F.col("other"), 0).when(F.col("block") > F.col("other"), 1).otherwise(2)
+    side = F.when(F.col("met"), apart).when(F.col("n") > 1, 3).otherwise(2)
+    return dealt.withColumn("group", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))).withColumn("side", side)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,32 +357,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     level = level.join(sizes.where(F.col("n") > LEAF).select("node"), "node", "left_semi")
     level = close.where("whole = 1").select(*columns).unionByName(level.select(*columns))
     level = scratch.table(level.join(comps, "id", "left").select(*columns, F.coalesce("component", "id").alias("comp")), "near-level")
-    pairs, crowds, grids = [], [], []
+    found = []
     for depth in range(1, DEPTH + 1):
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        if depth == DEPTH:
-            found = candidates(blocks_of(level, sizes, grid=True))
-        else:
-            found = candidates(blocks_of(level, sizes))
-        found = scratch.table(found, "near-found")
-        pairs.append(found.where("kind = 0").select("a", "b"))
-        crowds.append(found.where("kind = 1").select(F.col("group").alias("g"), F.lit(2).alias("side"), F.col("a").alias("id"), F.col("b").alias("comp")))
-        thick = found.where("kind = 2").select("tree", "node", F.col("a").alias("id"), F.col("b").alias("comp"), "mean")
-        if depth == DEPTH or thick.isEmpty():
+        grid = 0 if depth == 1 else WIDE if depth < DEPTH else 1 << 62
+        found.append(scratch.table(candidates(blocks_of(level, sizes, grid)), "near-found"))
+        thick = found[-1].where("kind = 2").select("tree", "node", F.col("a").alias("id"), F.col("b").alias("comp"), "mean", "sketch")
+        if thick.isEmpty():
             break
-        grids.append(dense_grid(thick.where(F.col("mean") >= NEARLY).select("node", "id", "comp")))
+        found.append(scratch.table(candidates(dense_grid(thick.where(F.col("mean") >= NEARLY))), "near-found"))
         level = scratch.table(next_level(thick.where(F.col("mean") < DENSE), classes), "near-level")
 
-    together = lambda parts: reduce(DataFrame.union, parts)
-    pairs = scratch.table(together(pairs).distinct(), "near-pairs")
-    blocks = scratch.table(together(crowds + grids), "near-blocks")
+    found = reduce(DataFrame.union, found)
+    pairs = scratch.table(found.where("kind = 0").select("a", "b").distinct(), "near-pairs")
+    blocks = found.where("kind = 1").select(F.col("group").alias("g"), F.lit(2).alias("side"), F.col("a").alias("id"), F.col("b").alias("comp"))
     known = texts.select("id")
     more = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(blocks.select("id")).distinct().join(known, "id", "left_anti")
     more = scratch.table(more, "near-more")
     if not more.isEmpty():
         texts = scratch.table(texts.unionByName(base.join(more.hint("shuffle_hash"), "id", "left_semi")), "near-texts")
     links += [confirm_stars(pairs, texts, k, percent, scratch), confirm_blocks(blocks, texts, k, percent, scratch)]
-    comps = components(together(links))
+    comps = components(reduce(DataFrame.union, links))
 
     out = all_sets.select("id", "n", "digest").join(reps, "digest", "left")
     start = F.coalesce("rep", "id").cast("long")
@@ -393,7 +392,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, that with the least id (of rows with equal ids, the least text); rows with a null id stay."""
     kept = near_duplicates(docs.select(id_col, text_col), k, percent, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct()
-    rows = docs.join(kept, docs[id_col] == F.col("__id"), "left_semi")
+    rows = docs.join(kept.hint("shuffle_hash"), docs[id_col] == F.col("__id"), "left_semi")
     one = F.row_number().over(Window.partitionBy(id_col).orderBy(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     rows = rows.withColumn("__row", one).where("__row = 1").drop("__row")
     return rows.unionByName(docs.where(F.col(id_col).isNull()))

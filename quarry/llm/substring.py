@@ -203,11 +203,11 @@ def _survey(docs: DataFrame, window: int, id_col: str, text_col: str, scratch: S
 
 
 def _apply(docs: DataFrame, hits: DataFrame, window: int, id_col: str, text_col: str, how: str, texts: bool) -> DataFrame:
-    """Joins documents with their windows: (all columns of docs, n_removed, kept) with kept words or their hash."""
+    """Joins documents with their windows: (all columns of docs, __removed, __kept) with kept words or their hash."""
     names = docs.columns
     given = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__digest", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     joined = given.join(hits.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("starts").alias("__starts")).hint("shuffle_hash"), ["__id", "__digest"], how)
-    schema = docs.select(names).schema.add("n_removed", "long").add("kept", "string")
+    schema = docs.select(names).schema.add("__removed", "long").add("__kept", "string")
     at = names.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +224,7 @@ def _apply(docs: DataFrame, hits: DataFrame, window: int, id_col: str, text_col:
                     kept.append(b" ".join([words[i] for i in np.flatnonzero(~gone)]).decode())
                 else:
                     kept.append(text)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(counts, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(counts, pa.int64()), pa.array(kept, pa.string())], names=[*names, "__removed", "__kept"])
 
     return joined.select(*names, "__starts").mapInArrow(work, schema)
 
@@ -236,7 +236,7 @@ def digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     hits = repeated_windows(docs, known, reps, window, id_col, text_col, scratch)
     changed = _apply(docs.select(id_col, text_col), hits, window, id_col, text_col, "inner", texts=False)
     digest = F.unhex(F.md5(F.col(text_col).cast("binary")))
-    changed = scratch.table(changed.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), "n_removed", "kept").dropDuplicates(["id", "digest"]), "sub-changed", free=True)
+    changed = scratch.table(changed.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), F.col("__removed").alias("n_removed"), F.col("__kept").alias("kept")).dropDuplicates(["id", "digest"]), "sub-changed", free=True)
     out = known.select("id", "digest", "n_words", "clean_sha256").join(reps, "digest", "left").join(changed, ["id", "digest"], "left")
     copy = (F.col("id") > F.col("rep")) & (F.col("n_words") >= window)  # all its windows start in the first document of its text
     out = out.select(
@@ -262,4 +262,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     hits = materialize(hits.unionByName(copies), "sub-all-hits")
     scratch.drop()
     out = _apply(docs, hits, window, id_col, text_col, "left", texts=True)
-    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return out.select(*[F.col("__kept").alias(c) if c == text_col else F.col(c) for c in docs.columns])

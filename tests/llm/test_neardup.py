@@ -63,8 +63,9 @@ def test_against_all_pairs(documents, rows, k):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute(rows, k)
 
 
-def test_large_nodes_and_crowded_groups(documents, rows, monkeypatch):
-    for name, value in (("LEAF", 8), ("DEPTH", 3), ("GRID", 7), ("CROWDED", 0), ("STAR", 4), ("FIRST", 1)):
+@pytest.mark.parametrize("wide, depth", [(0, 3), (30, 6)])
+def test_large_nodes_and_crowded_groups(documents, rows, monkeypatch, wide, depth):
+    for name, value in (("LEAF", 8), ("WIDE", wide), ("DEPTH", depth), ("GRID", 7), ("CROWDED", 0), ("STAR", 4), ("FIRST", 1)):
         monkeypatch.setattr(nd, name, value)
     got = nd.near_duplicates(documents([(i, t, "s") for i, t in rows]), k=2)
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute(rows, 2)
