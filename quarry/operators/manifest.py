@@ -14,7 +14,7 @@ BLOCK = ["bucket", "file_from_offset", "block_index"]
 
 #: The block states that may follow each state.
 TRANSITIONS = {"OPEN": ["SEALED"], "SEALED": ["UPLOADING"], "UPLOADING": ["SUCCESS", "FAILED"], "FAILED": ["UPLOADING"], "SUCCESS": []}
-SUFFIX_UPLOADED, PAGE_CACHED = 3, 1  #: per-block states of a file: 0 none, 1 durable, 3 uploaded
+UPLOADED, PAGE_CACHED = 3, 1  #: per-block states of a file: 0 none, 1 durable, 3 uploaded
 
 
 def object_offsets(packed: DataFrame) -> DataFrame:
@@ -98,11 +98,11 @@ def contiguous_prefix(states: DataFrame, by: list[str], index: str, stands: Colu
 
 
 def upload_pointer(states: DataFrame, by: list[str], index: str, state: str, block_bytes: int, failed: Column | None = None) -> DataFrame:
-    return contiguous_prefix(states, by, index, F.col(state) == SUFFIX_UPLOADED, block_bytes, failed)
+    return contiguous_prefix(states, by, index, F.col(state) == UPLOADED, block_bytes, failed)
 
 
 def read_pointer(states: DataFrame, by: list[str], index: str, state: str, block_bytes: int, failed: Column | None = None) -> DataFrame:
-    return contiguous_prefix(states, by, index, F.col(state).isin(PAGE_CACHED, SUFFIX_UPLOADED), block_bytes, failed)
+    return contiguous_prefix(states, by, index, F.col(state).isin(PAGE_CACHED, UPLOADED), block_bytes, failed)
 
 
 def collectable_files(files: DataFrame) -> DataFrame:

@@ -372,6 +372,7 @@ c AS (SELECT event_id, xor(list_reduce(list_prepend(4294967295, list_transform(r
 ORACLE_SQL = {
     "framed_size": "SELECT doc_id, octet_length(encode(text))::BIGINT AS payload_bytes, (12 + octet_length(encode(text)) + 3)::BIGINT & -4 AS framed_size FROM documents",
     "record_crc": f"{_CRC} SELECT event_id, crc, (CASE WHEN crc >= 2147483648 THEN crc - 4294967296 ELSE crc END)::INT AS stored_crc, true AS matches FROM c",
+    "record_frame": "SELECT n_nationkey, '43433353' AS magic, ((n + 15) & -4)::BIGINT AS frame_bytes, md5(unhex(printf('%02x000000', n)) || encode(n_name) || unhex(repeat('00', (((n + 15) & -4) - n - 12)::INT))) AS body_md5 FROM (SELECT *, octet_length(encode(n_name))::INT AS n FROM nation)",
     "slice_payload": "SELECT c_custkey, substr(c_name, 3, 5) AS part FROM customer",
     "block_key": "SELECT o_orderkey, (o_orderkey << 8) | (o_custkey & 255) AS block_key FROM orders",
     "block_key_roundtrip": "SELECT o_orderkey, o_orderkey AS file_from_offset, (o_custkey & 255)::INT AS block_index FROM orders",
