@@ -28,10 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN_CHARS = 12_000_000  #: characters of text whose new pieces go to one recursive query
+RUN_CHARS = 4_000_000  #: characters of text whose new pieces go to one recursive query
 PIECES = 60_000  #: pieces in one recursive query
 LONG = 64  #: bytes of a piece beyond which equal pairs are contracted together
-MEMO = 900_000  #: chunks kept from earlier runs
+MEMO = 900_000  #: chunks kept from earlier runs, some 300 bytes each; fewer take less memory and more time
 #: White space as the pattern's \s has it (Unicode White_Space).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -106,7 +106,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.con.execute("SET enable_progress_bar = false")
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, merged = np.array(merges, np.int64).reshape(-1, 3).T
@@ -175,9 +175,9 @@ class Codec:
             spaced += words[1:]
         return firsts, spaced
 
-    def learn(self, texts: list[str]) -> None:
-        """Puts every chunk of the texts into the memo."""
-        if len(self.ids) + len(self.spaced_ids) > MEMO:
+    def learn(self, texts: list[str], most: int) -> None:
+        """Puts every chunk of the texts into the memo, which is emptied first if it holds over ``most``."""
+        if len(self.ids) + len(self.spaced_ids) > most:
             for memo in (self.ids, self.bytes, self.spaced_ids, self.spaced_bytes):
                 memo.clear()
         new, new_spaced = {"\n"}, set()
@@ -219,12 +219,12 @@ class Codec:
         return " ".join(ids), b"".join(out)
 
 
-def runs(texts: list[str | None]) -> Iterator[list[str]]:
+def runs(texts: pa.Array) -> Iterator[list[str]]:
     """The texts in runs of RUN_CHARS; null as the empty text."""
     run: list[str] = []
     n = 0
     for t in texts:
-        run.append(t or "")
+        run.append(t.as_py() or "")
         n += len(run[-1])
         if n >= RUN_CHARS:
             yield run
@@ -233,18 +233,20 @@ def runs(texts: list[str | None]) -> Iterator[list[str]]:
         yield run
 
 
-def encode(docs: DataFrame, content: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, lists: bool = True) -> DataFrame:
+def encode(docs: DataFrame, content: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, lists: bool = True, memo: int = MEMO) -> DataFrame:
     """id, n_tokens and, with ``lists``, ids (array<int>) and, with ``digests``, the SHA-256 of the joined ids and of the decoded bytes."""
     id_type = docs.schema[id_col].dataType.simpleString()
     extra = [("ids", "array<int>", pa.list_(pa.int32()))] * lists + [("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())] * digests
     schema = f"`{id_col}` {id_type}, n_tokens long, " + ", ".join(f"{name} {kind}" for name, kind, _ in extra)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()
         codec = Codec.get(content, pattern)
         for batch in batches:
-            n, cols = [], [[] for _ in extra]
-            for run in runs(batch.column(1).to_pylist()):
-                codec.learn(run)
+            at = 0
+            for run in runs(batch.column(1)):  # a batch out for each run, so that only one is held
+                codec.learn(run, memo)
+                n, cols = [], [[] for _ in extra]
                 for text in run:
                     ids, decoded = codec.run(text)
                     n.append(ids.count(" ") + 1 if ids else 0)
@@ -253,8 +255,9 @@ def encode(docs: DataFrame, content: bytes, pattern: str, id_col: str = "doc_id"
                     if digests:
                         cols[-2].append(hashlib.sha256(ids.encode()).hexdigest())
                         cols[-1].append(hashlib.sha256(decoded).hexdigest())
-            arrays = [pa.array(c, kind) for c, (*_, kind) in zip(cols, extra, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *arrays], names=[id_col, "n_tokens", *(name for name, *_ in extra)])
+                arrays = [pa.array(c, kind) for c, (*_, kind) in zip(cols, extra, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array(n, pa.int64()), *arrays], names=[id_col, "n_tokens", *(name for name, *_ in extra)])
+                at += len(run)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, schema)
 

@@ -30,7 +30,7 @@ TEXTS = [
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_as_tiktoken(codec, reference, text):
-    codec.learn([text])
+    codec.learn([text], bpe.MEMO)
     ids, decoded = codec.run(text)
     assert ids == " ".join(map(str, reference.encode_ordinary(text)))
     assert decoded == text.encode()
@@ -39,7 +39,7 @@ def test_as_tiktoken(codec, reference, text):
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=80))
 def test_any_text(codec, reference, text):
-    codec.learn([text])
+    codec.learn([text], bpe.MEMO)
     ids, decoded = codec.run(text)
     assert ids == " ".join(map(str, reference.encode_ordinary(text)))
     assert decoded == text.encode()
@@ -54,11 +54,10 @@ def test_unsafe_merges():
         assert own.encode_pieces([text.encode()])[0][0] == " ".join(map(str, want.encode_ordinary(text)))
 
 
-def test_small_memo(monkeypatch, reference):
-    monkeypatch.setattr(bpe, "MEMO", 2)
+def test_small_memo(reference):
     own = bpe.Codec(bpe.read_ranks(rank_file()), public_tokenizers.PATTERN)
     for text in ("alpha beta gammaq", "deltaq alpha", "alpha beta gammaq"):
-        own.learn([text])
+        own.learn([text], 2)
         assert own.run(text)[0] == " ".join(map(str, reference.encode_ordinary(text)))
 
 
