@@ -109,3 +109,12 @@ def within_block(position: Column | str, block_bytes: int) -> Column:
 
 def bytes_to_mib(size: Column | str) -> Column:
     return F.shiftright(_column(size).cast("long"), 20)
+
+
+def ordered_concat(position: str, payload: str) -> Column:
+    """Aggregate: the payloads of a group in order of position, as one binary value.
+
+    Joined as hexadecimal text: concatenating binaries one by one would copy the whole for each.
+    """
+    parts = F.array_sort(F.collect_list(F.struct(F.col(position).alias("at"), F.hex(F.col(payload)).alias("hex"))))
+    return F.unhex(F.array_join(F.transform(parts, lambda x: x["hex"]), ""))

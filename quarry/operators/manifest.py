@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.frames import block_key, object_key
+from quarry.functions.frames import block_key, object_key, ordered_concat
 
 BLOCK = ["bucket", "file_from_offset", "block_index"]
 
@@ -145,9 +145,7 @@ def distinct_tasks(tasks: DataFrame) -> DataFrame:
 
 def concat_blocks(placed: DataFrame, payload: str = "payload") -> DataFrame:
     """The object of each block: its payloads in order. A block bounds what one group holds."""
-    parts = F.array_sort(F.collect_list(F.struct("wal_pos", F.col(payload).alias("p"))))
-    body = F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["p"]))
-    return placed.where("status = 'PUT_OK'").groupBy(*BLOCK).agg(body.alias("content"))
+    return placed.where("status = 'PUT_OK'").groupBy(*BLOCK).agg(ordered_concat("wal_pos", payload).alias("content"))
 
 
 def point_lookup(receipts: DataFrame, objects: DataFrame) -> DataFrame:

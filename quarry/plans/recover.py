@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.frames import object_key
+from quarry.functions.frames import object_key, ordered_concat
 from quarry.operators.manifest import recovery_candidates
 from quarry.sources.wal import register
 
@@ -21,8 +21,6 @@ def replay(spark: SparkSession, root: str, block_bytes: int, machine: str) -> Da
     headers = spark.read.format("wal_headers").option("path", root).load()
     files = recovery_candidates(meta, headers, F.lit(block_bytes)).select("bucket", "file_from_offset", "prefix")
     frames = spark.read.format("wal_frames").option("path", root).option("block_bytes", block_bytes).option("range", "recovery").load()
-    parts = F.array_sort(F.collect_list(F.struct("wal_pos", F.col("payload").alias("p"))))
-    body = F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["p"]))
-    blocks = frames.where("valid").join(files, ["bucket", "file_from_offset"]).groupBy("instance", "bucket", "file_from_offset", "block_index", "prefix").agg(body.alias("content"), F.count(F.lit(1)).alias("records"))
+    blocks = frames.where("valid").join(files, ["bucket", "file_from_offset"]).groupBy("instance", "bucket", "file_from_offset", "block_index", "prefix").agg(ordered_concat("wal_pos", "payload").alias("content"), F.count(F.lit(1)).alias("records"))
     key = object_key("prefix", machine, F.col("instance"), "bucket", "file_from_offset", "block_index")
     return blocks.select("instance", "bucket", "file_from_offset", "block_index", "records", key.alias("s3_key"), "content")
