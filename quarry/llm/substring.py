@@ -156,16 +156,20 @@ def search_shards(bodies: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(work, "segment_id binary, least array<long>")
 
 
-def repeated_windows(docs: DataFrame, known: DataFrame, reps: DataFrame, window: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """(id, digest) and the first words of its repeated windows, for the first document of each text."""
-    some = known.where("id is not null")
+def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, digest) and the first words of its repeated windows, for the first document of each text; the survey, without
+    anchors; and the least id (rep) of each text."""
+    some = scratch.table(survey(docs, window, id_col, text_col), "sub-survey", free=True)
+    known = scratch.table(some.drop("anchors"), "sub-known")
+    reps = known.where("id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
+    some = some.where("id is not null")
     each = some.select(F.xxhash64("digest").alias("text"), F.explode("anchors").alias("anchor"))
     shared = each.groupBy("anchor").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("anchor")  # of two texts at least
     where = some.select("id", F.explode("anchors").alias("anchor")).join(shared.hint("shuffle_hash"), "anchor")
     wanted = scratch.table(where.groupBy("id").agg(F.collect_list("anchor").alias("anchors")), "sub-anchors", free=True)
     first = known.select("id", "digest").join(reps, "digest").where("id = rep").select("id", "digest", F.xxhash64("digest").alias("key")).dropDuplicates(["digest"])
-    wanted = scratch.table(wanted.join(first, "id"), "sub-wanted")
-    scratch.drop("sub-anchors")
+    wanted = scratch.table(wanted.join(first, "id"), "sub-wanted", free=True)
+    scratch.drop("sub-anchors", "sub-survey")
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = texts.join(wanted.hint("shuffle_hash"), "id").where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("digest"))
@@ -186,7 +190,7 @@ def repeated_windows(docs: DataFrame, known: DataFrame, reps: DataFrame, window:
     hits = hits.groupBy("id", "key").agg(F.flatten(F.collect_list("starts")).alias("starts")).join(first, ["id", "key"]).select("id", "digest", "starts")
     hits = scratch.table(hits, "sub-hits", free=True)
     scratch.drop("sub-segments", "sub-hot", "sub-windows", "sub-found")
-    return hits
+    return hits, known, reps
 
 
 def removed(words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -197,11 +201,6 @@ def removed(words: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(change)[:words] > 0
 
 
-def _survey(docs: DataFrame, window: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    known = scratch.table(survey(docs, window, id_col, text_col), "sub-survey", free=True)
-    return known, known.where("id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-
-
 def _apply(docs: DataFrame, hits: DataFrame, window: int, id_col: str, text_col: str, how: str, texts: bool) -> DataFrame:
     """Joins documents with their windows: (all columns of docs, __removed, __kept) with kept words or their hash."""
     names = docs.columns
@@ -232,8 +231,7 @@ def _apply(docs: DataFrame, hits: DataFrame, window: int, id_col: str, text_col:
 def digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
     scratch = Scratch(docs.sparkSession)
-    known, reps = _survey(docs, window, id_col, text_col, scratch)
-    hits = repeated_windows(docs, known, reps, window, id_col, text_col, scratch)
+    hits, known, reps = repeated_windows(docs, window, id_col, text_col, scratch)
     changed = _apply(docs.select(id_col, text_col), hits, window, id_col, text_col, "inner", texts=False)
     digest = F.unhex(F.md5(F.col(text_col).cast("binary")))
     changed = scratch.table(changed.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), F.col("__removed").alias("n_removed"), F.col("__kept").alias("kept")).dropDuplicates(["id", "digest"]), "sub-changed", free=True)
@@ -256,8 +254,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     Texts without repeats stay as they are.
     """
     scratch = Scratch(docs.sparkSession)
-    known, reps = _survey(docs, window, id_col, text_col, scratch)
-    hits = repeated_windows(docs, known, reps, window, id_col, text_col, scratch)
+    hits, known, reps = repeated_windows(docs, window, id_col, text_col, scratch)
     copies = known.join(reps, "digest").where((F.col("id") > F.col("rep")) & (F.col("n_words") >= window)).select("id", "digest", F.sequence(F.lit(0), (F.col("n_words") - window).cast("int")).alias("starts")).dropDuplicates(["id", "digest"])
     hits = materialize(hits.unionByName(copies), "sub-all-hits")
     scratch.drop()
