@@ -3,7 +3,9 @@ r"""Byte-level BPE encoding and decoding with DuckDB recursive queries inside ea
 Each partition holds an in-process DuckDB with the merge table (left id, right id, merged id; a merge's
 rank is its id) and the vocabulary. The distinct pieces of a run of texts become token-position rows,
 one per byte; a recursive query joins neighbouring rows with the merge table and contracts each
-piece's leftmost pair of least rank until no pair of the piece merges. Decoding joins ids with the
+piece's leftmost pair of least rank until no pair of the piece merges. As a recursive query keeps the rows
+of all its rounds, it stops after so many that these are at most ``ROWS`` and goes on from its last round
+alone, in memory that grows with the longest piece, not with its rounds; beyond that DuckDB spills. Decoding joins ids with the
 vocabulary and concatenates in order of position. Pieces seen before come from a bounded memo.
 
 Texts are first cut into chunks (an optional space and a run of non-space, or white space), a cut that
@@ -18,7 +20,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
+import tempfile
+from array import array
 from collections.abc import Iterator
 
 import duckdb
@@ -30,7 +35,11 @@ from pyspark.sql import functions as F
 
 RUN_CHARS = 4_000_000  #: characters of text whose new pieces go to one recursive query
 PIECES = 60_000  #: pieces in one recursive query
-LONG = 64  #: bytes of a piece beyond which equal pairs are contracted together
+LONG = 64  #: bytes of a piece beyond which pairs that don't depend on each other are contracted together
+LONG_RUN = 100_000  #: bytes of long pieces in one recursive query, or one piece
+ROWS = 5_000_000  #: rows that a recursive query makes before it starts anew from its last round, or one round
+CROSSINGS = 16  #: crossings a byte of a long piece (see ENCODE_LONG) beyond which they aren't used
+MEMORY, PIECE_MEMORY = 300_000_000, 1_000  #: bytes of memory of DuckDB, and those for each byte of a long piece; then it spills
 MEMO = 900_000  #: chunks kept from earlier runs, some 300 bytes each; fewer take less memory and more time
 #: White space as the pattern's \s has it (Unicode White_Space).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -44,7 +53,7 @@ WITH RECURSIVE step(g, tok, round) AS (
   (WITH pairs AS MATERIALIZED (
      SELECT n.g, n.tok, n.round, (m.merged::BIGINT << 32) + (n.g & 4294967295) AS key
      FROM (SELECT g, tok, round, CASE WHEN (lead(g) OVER (ORDER BY g)) >> 32 = g >> 32
-                                 THEN (tok::BIGINT << 20) + lead(tok) OVER (ORDER BY g) END AS pair FROM step) n
+                                 THEN (tok::BIGINT << 20) + lead(tok) OVER (ORDER BY g) END AS pair FROM step WHERE round < $rounds) n
      LEFT JOIN merges m ON m.pair = n.pair),
    least AS (SELECT g >> 32 AS piece, min(key) AS best FROM pairs WHERE key IS NOT NULL GROUP BY piece)
    SELECT g, tok, round
@@ -57,22 +66,31 @@ SELECT * FROM step
 
 # The same for long pieces, where one round contracts every occurrence of the least pair, leftmost first; in a
 # run of one token that is every other pair. Where a token can merge on at a rank below its own (not ``safe``),
-# another occurrence might not come next, and only the leftmost is contracted.
+# another occurrence might not come next, and only the leftmost is contracted. Beside these, a round contracts each
+# pair that is bound to merge as it stands: the only steps that could take a token of it before its turn make a token
+# of lower rank (of equal rank, to its left) that crosses an outer edge of the pair. ``crossings`` has a row for each
+# place (s to e) of a vocabulary token in the pieces and each position inside it; a place counts while its ends and
+# that position are edges of tokens.
 ENCODE_LONG = """
 WITH RECURSIVE step(g, tok, round) AS (
   SELECT g, tok, 0 FROM start
   UNION ALL
   (WITH pairs AS MATERIALIZED (
-     SELECT n.g, n.tok, n.round, n.rn, m.merged, m.safe, (m.merged::BIGINT << 32) + (n.g & 4294967295) AS key
-     FROM (SELECT g, tok, round, row_number() OVER (ORDER BY g) AS rn,
+     SELECT n.g, n.tok, n.round, n.rn, n.past, m.merged, m.safe, (m.merged::BIGINT << 32) + (n.g & 4294967295) AS key
+     FROM (SELECT g, tok, round, row_number() OVER (ORDER BY g) AS rn, lead(g, 2) OVER (ORDER BY g) AS past,
                   CASE WHEN (lead(g) OVER (ORDER BY g)) >> 32 = g >> 32
-                  THEN (tok::BIGINT << 20) + lead(tok) OVER (ORDER BY g) END AS pair FROM step) n
+                  THEN (tok::BIGINT << 20) + lead(tok) OVER (ORDER BY g) END AS pair FROM step WHERE round < $rounds) n
      LEFT JOIN merges m ON m.pair = n.pair),
    least AS (SELECT g >> 32 AS piece, min(key) AS best FROM pairs WHERE key IS NOT NULL GROUP BY piece),
    alike AS (SELECT p.*, l.best, coalesce(p.merged = l.best >> 32, false) AS same FROM pairs p JOIN least l ON l.piece = p.g >> 32),
    runs AS (SELECT *, same AND NOT coalesce(lag(same) OVER (ORDER BY g), false) AS first FROM alike),
-   hits AS (SELECT *, same AND (safe OR key = best)
-                   AND (rn - max(CASE WHEN first THEN rn END) OVER (ORDER BY g)) % 2 = 0 AS hit FROM runs)
+   edges AS MATERIALIZED (SELECT g FROM pairs UNION ALL SELECT g FROM ends),
+   live AS MATERIALIZED (SELECT edge, min(rank) AS rank FROM crossings
+                         WHERE s IN (SELECT g FROM edges) AND edge IN (SELECT g FROM edges) AND e IN (SELECT g FROM edges) GROUP BY edge),
+   bound AS (SELECT r.*, $free AND merged IS NOT NULL AND coalesce(a.rank > merged, true) AND coalesce(b.rank >= merged, true) AS bound
+             FROM runs r LEFT JOIN live a ON a.edge = r.g LEFT JOIN live b ON b.edge = r.past),
+   hits AS (SELECT *, bound OR coalesce(same AND (safe OR key = best)
+                   AND (rn - max(CASE WHEN first THEN rn END) OVER (ORDER BY g)) % 2 = 0, false) AS hit FROM bound)
    SELECT g, tok, round
    FROM (SELECT g, round + 1 AS round, CASE WHEN hit THEN merged ELSE tok END AS tok,
                 coalesce(lag(hit) OVER (ORDER BY g), false) AS gone FROM hits)
@@ -80,11 +98,11 @@ WITH RECURSIVE step(g, tok, round) AS (
 SELECT * FROM step
 """
 
-#: The last round of each piece, its ids in order, and these decoded.
+#: The last round of each piece that has come to its end, its ids in order, and these decoded.
 FINISH = """
 SELECT s.g >> 32 AS piece, string_agg(s.tok::VARCHAR, ' ' ORDER BY s.g) AS ids, string_agg(v.hex, '' ORDER BY s.g) AS hex
 FROM steps s
-JOIN (SELECT g >> 32 AS piece, max(round) AS round FROM steps GROUP BY 1) l ON l.piece = s.g >> 32 AND l.round = s.round
+JOIN (SELECT g >> 32 AS piece, max(round) AS round FROM steps GROUP BY 1 HAVING max(round) < $rounds) l ON l.piece = s.g >> 32 AND l.round = s.round
 JOIN vocabulary v ON v.id = s.tok
 GROUP BY 1
 """
@@ -106,7 +124,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY}B", "temp_directory": f"{tempfile.gettempdir()}/bpe-{os.getpid()}"})
         self.con.execute("SET enable_progress_bar = false")
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, merged = np.array(merges, np.int64).reshape(-1, 3).T
@@ -114,6 +132,7 @@ class Codec:
         self._table("merges", pa.table({"pair": (left << 20) + right, "merged": merged, "safe": ~np.isin(merged, unsafe)}))
         self._table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks])}))
         self.of_byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        self.prefixes: set[bytes] = set()  # those of the vocabulary, once a long piece is met
         self.pattern, self.chunk, self.double = regex.compile(pattern), re.compile(CHUNK), re.compile(f"[{SPACE}][{SPACE}]")
         #: chunk -> its ids joined by a space, their bytes; in ``spaced`` a chunk stands without the space before it.
         self.ids: dict[str, str] = {}
@@ -139,18 +158,67 @@ class Codec:
         out: list = [(str(self.ranks[p]), p) if p in self.ranks else None for p in pieces]
         todo = [i for i, x in enumerate(out) if x is None]
         short = [i for i in todo if len(pieces[i]) <= LONG]
-        for query, part in [(ENCODE, short[at : at + PIECES]) for at in range(0, len(short), PIECES)] + [(ENCODE_LONG, [i]) for i in todo if len(pieces[i]) > LONG]:
+        runs = [(ENCODE, short[at : at + PIECES]) for at in range(0, len(short), PIECES)]
+        n = LONG_RUN
+        for i in (i for i in todo if len(pieces[i]) > LONG):
+            if n + len(pieces[i]) > LONG_RUN:
+                runs.append((ENCODE_LONG, []))
+                n = 0
+            runs[-1][1].append(i)
+            n += len(pieces[i])
+        for query, part in runs:
             sizes = np.array([len(pieces[i]) for i in part])
             data = np.frombuffer(b"".join(pieces[i] for i in part), np.uint8)
             starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
             self._table("start", pa.table({"g": (np.repeat(np.arange(len(part), dtype=np.int64), sizes) << 32) + np.arange(len(data)) - starts, "tok": self.of_byte[data]}))
-            self.con.sql(f"CREATE OR REPLACE TABLE steps AS {query}")
-            got = self.con.sql(FINISH).to_arrow_table()
-            for piece, ids, text in zip(*(got[c].to_pylist() for c in ("piece", "ids", "hex")), strict=True):
-                out[part[piece]] = (ids, bytes.fromhex(text))
+            free = query is ENCODE_LONG and self._crossings([pieces[i] for i in part])
+            if more := max(0, len(data) - LONG_RUN) * PIECE_MEMORY:
+                self.con.execute(f"SET memory_limit = '{MEMORY + more}B'")
+            n = len(data)
+            while n:  # a run of rounds after another, each from the last round of the one before
+                rounds = max(1, ROWS // n)
+                fill = lambda x: x.replace("$rounds", str(rounds)).replace("$free", str(free))  # noqa: B023, E731
+                self.con.execute(f"CREATE OR REPLACE TABLE steps AS {fill(query)}")
+                got = self.con.sql(fill(FINISH)).to_arrow_table()
+                for piece, ids, text in zip(*(got[c].to_pylist() for c in ("piece", "ids", "hex")), strict=True):
+                    out[part[piece]] = (ids, bytes.fromhex(text))
+                self.con.execute(f"CREATE OR REPLACE TABLE start AS SELECT g, tok FROM steps WHERE round = {rounds}")
+                n = self.con.sql("SELECT count(*) AS n FROM start").to_arrow_table()["n"][0].as_py()
+            if more:
+                self.con.execute("DROP TABLE steps")
+                self.con.execute("DROP TABLE IF EXISTS crossings")
+                self.con.execute(f"SET memory_limit = '{MEMORY}B'")
         self.con.sql("DROP TABLE IF EXISTS steps")
         return out
 
+    def _crossings(self, pieces: list[bytes]) -> bool:
+        """Makes the tables crossings and ends of the pieces; False, and they are empty, if there are too many of them."""
+        if not self.prefixes:
+            self.prefixes.update(t[:n] for t in self.ranks for n in range(2, len(t) + 1))
+        ranks, prefixes = self.ranks, self.prefixes
+        s, e, rank = array("q"), array("q"), array("q")
+        left = CROSSINGS * sum(map(len, pieces))
+        for i, piece in enumerate(pieces):
+            base = i << 32
+            for at in range(len(piece)):
+                end = at + 2
+                while end <= len(piece) and (t := piece[at:end]) in prefixes:
+                    if t in ranks:
+                        s.append(base + at)
+                        e.append(base + end)
+                        rank.append(ranks[t])
+                        left -= end - at - 1
+                    end += 1
+                if left < 0:
+                    break
+        free = left >= 0
+        cut = slice(None if free else 0)
+        self._table("places", pa.table({"s": np.array(s, np.int64)[cut], "e": np.array(e, np.int64)[cut], "rank": np.array(rank, np.int64)[cut]}))
+        self.con.execute("CREATE OR REPLACE TABLE crossings AS SELECT s, e, rank, unnest(range(s + 1, e)) AS edge FROM places")
+        self.con.execute("DROP TABLE places")
+        self._table("ends", pa.table({"g": np.array([(i << 32) + len(p) for i, p in enumerate(pieces)], np.int64)}))
+        return free
+
     def decode_lists(self, lists: list[list[int]]) -> list[bytes]:
         """Bytes of each list of ids, by an ordered aggregation over token-position rows."""
         out = [b""] * len(lists)

@@ -1,6 +1,7 @@
 """Encoding against tiktoken, and exact round trips."""
 
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -74,3 +75,32 @@ def test_frames(documents, reference):
     back = bpe.decode(got, rank_file(), public_tokenizers.PATTERN).collect()
     assert sorted(bytes(r.decoded).decode() for r in back) == sorted(["thing one", "", "", "thing one", "z" * 500])
     assert bpe.encode(docs.limit(0), rank_file(), public_tokenizers.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("letters, n", [("abcdefghijklmnopqrstuvwxyz", 100_000), ("ACDEFGHIKLMNPQRSTVWY", 35_000)])
+def test_long_random_run(codec, reference, letters, n):
+    """One piece of many rounds."""
+    text = "".join(random.Random(n).choices(letters, k=n))
+    assert codec.encode_pieces([text.encode()])[0] == (" ".join(map(str, reference.encode_ordinary(text))), text.encode())
+
+
+def test_many_pieces_of_many_rounds(codec, reference):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=62)) for _ in range(40_000)]
+    assert [ids for ids, _ in codec.encode_pieces([t.encode() for t in texts])] == [" ".join(map(str, reference.encode_ordinary(t))) for t in texts]
+
+
+@pytest.mark.parametrize("crossings", [0, bpe.CROSSINGS])
+def test_any_vocabulary_in_batches_of_rounds(monkeypatch, crossings):
+    """Random vocabularies, most of whose tokens merge on at lower ranks; a table for every few rounds."""
+    monkeypatch.setattr(bpe, "ROWS", 400)
+    monkeypatch.setattr(bpe, "CROSSINGS", crossings)
+    rng = random.Random(2)
+    for _ in range(12):
+        tokens = list({bytes(rng.choices(b"abc", k=rng.randint(2, 5))) for _ in range(40)})
+        rng.shuffle(tokens)
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(tokens)}
+        own = bpe.Codec(ranks, public_tokenizers.PATTERN)
+        want = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        texts = ["".join(rng.choices("abc", k=n)) for n in (150, 40, 70, 99, 20)] + ["a" * 90, "abc" * 40]
+        assert [ids for ids, _ in own.encode_pieces([t.encode() for t in texts])] == [" ".join(map(str, want.encode_ordinary(t))) for t in texts]
