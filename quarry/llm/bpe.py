@@ -6,7 +6,8 @@ one per byte; a recursive query joins neighbouring rows with the merge table and
 piece's leftmost pair of least rank until no pair of the piece merges. As a recursive query keeps the rows
 of all its rounds, it stops after so many that these are at most ``ROWS`` and goes on from its last round
 alone, in memory that grows with the longest piece, not with its rounds; beyond that DuckDB spills. Decoding joins ids with the
-vocabulary and concatenates in order of position. Pieces seen before come from a bounded memo.
+vocabulary and concatenates in order of position. The ids of each distinct piece, one or many, are so
+decoded; those of a text decode to its pieces' bytes in order. Pieces seen before come from a bounded memo.
 
 Texts are first cut into chunks (an optional space and a run of non-space, or white space), a cut that
 every match of the tokenizer pattern respects, so that the pattern runs once per distinct chunk.
@@ -154,9 +155,12 @@ class Codec:
         self.con.unregister("given")
 
     def encode_pieces(self, pieces: list[bytes]) -> list[tuple[str, bytes]]:
-        """Joined ids of each piece and their bytes; a piece that is a token is found whole, as tiktoken does."""
-        out: list = [(str(self.ranks[p]), p) if p in self.ranks else None for p in pieces]
-        todo = [i for i, x in enumerate(out) if x is None]
+        """Joined ids of each piece and the bytes that these decode to; a piece that is a token is found whole, as tiktoken does."""
+        out: list = [None] * len(pieces)
+        whole = [i for i, p in enumerate(pieces) if p in self.ranks]
+        for i, text in zip(whole, self.decode_lists([[self.ranks[pieces[i]]] for i in whole]), strict=True):
+            out[i] = (str(self.ranks[pieces[i]]), text)
+        todo = [i for i, p in enumerate(pieces) if p not in self.ranks]
         short = [i for i in todo if len(pieces[i]) <= LONG]
         runs = [(ENCODE, short[at : at + PIECES]) for at in range(0, len(short), PIECES)]
         n = LONG_RUN

@@ -104,3 +104,12 @@ def test_any_vocabulary_in_batches_of_rounds(monkeypatch, crossings):
         want = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         texts = ["".join(rng.choices("abc", k=n)) for n in (150, 40, 70, 99, 20)] + ["a" * 90, "abc" * 40]
         assert [ids for ids, _ in own.encode_pieces([t.encode() for t in texts])] == [" ".join(map(str, want.encode_ordinary(t))) for t in texts]
+
+
+def test_decodes_by_id():
+    """A vocabulary that has other bytes for an id shows in what is decoded, of whole tokens too."""
+    own = bpe.Codec(bpe.read_ranks(rank_file()), public_tokenizers.PATTERN)
+    the = own.ranks[b" the"]
+    own.con.execute(f"UPDATE vocabulary SET hex = '{b'other'.hex()}' WHERE id = {the}")
+    own.learn(["in the"], bpe.MEMO)
+    assert own.run("in the") == (f"{own.ranks[b'in']} {the}", b"inother")
