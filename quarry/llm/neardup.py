@@ -1,6 +1,6 @@
 """Near duplicates by a chosen-path set similarity join.
 
-A document's set is its distinct word shingles. Equal sets are one class, found by a digest. Each class
+A document's set is its distinct word shingles. Equal sets are one class, found by a digest and numbered. Each class
 has SIGNATURE minwise tokens. A tree starts with all classes in its root; a node chooses one coordinate of
 the signature by its own hash, for a quarter of nodes a second one, and a class goes on to the child named
 by its token there, so that two classes of similarity J share a child with 1.25 J at the mean, 1 or more
@@ -20,7 +20,7 @@ come out, one for each class and component. Hot nodes are dealt to blocks by sal
 confirmed in salted parts. Nothing is capped and nothing collected.
 
 Defined cases: a text without words, or null, has an empty set and links with nothing; fewer words than a
-shingle are one shingle; rows with equal ids are one vertex; a null id takes part in no link, has a null
+shingle are one shingle; rows with equal ids are one vertex, with the links of all its texts; a null id takes part in no link, has a null
 component and is kept; an empty table gives no rows; other columns are ignored.
 """
 
@@ -83,20 +83,20 @@ def children(nodes: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n, digest, signature: the last two null for an empty set."""
+    """id, text_hash, n, digest, signature: the last two null for an empty set."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, digests, signatures = [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 s = shingle_set(t.as_py(), k)
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 signatures.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["id", "n", "digest", "signature"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["id", "text_hash", "n", "digest", "signature"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(work, f"id {id_type}, n long, digest binary, signature binary")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col), F.col(text_col)).mapInArrow(work, f"id {id_type}, text_hash long, n long, digest binary, signature binary")
 
 
 NODE = "tree int, node long, id long, comp long, sketch binary"
@@ -339,15 +339,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     scratch = Scratch(docs.sparkSession)
     all_sets = scratch.table(sets(docs, k, id_col, text_col), "near-sets")
     alive = all_sets.where("digest is not null and id is not null")
-    reps = alive.groupBy("digest").agg(F.min("id").alias("rep"))
-    classes = scratch.table(alive.join(reps, "digest").where("id = rep").select(F.col("id").cast("long").alias("id"), "signature").dropDuplicates(["id"]), "near-classes")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    reps = alive.groupBy("digest").agg(F.min(F.struct(F.col("id").cast("long").alias("id"), "text_hash")).alias("rep"))
+    classes = alive.join(reps, "digest").where("id = rep.id and text_hash = rep.text_hash").dropDuplicates(["digest"])
+    classes = scratch.table(classes.select(F.monotonically_increasing_id().alias("id"), "digest", F.col("rep.id").alias("rep"), "text_hash", "signature"), "near-classes")
+    base = docs.select(F.col(id_col).cast("long").alias("rep"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    texts_of = lambda ids: base.join(classes.select("id", "rep", "text_hash").join(ids, "id").hint("shuffle_hash"), ["rep", "text_hash"]).select("id", "text")
 
     # Links to the most similar class of a block, in a few trees; their components.
     level = scratch.table(first_level(classes), "near-level")
     sizes = scratch.table(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
     close = scratch.table(nearest(blocks_of(level, sizes).withColumn("whole", (F.col("n") == 1).cast("int"))), "near-close")
-    texts = scratch.table(base.join(close.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"), "near-texts")
+    texts = scratch.table(texts_of(close.select("id").distinct()), "near-texts")
     first = close.where(F.col("tree") < FIRST).select(F.greatest("id", "partner").alias("a"), F.least("id", "partner").alias("b")).distinct()
     links = [confirm_stars(first, texts, k, percent, scratch)]
     comps = components(links[0])
@@ -375,24 +377,40 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     more = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(blocks.select("id")).distinct().join(known, "id", "left_anti")
     more = scratch.table(more, "near-more")
     if not more.isEmpty():
-        texts = scratch.table(texts.unionByName(base.join(more.hint("shuffle_hash"), "id", "left_semi")), "near-texts")
+        texts = scratch.table(texts.unionByName(texts_of(more)), "near-texts")
     links += [confirm_stars(pairs, texts, k, percent, scratch), confirm_blocks(blocks, texts, k, percent, scratch)]
     comps = components(reduce(DataFrame.union, links))
 
-    out = all_sets.select("id", "n", "digest").join(reps, "digest", "left")
-    start = F.coalesce("rep", "id").cast("long")
-    out = out.withColumn("start", start).join(comps.withColumnRenamed("id", "start"), "start", "left")
-    component = F.coalesce("component", "start")
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
-    out = materialize(out, "near-duplicates")
+    comps = comps.unionByName(comps.select(F.col("component").alias("id"), "component").distinct())  # the least number has no row of its own
+    least = comps.join(classes.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("least"))
+    comps = comps.join(least, "component").select(F.col("id").alias("start"), "least")
+    out = all_sets.select("id", "n", "digest").join(classes.select("digest", F.col("id").alias("start"), "rep"), "digest", "left").join(comps, "start", "left")
+    rows = Scratch(docs.sparkSession)
+    out = rows.table(out.select("id", "n", F.coalesce("least", "rep", F.col("id").cast("long")).alias("component")), "near-rows")
+    # Components that an id with different texts has rows in are one.
+    several = out.where("id is not null").groupBy("id").agg(F.min("component").alias("b"), F.max("component").alias("most")).where("b <> most").select("id", "b")
+    several = scratch.table(out.join(several, "id").select(F.col("component").alias("a"), "b"), "near-several")
+    if not several.isEmpty():
+        joined = components(several).select(F.col("id").alias("component"), F.col("component").alias("joined"))
+        out = out.join(joined, "component", "left").select("id", "n", F.coalesce("joined", "component").alias("component"))
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")
+    out = materialize(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept), "near-duplicates")
+    rows.drop()
     scratch.drop()
     return out
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, that with the least id (of rows with equal ids, the least text); rows with a null id stay."""
+    """One row of each group, that with the least id; rows with a null id stay. Of rows with equal ids there is one, that
+    with the least text; only this one is compared, so that no row goes for the sake of one that isn't kept."""
+    given = docs
+    order = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    several = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(order).alias("__least"), F.max(order).alias("__most")).where("__least <> __most")
+    several = materialize(several.select("__id", "__least"), "near-ids")
+    if not several.isEmpty():
+        docs = docs.join(several, docs[id_col] == F.col("__id"), "left").where(F.col("__least").isNull() | (order == F.col("__least"))).drop("__id", "__least")
     kept = near_duplicates(docs.select(id_col, text_col), k, percent, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct()
     rows = docs.join(kept.hint("shuffle_hash"), docs[id_col] == F.col("__id"), "left_semi")
-    one = F.row_number().over(Window.partitionBy(id_col).orderBy(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    one = F.row_number().over(Window.partitionBy(id_col).orderBy(order))
     rows = rows.withColumn("__row", one).where("__row = 1").drop("__row")
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+    return rows.unionByName(given.where(F.col(id_col).isNull()))

@@ -112,3 +112,14 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(v, v) == find(v) for v in parent)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_id_with_different_texts(documents):
+    """Copies are found of each text of an id, and what shares an id is one vertex."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    docs = documents([(i, t, "s") for i, t in [(5, a), (5, b), (7, a + " more"), (9, b + " more"), (11, c), (13, d), (15, c), (15, d), (15, d), (17, "apart")]])
+    got = nd.near_duplicates(docs, k=2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(5, 5, True)] * 2 + [(7, 5, False), (9, 5, False), (11, 11, True), (13, 11, False)] + [(15, 11, False)] * 3 + [(17, 17, True)]
+    # One row of id 5 stays; the copy of its other text does, too.
+    kept = {r.doc_id: r.text for r in nd.without_near_duplicates(docs, k=2).collect()}
+    assert kept.keys() == {5, 11, 13, 17} | ({9} if kept[5] == a else {7})
