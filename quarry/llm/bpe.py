@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN_CHARS = 4_000_000  #: characters of text whose new pieces go to one recursive query
+RUN_CHARS = 6_000_000  #: characters of text whose new pieces go to one recursive query
 PIECES = 60_000  #: pieces in one recursive query
 LONG = 64  #: bytes of a piece beyond which pairs that don't depend on each other are contracted together
 LONG_RUN = 100_000  #: bytes of long pieces in one recursive query, or one piece
@@ -46,29 +46,43 @@ MEMO = 900_000  #: chunks kept from earlier runs, some 300 bytes each; fewer tak
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
+NEVER = 1 << 30  #: over any rank
+
 # A row is a token: g = piece << 32 | position of its first byte. A pair's key is its rank, then its position.
-ENCODE = """
+#
+# Each round contracts a piece's leftmost pair of least rank, and with it every pair that is bound to merge as it
+# stands, whatever happens around it: (a, b) of rank r is, if nothing can take a or b from it before its turn. What
+# takes a is a merge with a on its right and, on its left, a token that ends with the one before a now; ``low`` of the
+# pair (before, a) is the least rank of such merges, and has to be over r. What takes b is a merge with b on its left
+# and, on its right, a token that begins with the one after b now; ``high`` of (b, after) is the least rank of these and
+# must not be under r (at equal rank the left one goes first). The new token must not merge on at a rank below its own,
+# or it would do so too early; ``firm`` is r where it doesn't. Two such pairs never share a token, nor does one with the
+# leftmost of least rank. Rows of a piece without a pair that merges go out once more, with a negative round.
+ENCODE = f"""
 WITH RECURSIVE step(g, tok, round) AS (
   SELECT g, tok, 0 FROM start
   UNION ALL
   (WITH pairs AS MATERIALIZED (
-     SELECT n.g, n.tok, n.round, (m.merged::BIGINT << 32) + (n.g & 4294967295) AS key
-     FROM (SELECT g, tok, round, CASE WHEN (lead(g) OVER (ORDER BY g)) >> 32 = g >> 32
-                                 THEN (tok::BIGINT << 20) + lead(tok) OVER (ORDER BY g) END AS pair FROM step WHERE round < $rounds) n
+     SELECT n.g, n.tok, n.round, m.merged, coalesce(m.firm, {NEVER}) AS firm, coalesce(m.low, {NEVER}) AS low, coalesce(m.high, {NEVER}) AS high,
+            (m.merged::BIGINT << 32) + (n.g & 4294967295) AS key
+     FROM (SELECT g, tok, round, CASE WHEN (lead(g) OVER w) >> 32 = g >> 32 THEN (tok::BIGINT << 20) + lead(tok) OVER w END AS pair
+           FROM step WHERE round BETWEEN 0 AND $rounds - 1 WINDOW w AS (ORDER BY g)) n
      LEFT JOIN merges m ON m.pair = n.pair),
-   least AS (SELECT g >> 32 AS piece, min(key) AS best FROM pairs WHERE key IS NOT NULL GROUP BY piece)
-   SELECT g, tok, round
-   FROM (SELECT p.g, p.round + 1 AS round, CASE WHEN p.key = l.best THEN p.key >> 32 ELSE p.tok END AS tok,
-                coalesce(lag(p.key = l.best) OVER (ORDER BY p.g), false) AS gone
-         FROM pairs p JOIN least l ON l.piece = p.g >> 32)
-   WHERE NOT gone))
-SELECT * FROM step
+   least AS (SELECT g >> 32 AS piece, min(key) AS best FROM pairs WHERE merged IS NOT NULL GROUP BY piece),
+   due AS (SELECT p.g, p.tok, p.merged, p.high, p.low, CASE WHEN p.key = l.best THEN -1 ELSE p.firm END AS rank, CASE WHEN l.best IS NULL THEN -1 ELSE p.round + 1 END AS round
+           FROM pairs p LEFT JOIN least l ON l.piece = p.g >> 32),
+   near AS (SELECT g, tok, merged, round, rank, high, lead(high, 1, {NEVER}) OVER w AS after, lag(low, 1, {NEVER}) OVER w AS before,
+                   lag(rank, 1, {NEVER}) OVER w AS left_rank, lag(low, 2, {NEVER}) OVER w AS left_before
+            FROM due WINDOW w AS (ORDER BY g))
+   SELECT g, CASE WHEN before > rank AND after >= rank THEN merged ELSE tok END AS tok, round
+   FROM near WHERE NOT (left_before > left_rank AND high >= left_rank)))
+SELECT * FROM step WHERE round < 0 OR round = $rounds
 """
 
 # The same for long pieces, where one round contracts every occurrence of the least pair, leftmost first; in a
-# run of one token that is every other pair. Where a token can merge on at a rank below its own (not ``safe``),
+# run of one token that is every other pair. Where a token can merge on at a rank below its own (not firm),
 # another occurrence might not come next, and only the leftmost is contracted. Beside these, a round contracts each
-# pair that is bound to merge as it stands: the only steps that could take a token of it before its turn make a token
+# pair that is bound to merge as it stands, by the text around it and not by one token alone: the only steps that could take a token of it before its turn make a token
 # of lower rank (of equal rank, to its left) that crosses an outer edge of the pair. ``crossings`` has a row for each
 # place (s to e) of a vocabulary token in the pieces and each position inside it; a place counts while its ends and
 # that position are edges of tokens.
@@ -77,13 +91,13 @@ WITH RECURSIVE step(g, tok, round) AS (
   SELECT g, tok, 0 FROM start
   UNION ALL
   (WITH pairs AS MATERIALIZED (
-     SELECT n.g, n.tok, n.round, n.rn, n.past, m.merged, m.safe, (m.merged::BIGINT << 32) + (n.g & 4294967295) AS key
+     SELECT n.g, n.tok, n.round, n.rn, n.past, m.merged, m.firm IS NOT NULL AS safe, (m.merged::BIGINT << 32) + (n.g & 4294967295) AS key
      FROM (SELECT g, tok, round, row_number() OVER (ORDER BY g) AS rn, lead(g, 2) OVER (ORDER BY g) AS past,
                   CASE WHEN (lead(g) OVER (ORDER BY g)) >> 32 = g >> 32
-                  THEN (tok::BIGINT << 20) + lead(tok) OVER (ORDER BY g) END AS pair FROM step WHERE round < $rounds) n
+                  THEN (tok::BIGINT << 20) + lead(tok) OVER (ORDER BY g) END AS pair FROM step WHERE round BETWEEN 0 AND $rounds - 1) n
      LEFT JOIN merges m ON m.pair = n.pair),
    least AS (SELECT g >> 32 AS piece, min(key) AS best FROM pairs WHERE key IS NOT NULL GROUP BY piece),
-   alike AS (SELECT p.*, l.best, coalesce(p.merged = l.best >> 32, false) AS same FROM pairs p JOIN least l ON l.piece = p.g >> 32),
+   alike AS (SELECT p.*, l.best, coalesce(p.merged = l.best >> 32, false) AS same FROM pairs p LEFT JOIN least l ON l.piece = p.g >> 32),
    runs AS (SELECT *, same AND NOT coalesce(lag(same) OVER (ORDER BY g), false) AS first FROM alike),
    edges AS MATERIALIZED (SELECT g FROM pairs UNION ALL SELECT g FROM ends),
    live AS MATERIALIZED (SELECT edge, min(rank) AS rank FROM crossings
@@ -93,24 +107,22 @@ WITH RECURSIVE step(g, tok, round) AS (
    hits AS (SELECT *, bound OR coalesce(same AND (safe OR key = best)
                    AND (rn - max(CASE WHEN first THEN rn END) OVER (ORDER BY g)) % 2 = 0, false) AS hit FROM bound)
    SELECT g, tok, round
-   FROM (SELECT g, round + 1 AS round, CASE WHEN hit THEN merged ELSE tok END AS tok,
+   FROM (SELECT g, CASE WHEN best IS NULL THEN -1 ELSE round + 1 END AS round, CASE WHEN hit THEN merged ELSE tok END AS tok,
                 coalesce(lag(hit) OVER (ORDER BY g), false) AS gone FROM hits)
    WHERE NOT gone))
-SELECT * FROM step
+SELECT * FROM step WHERE round < 0 OR round = $rounds
 """
 
-#: The last round of each piece that has come to its end, its ids in order, and these decoded.
+#: The pieces that have come to their end, their ids in order, and these decoded.
 FINISH = """
-SELECT s.g >> 32 AS piece, string_agg(s.tok::VARCHAR, ' ' ORDER BY s.g) AS ids, string_agg(v.hex, '' ORDER BY s.g) AS hex
-FROM steps s
-JOIN (SELECT g >> 32 AS piece, max(round) AS round FROM steps GROUP BY 1 HAVING max(round) < $rounds) l ON l.piece = s.g >> 32 AND l.round = s.round
-JOIN vocabulary v ON v.id = s.tok
-GROUP BY 1
+SELECT piece, array_to_string(ids, ' ') AS ids, array_to_string(hex, '') AS hex
+FROM (SELECT s.g >> 32 AS piece, list(s.tok ORDER BY s.g) AS ids, list(v.hex ORDER BY s.g) AS hex
+      FROM steps s JOIN vocabulary v ON v.id = s.tok WHERE s.round < 0 GROUP BY 1)
 """
 
 DECODE = """
-SELECT i.seq, string_agg(v.hex, '' ORDER BY i.pos) AS hex
-FROM ids i JOIN vocabulary v ON v.id = i.id GROUP BY i.seq
+SELECT seq, array_to_string(hex, '') AS hex
+FROM (SELECT i.seq, list(v.hex ORDER BY i.pos) AS hex FROM ids i JOIN vocabulary v ON v.id = i.id GROUP BY i.seq)
 """
 
 
@@ -118,6 +130,26 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
 
 
+def merge_table(ranks: dict[bytes, int]) -> pa.Table:
+    """pair (left id << 20 | right id) -> merged, firm, low, high (see ENCODE), null where there is none."""
+    splits = [(t[:i], t[i:], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    unsafe = {ranks[x] for a, b, r in splits for x in (a, b) if r < ranks[x]}
+    merged, low, high = {}, {}, {}
+    for a, b, r in splits:
+        left, right = ranks[a], ranks[b]
+        merged[(left << 20) + right] = r
+        for i in range(len(a)):
+            if (end := ranks.get(a[i:])) is not None and low.get(key := (end << 20) + right, r) >= r:
+                low[key] = r
+        for i in range(1, len(b) + 1):
+            if (begin := ranks.get(b[:i])) is not None and high.get(key := (left << 20) + begin, r) >= r:
+                high[key] = r
+    keys = list(low.keys() | high.keys())  # those of ``merged`` among them
+    column = lambda of: pa.array(map(of.get, keys), pa.int32())
+    firm = {k: r for k, r in merged.items() if r not in unsafe}
+    return pa.table({"pair": pa.array(keys, pa.int64()), "merged": column(merged), "firm": column(firm), "low": column(low), "high": column(high)})
+
+
 class Codec:
     """Encoder and decoder of one worker process, over one rank file."""
 
@@ -127,10 +159,7 @@ class Codec:
         self.ranks = ranks
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY}B", "temp_directory": f"{tempfile.gettempdir()}/bpe-{os.getpid()}"})
         self.con.execute("SET enable_progress_bar = false")
-        merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        left, right, merged = np.array(merges, np.int64).reshape(-1, 3).T
-        unsafe = np.unique(np.concatenate([left[merged < left], right[merged < right]]))
-        self._table("merges", pa.table({"pair": (left << 20) + right, "merged": merged, "safe": ~np.isin(merged, unsafe)}))
+        self._table("merges", merge_table(ranks))
         self._table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks])}))
         self.of_byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         self.prefixes: set[bytes] = set()  # those of the vocabulary, once a long piece is met
@@ -184,7 +213,7 @@ class Codec:
                 fill = lambda x: x.replace("$rounds", str(rounds)).replace("$free", str(free))  # noqa: B023, E731
                 self.con.execute(f"CREATE OR REPLACE TABLE steps AS {fill(query)}")
                 got = self.con.sql(fill(FINISH)).to_arrow_table()
-                for piece, ids, text in zip(*(got[c].to_pylist() for c in ("piece", "ids", "hex")), strict=True):
+                for piece, ids, text in zip(*(got[c].to_numpy().tolist() for c in ("piece", "ids", "hex")), strict=True):
                     out[part[piece]] = (ids, bytes.fromhex(text))
                 self.con.execute(f"CREATE OR REPLACE TABLE start AS SELECT g, tok FROM steps WHERE round = {rounds}")
                 n = self.con.sql("SELECT count(*) AS n FROM start").to_arrow_table()["n"][0].as_py()

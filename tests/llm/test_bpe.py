@@ -84,21 +84,28 @@ def test_long_random_run(codec, reference, letters, n):
     assert codec.encode_pieces([text.encode()])[0] == (" ".join(map(str, reference.encode_ordinary(text))), text.encode())
 
 
+def test_megabyte_without_a_space(codec, reference):
+    """In one piece of letters, and of one letter: no round takes its memory from those before it."""
+    for text in ("".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyzäéñ", k=1_000_000)), "a" * 1_000_000, "abcab" * 200_000):
+        assert codec.encode_pieces([text.encode()])[0] == (" ".join(map(str, reference.encode_ordinary(text))), text.encode())
+
+
 def test_many_pieces_of_many_rounds(codec, reference):
     rng = random.Random(8)
     texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=62)) for _ in range(40_000)]
     assert [ids for ids, _ in codec.encode_pieces([t.encode() for t in texts])] == [" ".join(map(str, reference.encode_ordinary(t))) for t in texts]
 
 
-@pytest.mark.parametrize("crossings", [0, bpe.CROSSINGS])
-def test_any_vocabulary_in_batches_of_rounds(monkeypatch, crossings):
+@pytest.mark.parametrize("long", [0, 64])
+def test_any_vocabulary_in_batches_of_rounds(monkeypatch, long):
     """Random vocabularies, most of whose tokens merge on at lower ranks; a table for every few rounds."""
     monkeypatch.setattr(bpe, "ROWS", 400)
-    monkeypatch.setattr(bpe, "CROSSINGS", crossings)
-    rng = random.Random(2)
-    for _ in range(12):
-        tokens = list({bytes(rng.choices(b"abc", k=rng.randint(2, 5))) for _ in range(40)})
+    monkeypatch.setattr(bpe, "LONG", long)
+    rng = random.Random(2 + long)
+    for i in range(25):
+        tokens = list({bytes(rng.choices(b"abc", k=rng.randint(2, 5))) for _ in range(10 + 3 * i)})
         rng.shuffle(tokens)
+        tokens.sort(key=lambda t: len(t) if i % 3 else 0)  # some vocabularies hardly do
         ranks = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(tokens)}
         own = bpe.Codec(ranks, public_tokenizers.PATTERN)
         want = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
