@@ -7,8 +7,9 @@ runs out is split by the next 12 bits, and so on; only the rows of that one boun
 again. Thresholds nest: a larger budget takes a superset, and budgets above the source's size take
 all of it once more for each whole multiple.
 
-Defined cases: a null text has size 0; a null source is one source, last in order; documents of size
-0 take nothing; an empty table gives no rows; rows with equal ids share a position and are taken or
+Defined cases: a null text has size 0; a null source is one source, last in order; a document of size 0
+takes no words and stands in the mix as often as the others at its position, at most ``cap`` times; a source
+without any words has target 0 and stands in the mix not at all; an empty table gives no rows; rows with equal ids share a position and are taken or
 left together; columns beside id, text and source are ignored.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.columns import named
 from quarry.plans.shared import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,10 +53,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: int)
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(src, pos, size) and (src, budget) -> (src, cut, take_cut).
+    """(src, pos, size) and (src, budget over 0) -> (src, cut, take_cut).
 
     Rows below ``cut`` are within the budget; the rows at it are taken if that comes nearer to it.
-    Sources that fit whole have no row.
     """
     rest, found = rows, None
     for digits in range(STEP, DIGITS + 1, STEP):
@@ -86,7 +87,8 @@ def plan(slim: DataFrame, weights: tuple[int, ...], share: float, cap: int) -> D
     goal = materialize(targets(sizes, weights, share, cap), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.withColumn("whole", whole)
-    cuts = thresholds(slim, goal.select("src", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")))
+    budgets = goal.select("src", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
+    cuts = thresholds(slim, budgets.where("budget > 0"))  # others take every row ``whole`` times
     return materialize(goal.join(cuts, "src", "left"), "mix-plan")
 
 
@@ -112,4 +114,4 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     slim = materialize(rows.select(F.col("__src").alias("src"), F.col("__size").alias("size"), F.col("__pos").alias("pos")), "mix-rows")
     by_source = plan(slim, weights, share, cap).select(F.col("src").alias("__src"), "whole", "cut", "take_cut")
     by_source = by_source.select("__src", *[F.col(c).alias(f"__{c}") for c in ("whole", "cut", "take_cut")])
-    return rows.join(by_source, "__src").withColumn("__n", F.explode(F.array_repeat(F.lit(1), times("__").cast("int")))).select(*docs.columns)
+    return rows.join(by_source, "__src").withColumn("__n", F.explode(F.array_repeat(F.lit(1), times("__").cast("int")))).select(*map(named, docs.columns))

@@ -117,7 +117,7 @@ c AS (
          sum(size) OVER (PARTITION BY d.src, pos) AS here
   FROM d JOIN m ON d.src = m.src),
 g AS (
-  SELECT *, whole + CASE WHEN (source_size > budget)
+  SELECT *, whole + CASE WHEN budget > 0 AND (source_size > budget)
          AND (upto <= budget OR (upto - here <= budget AND upto - budget <= budget - (upto - here)))
          THEN 1 ELSE 0 END AS times
   FROM c)

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.columns import named
 from quarry.llm.fmindex import FMIndex
 from quarry.llm.text import shingle_hashes, word_hashes
 from quarry.plans.shared import Scratch, materialize
@@ -206,7 +207,7 @@ def _apply(docs: DataFrame, hits: DataFrame, window: int, id_col: str, text_col:
     names = docs.columns
     given = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__digest", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     joined = given.join(hits.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("starts").alias("__starts")).hint("shuffle_hash"), ["__id", "__digest"], how)
-    schema = docs.select(names).schema.add("__removed", "long").add("__kept", "string")
+    schema = docs.select(*map(named, names)).schema.add("__removed", "long").add("__kept", "string")
     at = names.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +226,7 @@ def _apply(docs: DataFrame, hits: DataFrame, window: int, id_col: str, text_col:
                     kept.append(text)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(counts, pa.int64()), pa.array(kept, pa.string())], names=[*names, "__removed", "__kept"])
 
-    return joined.select(*names, "__starts").mapInArrow(work, schema)
+    return joined.select(*map(named, names), "__starts").mapInArrow(work, schema)
 
 
 def digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,4 +260,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     hits = materialize(hits.unionByName(copies), "sub-all-hits")
     scratch.drop()
     out = _apply(docs, hits, window, id_col, text_col, "left", texts=True)
-    return out.select(*[F.col("__kept").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return out.select(*[F.col("__kept").alias(c) if c == text_col else named(c) for c in docs.columns])

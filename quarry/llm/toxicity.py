@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.columns import named
 from quarry.llm.labelled import fold, sample
 from quarry.llm.text import char_grams
 
@@ -81,7 +82,7 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float, id_col: str =
     """id (or the columns ``keep``) and the score, 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast((weights, intercept))  # 4 * 2**BITS bytes
     cols = keep or [id_col]
-    given = docs.select(*cols, *([] if text_col in cols else [text_col]))
+    given = docs.select(*map(named, cols), *([] if text_col in cols else [named(text_col)]))
     at = given.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +92,7 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float, id_col: str =
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], pa.array(s, pa.float64())], names=[*cols, name])
 
-    schema = given.select(*cols).schema.add(name, "double")
+    schema = given.select(*map(named, cols)).schema.add(name, "double")
     return given.mapInArrow(work, schema)
 
 
