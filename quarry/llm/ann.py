@@ -5,16 +5,18 @@ dealt to lists by the nearest of a few directions (spherical k-means on a bounde
 is cut into blocks of bounded size, one binary row a block. Every valid row is indexed.
 
 Search: a query goes to the lists whose directions are nearest to it; how many is tuned on the sample so
-that these lists hold 98 % of the sample's true neighbours. Queries of one list are packed, and each pack
-meets each block of its list once. There vectors are rotated at random and scanned in blocks of columns:
-after each block a candidate is abandoned whose partial squared distance, as a sample of the whole, says at
-risk RISK that its product stays below the query's bound. The bound is the k-th best exact product among the LEAD * k
-candidates that lead after the first block. What is left is scored in double precision on the original vectors.
+that these lists hold 98 % of the sample's true neighbours. The nearest of them, as many as it takes to hold k others,
+are scanned first; the k-th best product found there is a bound that goes along to the rest of them. Queries of one
+list are packed, and each pack meets each block of its list once. There vectors are rotated at random and scanned in
+blocks of columns: after each block a candidate is abandoned whose partial squared distance, as a sample of the whole,
+says at risk RISK that its product stays below the query's bound, which is the one brought along or, if better, the
+k-th best exact product among the LEAD * k candidates that lead after the first block. What is left, and the k best of
+these leaders, is scored in double precision on the original vectors.
 
 Defined cases: rows whose id or vector is null, whose vector is zero, or has a null or non-finite
 component take no part, as query or candidate; nor do vectors of another length than the most frequent
-(ties: the shorter). Rows that share an id count once, with the least vector. With fewer candidates than k
-all found are returned. Equal scores go to the smaller id. Other columns are ignored.
+(ties: the shorter). Rows that share an id count once, with the least vector. Every query gets k rows, or all
+candidates where there are fewer. Equal scores go to the smaller id. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,8 +75,9 @@ def rotation(d: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(q: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, candidate) that hold every query's k best of the block, but for what the tests abandon."""
+def scan(q: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int, brought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, candidate) that hold every query's k best of the block, but for what the tests abandon. Where nothing
+    was ``brought`` (a bound a query, -inf for none) there are at least k of each query, or all of the block."""
     qr, xr = (q @ turn).astype(np.float32), (x @ turn).astype(np.float32)
     d = q.shape[1]
     edges = [*range(0, d, COLUMNS), d]
@@ -83,7 +86,10 @@ def scan(q: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.nda
     part = qr[:, : edges[1]] @ xr[:, : edges[1]].T
     k, lead = min(k, len(x)), min(LEAD * k, len(x))
     first = np.argpartition(-part, lead - 1, axis=1)[:, :lead]
-    bound = np.partition(np.einsum("qkd,qd->qk", x[first], q), lead - k, axis=1)[:, lead - k]
+    exact = np.einsum("qkd,qd->qk", x[first], q)
+    order = np.argpartition(-exact, k - 1, axis=1)[:, :k]
+    leaders = np.take_along_axis(first, order, axis=1)
+    bound = np.maximum(np.take_along_axis(exact, order, axis=1).min(1), brought)
     i, j = np.nonzero(np.ones_like(part, bool)) if len(edges) == 2 else (None, None)
     if i is not None:
         part = part[i, j]
@@ -104,14 +110,18 @@ def scan(q: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.nda
         far = qn[i, d] - 2 * bound[i] + xn[j, d]
         stay = qn[i, a] + xn[j, a] - 2 * part <= grow * far + SLACK * (qn[i, d] + xn[j, d])
         i, j, part = i[stay], j[stay], part[stay]
-    return i, j
+    alone = np.flatnonzero(np.isneginf(brought))
+    pairs = np.unique(np.concatenate([i * len(x) + j, (alone[:, None] * len(x) + leaders[alone]).ravel()]))
+    return pairs // len(x), pairs % len(x)
 
 
-def best_of(q_ids: np.ndarray, q: np.ndarray, x: np.ndarray, members: list[np.ndarray], turn: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, id, score) of each query's k best of the block, its own row left out."""
+def best_of(q_ids: np.ndarray, q: np.ndarray, brought: np.ndarray, x: np.ndarray, members: list[np.ndarray], turn: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """(query, id, score) of each query's k best of the block that reach its bound, its own row left out."""
     out = []
-    i, j = scan(q, x, turn, k + 1)
+    i, j = scan(q, x, turn, k + 1, brought)
     score = np.einsum("nd,nd->n", q[i], x[j])
+    reach = score >= brought[i]
+    i, j, score = i[reach], j[reach], score[reach]
     order = np.lexsort((-score, i))
     i, j, score = i[order], j[order], score[order]
     starts = np.searchsorted(i, np.arange(len(q) + 1))
@@ -161,8 +171,13 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id"
         for b in batches:
             for at in range(0, len(b), PACK):
                 part = b.iloc[at : at + PACK]
-                near = np.argsort(-(np.stack(part["v"]) @ c.T), axis=1, kind="stable")[:, :probes]
-                yield pd.DataFrame({"vec_id": np.repeat(part["vec_id"].to_numpy(), probes), "v": np.repeat(part["v"].to_numpy(), probes), "list": near.ravel().astype(np.int32)})
+                near = np.argsort(-(np.stack(part["v"]) @ c.T), axis=1, kind="stable")
+                held = np.cumsum(sizes[near], axis=1)
+                first = np.minimum((held <= k).sum(1) + 1, len(c))  # lists that hold k others and the query itself, or all
+                n = np.maximum(first, probes)
+                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                row = np.repeat(np.arange(len(part)), n)
+                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy()[row], "v": part["v"].to_numpy()[row], "list": near[row, place].astype(np.int32), "first": place < first[row]})
 
     def pack_block(b: pd.DataFrame) -> pd.DataFrame:
         ids = np.concatenate([np.asarray(x, np.int64) for x in b["ids"]])
@@ -170,28 +185,39 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id"
         return pd.DataFrame({"list": [b["list"].iloc[0]], "ids": [ids.tobytes()], "sizes": [sizes.tobytes()], "x": [np.stack(b["v"]).tobytes()]})
 
     def pack_queries(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"list": [b["list"].iloc[0]], "q_ids": [b["vec_id"].to_numpy(np.int64).tobytes()], "q": [np.stack(b["v"]).tobytes()]})
+        return pd.DataFrame({"list": [b["list"].iloc[0]], "q_ids": [b["vec_id"].to_numpy(np.int64).tobytes()], "q": [np.stack(b["v"]).tobytes()], "bounds": [b["bound"].to_numpy(np.float64).tobytes()]})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, turn = shared.value
         for b in batches:
-            for q_ids, q, ids, sizes, x in zip(*(b.column(c) for c in ("q_ids", "q", "ids", "sizes", "x")), strict=True):
+            for q_ids, q, bounds, ids, sizes, x in zip(*(b.column(c) for c in ("q_ids", "q", "bounds", "ids", "sizes", "x")), strict=True):
                 q_ids, ids, sizes = (np.frombuffer(v.as_buffer(), np.int64) for v in (q_ids, ids, sizes))
                 q, x = (np.frombuffer(v.as_buffer(), np.float64).reshape(-1, d) for v in (q, x))
-                found = best_of(q_ids, q, x, np.split(ids, np.cumsum(sizes)[:-1]), turn, k)
+                found = best_of(q_ids, q, np.frombuffer(bounds.as_buffer(), np.float64), x, np.split(ids, np.cumsum(sizes)[:-1]), turn, k)
                 qi, vi, s = zip(*found, strict=True) if found else ((),) * 3
                 yield pa.RecordBatch.from_arrays([pa.array(qi, pa.int64()), pa.array(vi, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
 
     lists = materialize(classes.mapInPandas(to_lists, "vec_id long, ids array<long>, v array<double>, list int"), "ann-lists")
-    queries = materialize(good.where(F.col("vec_id") % every == 0).mapInPandas(to_probes, "vec_id long, v array<double>, list int"), "ann-queries")
-    blocks = _packed(lists, BLOCK, len(centres), "ids v", pack_block, "list int, ids binary, sizes binary, x binary")
-    packs = _packed(queries, PACK, len(centres), "vec_id v", pack_queries, "list int, q_ids binary, q binary")
-    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    pairs = packs.join(blocks, "list")
-    spark.conf.set(key, "8")  # a row of blocks is up to 8 * BLOCK * d bytes
-    try:
-        found = materialize(pairs.mapInArrow(compare, "query_id long, vec_id long, score double"), "ann-found")
-    finally:
-        spark.conf.set(key, before)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    counted = lists.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect()  # as many rows as lists
+    sizes = np.zeros(len(centres), np.int64)
+    for r in counted:
+        sizes[r["list"]] = r["n"]
+    queries = materialize(good.where(F.col("vec_id") % every == 0).mapInPandas(to_probes, "vec_id long, v array<double>, list int, first boolean"), "ann-queries")
+    blocks = materialize(_packed(lists, BLOCK, len(centres), "ids v", pack_block, "list int, ids binary, sizes binary, x binary"), "ann-blocks")
+
+    def meet(rows: DataFrame) -> DataFrame:
+        packs = _packed(rows, PACK, len(centres), "vec_id v bound", pack_queries, "list int, q_ids binary, q binary, bounds binary")
+        key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set(key, "8")  # a row of blocks is up to 8 * BLOCK * d bytes
+        try:
+            return materialize(packs.join(blocks, "list").mapInArrow(compare, "query_id long, vec_id long, score double"), "ann-found")
+        finally:
+            spark.conf.set(key, before)
+
+    best = lambda found: found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    found = meet(queries.where("first").withColumn("bound", F.lit(float("-inf"))))
+    rest = queries.where("not first")
+    if not rest.isEmpty():
+        bounds = best(found).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+        found = found.unionByName(meet(rest.join(bounds, "vec_id")))  # who has lists left has k rows and so a bound
+    return best(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

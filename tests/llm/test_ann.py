@@ -59,3 +59,20 @@ def test_copies_and_limits(spark):
     assert all([r.vec_id for r in got if r.query_id == q] == [v for v in range(5) if v != q][:3] for q in (0, 20, 40, 60, 80))
     assert search(spark, []) == []
     assert search(spark, [(0, [1.0], 0, None)]) == []
+
+
+@pytest.mark.parametrize("few", [1, 2, 25])
+def test_unequal_clusters(spark, few):
+    """Queries of a cluster with fewer than k members get their rows from other lists."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(scale=0.05, size=(400, 16))
+    x[:, 0] += 1
+    x[:few, 0] = -1
+    rows = search(spark, [(int(i), v.tolist(), 0, None) for i, v in enumerate(x)])
+    x = x.astype(np.float32).astype(float)
+    want, hit = brute(np.arange(400), x, 20, 20), []
+    for q in range(0, 400, 20):
+        got = sorted((r.rank, r.vec_id) for r in rows if r.query_id == q)
+        assert [rank for rank, _ in got] == list(range(1, 21))
+        hit.append(len({v for _, v in got} & {v for v, _ in want[q]}) / 20)
+    assert np.mean(hit) >= 0.9
