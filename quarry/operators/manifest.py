@@ -30,10 +30,15 @@ def write_receipts(placed: DataFrame, prefix: str, machine: str, instance: str)
     return placed.select("bucket", "seq", F.when(ok, key).alias("s3_key"), F.when(ok, F.col("object_offset")).otherwise(-1).alias("object_offset"), F.when(ok, F.col("len")).otherwise(-1).alias("size"), ok.alias("is_success"), "status")
 
 
-def block_manifest(placed: DataFrame, block_bytes: int, wal_ok: Column | None = None, block_ok: Column | None = None) -> DataFrame:
-    """One row a block: counts, bytes, state. The last block of a bucket is open, all others sealed by size."""
+def block_manifest(placed: DataFrame, block_bytes: int, wal_ok: Column | None = None, block_ok: Column | None = None, ts: str | None = None, idle_us: int | None = None) -> DataFrame:
+    """One row a block: counts, bytes, state. The last block of a bucket is open, all others are sealed.
+
+    ``sealed_by`` is IDLE where, by the timestamps ``ts``, the next block begins over ``idle_us`` after this one's last
+    record, or else SIZE. Blocks meet the next ones by (bucket, block), so that no task has all of a bucket.
+    """
     wal = wal_ok if wal_ok is not None else F.lit(True)
     done = wal & (block_ok if block_ok is not None else F.lit(True))
+    time = F.col(ts) if ts else F.lit(None).cast("timestamp")
     rows = placed.where("status = 'PUT_OK'").groupBy(*BLOCK, "block").agg(
         F.count(F.lit(1)).alias("records"),
         F.sum("len").alias("expected_bytes"),
@@ -43,17 +48,69 @@ def block_manifest(placed: DataFrame, block_bytes: int, wal_ok: Column | None =
         F.min("seq").alias("first_seq"),
         F.max("seq").alias("last_seq"),
         F.max(~done).alias("is_broken"),
+        F.min(time).alias("first_ts"),
+        F.max(time).alias("last_ts"),
     )
-    last = rows.groupBy("bucket").agg(F.max("block").alias("last_block"))
-    sealed = F.col("block") < F.col("last_block")
-    return rows.join(last, "bucket").select(
-        *BLOCK, "records", "expected_bytes", "page_cache_bytes", "finished_bytes", "first_seq", "last_seq", "is_broken",
+    after = rows.select("bucket", (F.col("block") - 1).alias("block"), F.lit(True).alias("sealed"), F.col("first_ts").alias("next_ts"))
+    idle = F.timestamp_diff("MICROSECOND", F.col("last_ts"), F.col("next_ts")) > idle_us if idle_us is not None else F.lit(False)
+    sealed = F.col("sealed").isNotNull()
+    return rows.join(after, ["bucket", "block"], "left").select(
+        *BLOCK, "records", "expected_bytes", "page_cache_bytes", "finished_bytes", "framed_bytes", "first_seq", "last_seq", "last_ts", "is_broken",
         F.when(sealed, F.lit(block_bytes) - F.col("framed_bytes")).otherwise(0).alias("pad_bytes"),
         F.when(sealed, "SEALED").otherwise("OPEN").alias("state"),
-        F.when(sealed, "SIZE").otherwise("NONE").alias("sealed_by"),
+        F.when(sealed & F.coalesce(idle, F.lit(False)), "IDLE").when(sealed, "SIZE").otherwise("NONE").alias("sealed_by"),
     )
 
 
+def _seal(manifest: DataFrame, which: Column, block_bytes: int, cause: str) -> DataFrame:
+    now = (F.col("state") == "OPEN") & which
+    return manifest.withColumns({"pad_bytes": F.when(now, F.lit(block_bytes) - F.col("framed_bytes")).otherwise(F.col("pad_bytes")), "state": F.when(now, "SEALED").otherwise(F.col("state")), "sealed_by": F.when(now, cause).otherwise(F.col("sealed_by"))})
+
+
+def seal_idle(manifest: DataFrame, as_of: Column, max_idle_us: int, block_bytes: int) -> DataFrame:
+    """Seals open blocks last written over the limit before ``as_of``, though no record follows."""
+    return _seal(manifest, F.coalesce(F.timestamp_diff("MICROSECOND", F.col("last_ts"), as_of) > max_idle_us, F.lit(False)), block_bytes, "IDLE")
+
+
+def seal_all(manifest: DataFrame, block_bytes: int) -> DataFrame:
+    """Seals every open block: nothing more is written."""
+    return _seal(manifest, F.lit(True), block_bytes, "CLOSE")
+
+
+def is_sealed(manifest: DataFrame) -> DataFrame:
+    """Each block by its place and its key, and whether it is sealed."""
+    return manifest.select("bucket", "file_from_offset", "block_index", block_key("file_from_offset", "block_index").alias("block_key"), (F.col("state") == "SEALED").alias("is_sealed"))
+
+
+def dirty_buckets(manifest: DataFrame, acked: DataFrame) -> DataFrame:
+    """(bucket, is_dirty): whether a block of the bucket isn't acknowledged yet."""
+    done = acked.select(*BLOCK).distinct().withColumn("acked", F.lit(True))
+    return manifest.join(done, BLOCK, "left").groupBy("bucket").agg(F.max(F.col("acked").isNull()).alias("is_dirty"))
+
+
+def more_uploads(states: DataFrame, by: list[str], state: str, total_blocks: int) -> DataFrame:
+    """Files of which fewer blocks are acknowledged than they hold."""
+    return states.groupBy(*by).agg(F.count(F.when(F.col(state) == UPLOADED, 1)).alias("acked_blocks")).withColumn("more", F.col("acked_blocks") < total_blocks)
+
+
+def counters(manifest: DataFrame) -> DataFrame:
+    """Per bucket: blocks open and sealed, those that wait for their upload, are broken, or can't finish it."""
+    sealed, whole = F.col("state") == "SEALED", F.col("page_cache_bytes") == F.col("finished_bytes")
+    n = lambda c: F.count(F.when(c, 1))
+    return manifest.groupBy("bucket").agg(n(~sealed).alias("open"), n(sealed).alias("sealed"), n(sealed & whole).alias("queued"), n(sealed & ~whole).alias("dead"), n(F.col("is_broken")).alias("broken"), F.sum("expected_bytes").alias("bytes"))
+
+
+def consume_dead_letters(dead: DataFrame, frames: DataFrame) -> DataFrame:
+    """The records of dead-lettered blocks as the log has them, for whoever takes them on."""
+    return frames.where("valid").join(dead.select("s3_key", *BLOCK), BLOCK).select("s3_key", *BLOCK, "wal_pos", "payload")
+
+
+def acknowledge(states: DataFrame, acks: DataFrame, by: list[str], state: str) -> DataFrame:
+    """States with acknowledged blocks (keys ``by``) as uploaded, so that the pointer moves past them."""
+    done = acks.select(*by).distinct().withColumn("__acked", F.lit(True))
+    return states.join(done, by, "left").withColumn(state, F.when(F.col("__acked"), UPLOADED).otherwise(F.col(state))).drop("__acked")
+
+
 def uploadable(manifest: DataFrame) -> DataFrame:
     return manifest.where((F.col("state") == "SEALED") & (F.col("page_cache_bytes") == F.col("finished_bytes")))
 
@@ -146,9 +203,3 @@ def distinct_tasks(tasks: DataFrame) -> DataFrame:
 def concat_blocks(placed: DataFrame, payload: str = "payload") -> DataFrame:
     """The object of each block: its payloads in order. A block bounds what one group holds."""
     return placed.where("status = 'PUT_OK'").groupBy(*BLOCK).agg(ordered_concat("wal_pos", payload).alias("content"))
-
-
-def point_lookup(receipts: DataFrame, objects: DataFrame) -> DataFrame:
-    """Payloads by receipt: the bytes at (offset, size) of the object under the key."""
-    at = F.col("object_offset").cast("int") + 1
-    return receipts.where("is_success").join(objects, "s3_key").select("bucket", "seq", "s3_key", F.substr(F.col("content"), at, F.col("size").cast("int")).alias("payload"))

@@ -34,7 +34,7 @@ def with_status(records: DataFrame, block_bytes: int) -> DataFrame:
     return records.withColumn("framed_size", framed).withColumn("status", F.when(ok, "PUT_OK").otherwise("INVALID_ARGUMENT"))
 
 
-def _next_opening(sizes: np.ndarray, cut: np.ndarray, block_bytes: int) -> np.ndarray:
+def next_opening(sizes: np.ndarray, cut: np.ndarray, block_bytes: int) -> np.ndarray:
     """For each record that opens a block: the record that opens the one after (len(sizes): none here)."""
     n = len(sizes)
     total = np.concatenate([[0], np.cumsum(sizes)])
@@ -43,7 +43,7 @@ def _next_opening(sizes: np.ndarray, cut: np.ndarray, block_bytes: int) -> np.nd
     return np.minimum(full, cuts[np.searchsorted(cuts, np.arange(n), side="right")])
 
 
-def _gaps(ts: np.ndarray | None, idle: int | None, n: int) -> np.ndarray:
+def gaps(ts: np.ndarray | None, idle: int | None, n: int) -> np.ndarray:
     cut = np.zeros(n, bool)
     if idle is not None and n:
         cut[1:] = np.diff(ts) > idle
@@ -56,7 +56,7 @@ def _transitions(sizes: np.ndarray, cut: np.ndarray, block_bytes: int) -> tuple[
     Given as least bytes used on coming in, rising, with the outcome from there on.
     """
     n = len(sizes)
-    after, total = _next_opening(sizes, cut, block_bytes), np.concatenate([[0], np.cumsum(sizes)])
+    after, total = next_opening(sizes, cut, block_bytes), np.concatenate([[0], np.cumsum(sizes)])
     # Pointer doubling: the last opening reached from each record, and how many openings on the way.
     hop = np.append(np.where(after < n, after, np.arange(n)), n)
     opened = (hop != np.arange(n + 1)).astype(np.int64)
@@ -103,14 +103,14 @@ def pack(records: DataFrame, block_bytes: int, order: list[str], idle_us: int |
         bucket = part["bucket"].to_numpy()
         own = part[bucket == bucket[-1]]
         sizes, ts = own["framed_size"].to_numpy(), stamps(own)
-        cut = _gaps(ts, idle_us, len(own))
+        cut = gaps(ts, idle_us, len(own))
         single = len(own) == len(part)
         if single:
             least, blocks, used = _transitions(sizes, cut, block_bytes)
         else:
             least, blocks, used = [0], [0], [0]
         # coming in fresh: as if the first record opened a block
-        after = _next_opening(sizes, cut, block_bytes)
+        after = next_opening(sizes, cut, block_bytes)
         at, g = 0, 0
         while after[at] < len(sizes):
             at, g = int(after[at]), g + 1
@@ -142,8 +142,8 @@ def pack(records: DataFrame, block_bytes: int, order: list[str], idle_us: int |
         for a, b in zip(edges, edges[1:], strict=False):
             own = sizes[a:b]
             ts = stamps(part.iloc[a:b])
-            cut = _gaps(ts, idle_us, b - a)
-            after = _next_opening(own, cut, block_bytes)
+            cut = gaps(ts, idle_us, b - a)
+            after = next_opening(own, cut, block_bytes)
             g, used, last = states.get(int(part["chunk"].iloc[0]), (0, 0, 0)) if a == 0 else (0, 0, 0)
             total = np.concatenate([[0], np.cumsum(own)])
             at = 0

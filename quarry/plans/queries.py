@@ -17,9 +17,10 @@ from quarry.plans.shared import materialize, new_path
 from quarry.sources import objects as ob
 from quarry.sources import wal
 from quarry.streaming import blocks as st
+from quarry.streaming import upload as up
 
 B, W = 65_536, 262_144
-EVENT_B, IDLE_US = 4_096, 3_600_000_000
+EVENT_B, EVENT_W, IDLE_US = 4_096, 16_384, 3_600_000_000
 PREFIX, MACHINE, INSTANCE = "order", "host-001122334455", "instanceA"
 DEFAULT_CONFIG = {"wal_size": 1 << 30, "cache_size": 256 << 20, "block_size": 8 << 20}
 
@@ -71,7 +72,8 @@ def record_crc(spark, sf_dir):
 
 
 def record_frame(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.lower(F.hex(F.substring(fr.frame(fr.payload_of("n_name")), 1, 4))).alias("magic"), F.octet_length(fr.frame(fr.payload_of("n_name"))).cast("long").alias("frame_bytes"), F.md5(F.substring(fr.frame(fr.payload_of("n_name")), 9, 1 << 20)).alias("body_md5"))
+    frame = fr.frame(fr.payload_of("props"))
+    return table(spark, sf_dir, "events").select("event_id", F.octet_length(frame).cast("long").alias("frame_bytes"), F.md5(frame).alias("frame_md5"))
 
 
 def slice_payload(spark, sf_dir):
@@ -167,17 +169,39 @@ def live_blocks(spark, sf_dir):
     return mf.live_blocks(m, mf.uploadable(m)).select(*mf.BLOCK, "state")
 
 
-def event_blocks(spark, sf_dir):
-    packed = pack(event_records(spark, sf_dir), EVENT_B, ["ts", "seq"]).where("status = 'PUT_OK'")
-    rows = packed.groupBy("bucket", "block").agg(F.max("ts").alias("last_ts"), F.sum("len").alias("bytes"))
-    last = rows.groupBy("bucket").agg(F.max("block").alias("last_block"))
-    return rows.join(last, "bucket").withColumn("state", F.when(F.col("block") == F.col("last_block"), "OPEN").otherwise("SEALED"))
+def event_blocks(spark, sf_dir, idle_us: int | None = None):
+    rows = roll_files(pack(event_records(spark, sf_dir), EVENT_B, ["ts", "seq"], idle_us), EVENT_B, EVENT_W)
+    return mf.block_manifest(rows, EVENT_B, ts="ts", idle_us=idle_us)
 
 
 def idle_blocks(spark, sf_dir):
     blocks = materialize(event_blocks(spark, sf_dir), "event-blocks")
     now = blocks.agg(F.max("last_ts").alias("as_of"))
-    return mf.idle_blocks(blocks.crossJoin(F.broadcast(now)), F.col("as_of"), 60_000_000).select("bucket", "block", "bytes")  # one row beside each
+    return mf.idle_blocks(blocks.crossJoin(F.broadcast(now)), F.col("as_of"), 60_000_000).select(*mf.BLOCK, F.col("expected_bytes").alias("bytes"))  # one row beside each
+
+
+def seal_idle(spark, sf_dir):
+    blocks = materialize(event_blocks(spark, sf_dir, IDLE_US), "event-blocks")
+    now = blocks.agg(F.max("last_ts").alias("as_of"))
+    sealed = mf.seal_idle(blocks.crossJoin(F.broadcast(now)), F.col("as_of"), 60_000_000, EVENT_B)  # one row beside each
+    return sealed.select(*mf.BLOCK, "records", "pad_bytes", "state", "sealed_by", "last_ts")
+
+
+def seal_all(spark, sf_dir):
+    return mf.seal_all(event_blocks(spark, sf_dir, IDLE_US), EVENT_B).select(*mf.BLOCK, "records", "pad_bytes", "state", "sealed_by")
+
+
+def block_sealed(spark, sf_dir):
+    return mf.is_sealed(manifest_docs(spark, sf_dir))
+
+
+def dirty_buckets(spark, sf_dir):
+    m = materialize(manifest_docs(spark, sf_dir), "manifest")
+    return mf.dirty_buckets(m, mf.uploadable(mf.seal_all(m, B)))
+
+
+def bucket_counters(spark, sf_dir):
+    return mf.counters(manifest_docs(spark, sf_dir))
 
 
 def idle_sessions(spark, sf_dir):
@@ -210,6 +234,16 @@ def gc_files(spark, sf_dir):
     return mf.collectable_files(files).select("file", "read_position", "upload_position")
 
 
+def more_uploads(spark, sf_dir):
+    return mf.more_uploads(block_states(spark, sf_dir), ["file"], "state", 16)
+
+
+def dead_letter_ack(spark, sf_dir):
+    s = block_states(spark, sf_dir)
+    acks = s.where("failed").select("file", "idx")  # whoever consumed the dead letters acknowledges these blocks
+    return mf.upload_pointer(mf.acknowledge(s, acks, ["file", "idx"], "state"), ["file"], "idx", "state", 8 << 20)
+
+
 def recovery_candidates(spark, sf_dir):
     meta = table(spark, sf_dir, "nation").select(F.col("n_name").alias("bucket"), F.col("n_nationkey").alias("k"), (F.col("n_nationkey") % 3).alias("is_dirty"), F.call_function("shiftleft", F.lit(8 << 20), F.col("n_regionkey")).alias("block_size"))
     s = table(spark, sf_dir, "supplier")
@@ -262,11 +296,55 @@ def wal_scan(spark, sf_dir):
     return found.select("bucket", "file_from_offset", "block_index", "wal_pos", "len", (F.crc32("payload") == F.col("crc").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("crc_ok"), F.md5("payload").alias("payload_md5"))
 
 
-def recover_replay(spark, sf_dir):
+def dead_letter_consume(spark, sf_dir):
+    root = write_log(spark, sf_dir)
+    found = spark.read.format("wal_frames").option("path", root).option("block_bytes", B).load()
+    got = mf.consume_dead_letters(dead_letter(spark, sf_dir), found)
+    return got.groupBy("s3_key").agg(F.count(F.lit(1)).alias("records"), F.md5(fr.ordered_concat("wal_pos", "payload")).alias("content_md5"))
+
+
+def crashed_log(spark, sf_dir) -> str:
+    """A log of dirty buckets whose files are uploaded up to their first block."""
     root = write_log(spark, sf_dir, upload_position=B)
-    buckets = [r[0] for r in table(spark, sf_dir, "documents").select("source").distinct().collect()]
-    for b in buckets:
-        wal.write_bucket_meta(root, INSTANCE, b, 1, B, W, PREFIX)
+    recover.for_each(table(spark, sf_dir, "documents").select("source").distinct(), ["source"], lambda b: wal.write_bucket_meta(root, INSTANCE, b, 1, B, W, PREFIX))
+    return root
+
+
+def recover_commit(spark, sf_dir):
+    """Positions and flags once the replayed blocks are uploaded; the second replay adds nothing."""
+    root, objects = crashed_log(spark, sf_dir), new_path(spark, "objects")
+    for _ in range(2):
+        ob.write_objects(recover.replay(spark, root, B, MACHINE), objects)
+        recover.commit(spark, root, B)
+    meta = spark.read.format("bucket_meta").option("path", root).load().select("bucket", "is_dirty")
+    heads = spark.read.format("wal_headers").option("path", root).load()
+    return heads.join(meta, "bucket").select("bucket", "file_from_offset", "read_position", "upload_position", "is_dirty")
+
+
+def gc_delete(spark, sf_dir):
+    """The log files that are left once closed and uploaded ones are deleted."""
+    root = crashed_log(spark, sf_dir)
+    recover.commit(spark, root, B)
+    recover.collect_files(spark, root)
+    return spark.read.format("wal_headers").option("path", root).load().select("bucket", "file_from_offset")
+
+
+def block_rescan(spark, sf_dir):
+    """One block of one file of one bucket, read alone."""
+    root = write_log(spark, sf_dir)
+    bucket = table(spark, sf_dir, "documents").agg(F.min("source")).first()[0]
+    found = spark.read.format("wal_frames").options(path=root, block_bytes=B, bucket=bucket, file=0, block=1).load()
+    return found.select("bucket", "file_from_offset", "block_index", "wal_pos", "len", F.md5("payload").alias("payload_md5"))
+
+
+def write_slices(spark, sf_dir):
+    part = fr.slice_payload(fr.payload_of("text"), 2, 4000)
+    records = table(spark, sf_dir, "documents").select(F.col("source").alias("bucket"), F.col("doc_id").alias("seq"), fr.payload_bytes(part).alias("len"))
+    return mf.write_receipts(mf.object_offsets(roll_files(pack(records, B, ["seq"]), B, W)), PREFIX, MACHINE, INSTANCE)
+
+
+def recover_replay(spark, sf_dir):
+    root = crashed_log(spark, sf_dir)
     found = recover.replay(spark, root, B, MACHINE)
     return found.select("bucket", "file_from_offset", "block_index", "records", "s3_key", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("content_md5"))
 
@@ -287,7 +365,7 @@ def verify_uploads(spark, sf_dir):
 
 def point_lookup(spark, sf_dir):
     root, placed = _uploaded(spark, sf_dir)
-    got = mf.point_lookup(mf.write_receipts(placed, PREFIX, MACHINE, INSTANCE), ob.read_objects(spark, root))
+    got = ob.read_ranges(mf.write_receipts(placed, PREFIX, MACHINE, INSTANCE), root)
     return got.select("bucket", "seq", F.md5("payload").alias("payload_md5"))
 
 
@@ -300,7 +378,16 @@ def block_pack_stream(spark, sf_dir):
     return out.select("bucket", "seq", "framed_size", "status", "block", "wal_pos")
 
 
-ALL = (framed_size, record_crc, record_frame, slice_payload, block_key, block_key_roundtrip, object_key, block_arithmetic, block_pack, block_pack_idle, block_pack_pages, block_pack_turns, file_roll, object_offsets, write_receipts, block_concat, append_status, block_manifest, uploadable_blocks, read_ready_blocks, recover_tasks, dead_letter, live_blocks, idle_blocks, idle_sessions, upload_pointer, read_pointer, capped_pointer, gc_files, recovery_candidates, config_resolve, state_transitions, task_queue, valid_prefix, wal_scan, recover_replay, verify_uploads, point_lookup, block_pack_stream)
+def stream_upload(spark, sf_dir):
+    source = table(spark, sf_dir, "events")
+    events = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    payload = fr.payload_of("props")
+    records = with_status(events.select(F.col("event_type").alias("bucket"), F.col("event_id").alias("seq"), "ts", fr.payload_bytes(payload).alias("len"), payload.alias("payload")), EVENT_B)
+    uploader = up.Uploader(spark, new_path(spark, "stream-upload"), EVENT_B, EVENT_W, PREFIX, MACHINE, INSTANCE, IDLE_US)
+    return up.ingest(records, uploader, new_path(spark, "stream-checkpoint"))
+
+
+ALL = (framed_size, record_crc, record_frame, slice_payload, block_key, block_key_roundtrip, object_key, block_arithmetic, block_pack, block_pack_idle, block_pack_pages, block_pack_turns, file_roll, object_offsets, write_receipts, block_concat, append_status, block_manifest, uploadable_blocks, read_ready_blocks, recover_tasks, dead_letter, live_blocks, idle_blocks, idle_sessions, upload_pointer, read_pointer, capped_pointer, gc_files, recovery_candidates, config_resolve, state_transitions, task_queue, valid_prefix, wal_scan, recover_replay, verify_uploads, point_lookup, block_pack_stream, seal_idle, seal_all, block_sealed, dirty_buckets, bucket_counters, more_uploads, dead_letter_ack, dead_letter_consume, recover_commit, gc_delete, block_rescan, write_slices, stream_upload)
 QUERIES = {f.__name__: f for f in ALL}
 
 
@@ -331,13 +418,35 @@ _EVENTS = "SELECT event_type AS bucket, event_id AS seq, ts, props AS text FROM
 _PLACE = "bucket, seq, framed_size, status, block, wal_pos FROM judged LEFT JOIN (SELECT bucket, seq, block, wal_pos FROM packed) USING (bucket, seq)"
 _BLOCK = "bucket, (block // 4) * 262144 AS file_from_offset, (block % 4)::INT AS block_index"
 _DOC_PACK = _pack_sql(_DOCS, B)
-_OFFSETS = f"""{_DOC_PACK},
+_SLICES = _pack_sql("SELECT bucket, seq, ts, repeat('x', greatest(0, least(4000, octet_length(encode(text)) - 2))::INT) AS text FROM (" + _DOCS + ")", B)
+
+
+def _offsets(packed: str) -> str:
+    return f"""{packed},
 placed AS (
   SELECT {_BLOCK}, seq, text, len, framed_size, block, wal_pos,
          coalesce(sum(len) OVER (PARTITION BY bucket, block ORDER BY wal_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS object_offset
   FROM packed)"""
 
 
+_OFFSETS = _offsets(_DOC_PACK)
+_POSITIONS = f"""{_OFFSETS}, p AS (
+  SELECT bucket, file_from_offset, max(tail)::BIGINT AS read_position, max(max(file_from_offset)) OVER (PARTITION BY bucket) AS last
+  FROM (SELECT bucket, file_from_offset, CASE WHEN block < max(block) OVER (PARTITION BY bucket) THEN (block_index + 1) * {B} ELSE block_index * {B} + sum(framed_size) END AS tail
+        FROM placed GROUP BY bucket, file_from_offset, block_index, block)
+  GROUP BY bucket, file_from_offset)"""
+_EVENT_PLACE = "bucket, (block // 4) * 16384 AS file_from_offset, (block % 4)::INT AS block_index"
+
+
+def _event_blocks(idle_us: int | None) -> str:
+    """CTE b: a row a block of the events, whether and by what it is sealed."""
+    cause = f"CASE WHEN NOT sealed THEN 'NONE' WHEN epoch_us(next_ts) - epoch_us(last_ts) > {idle_us} THEN 'IDLE' ELSE 'SIZE' END" if idle_us else "CASE WHEN sealed THEN 'SIZE' ELSE 'NONE' END"
+    return f"""{_pack_sql(_EVENTS, EVENT_B, "ts, seq", idle_us)},
+e AS (SELECT bucket, block, count(*) AS records, min(ts) AS first_ts, max(ts) AS last_ts, sum(len)::BIGINT AS bytes, sum(framed_size)::BIGINT AS framed_bytes FROM packed GROUP BY ALL),
+n AS (SELECT *, lead(first_ts) OVER (PARTITION BY bucket ORDER BY block) AS next_ts, lead(first_ts) OVER (PARTITION BY bucket ORDER BY block) IS NOT NULL AS sealed, max(last_ts) OVER () AS as_of FROM e),
+b AS (SELECT *, {cause} AS cause FROM n)"""
+
+
 def _key_sql(bucket: str, file: str, index: str) -> str:
     name = f"concat_ws('_', '{MACHINE}', '{INSTANCE}', {bucket}, ({file})::VARCHAR, ({index})::VARCHAR)"
     return f"""'{PREFIX}/' || list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length({name}) + 1), lambda i: ascii(substr({name}, i::INT, 1))::BIGINT)), lambda h, c: (h * 31 + c) & 16777215) || '_' || {name} || '.block'"""
@@ -355,8 +464,8 @@ m AS (
          min(seq) AS first_seq, max(seq) AS last_seq, bool_or(NOT done) AS is_broken
   FROM outcome GROUP BY ALL),
 manifest AS (
-  SELECT bucket, file_from_offset, block_index, records, expected_bytes, page_cache_bytes, finished_bytes, first_seq, last_seq,
-         is_broken, CASE WHEN sealed THEN {B} - framed_bytes ELSE 0 END AS pad_bytes,
+  SELECT bucket, file_from_offset, block_index, records, expected_bytes, page_cache_bytes, finished_bytes, framed_bytes, first_seq, last_seq,
+         NULL::TIMESTAMP AS last_ts, is_broken, CASE WHEN sealed THEN {B} - framed_bytes ELSE 0 END AS pad_bytes,
          CASE WHEN sealed THEN 'SEALED' ELSE 'OPEN' END AS state, CASE WHEN sealed THEN 'SIZE' ELSE 'NONE' END AS sealed_by
   FROM (SELECT *, block < max(block) OVER (PARTITION BY bucket) AS sealed FROM m))"""
 _STATES = """
@@ -365,14 +474,17 @@ WITH s AS (SELECT p_partkey // 16 AS file, p_partkey % 16 AS idx, p_size = 50 AS
 _CRC = """
 WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
              lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS tab),
-h AS (SELECT event_id, hex(encode(props)) AS h FROM events),
-c AS (SELECT event_id, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda k: ('0x' || substr(h, (k * 2 + 1)::INT, 2))::BIGINT)),
+h AS (SELECT event_id, props, hex(encode(props)) AS h FROM events),
+c AS (SELECT event_id, props, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda k: ('0x' || substr(h, (k * 2 + 1)::INT, 2))::BIGINT)),
              lambda a, b: xor(a >> 8, tab[((xor(a, b)) & 255) + 1])), 4294967295) AS crc FROM h, t)"""
 
 ORACLE_SQL = {
     "framed_size": "SELECT doc_id, octet_length(encode(text))::BIGINT AS payload_bytes, (12 + octet_length(encode(text)) + 3)::BIGINT & -4 AS framed_size FROM documents",
     "record_crc": f"{_CRC} SELECT event_id, crc, (CASE WHEN crc >= 2147483648 THEN crc - 4294967296 ELSE crc END)::INT AS stored_crc, true AS matches FROM c",
-    "record_frame": "SELECT n_nationkey, '43433353' AS magic, ((n + 15) & -4)::BIGINT AS frame_bytes, md5(unhex(printf('%02x000000', n)) || encode(n_name) || unhex(repeat('00', (((n + 15) & -4) - n - 12)::INT))) AS body_md5 FROM (SELECT *, octet_length(encode(n_name))::INT AS n FROM nation)",
+    "record_frame": f"""{_CRC}, w AS (SELECT *, octet_length(encode(props)) AS n, printf('%08x', crc) AS c8, printf('%08x', octet_length(encode(props))) AS n8 FROM c)
+SELECT event_id, ((n + 15) & -4)::BIGINT AS frame_bytes,
+       md5(unhex('43433353' || substr(c8, 7, 2) || substr(c8, 5, 2) || substr(c8, 3, 2) || substr(c8, 1, 2) || substr(n8, 7, 2) || substr(n8, 5, 2) || substr(n8, 3, 2) || substr(n8, 1, 2))
+           || encode(props) || unhex(repeat('00', (((n + 15) & -4) - n - 12)::INT))) AS frame_md5 FROM w""",
     "slice_payload": "SELECT c_custkey, substr(c_name, 3, 5) AS part FROM customer",
     "block_key": "SELECT o_orderkey, (o_orderkey << 8) | (o_custkey & 255) AS block_key FROM orders",
     "block_key_roundtrip": "SELECT o_orderkey, o_orderkey AS file_from_offset, (o_custkey & 255)::INT AS block_index FROM orders",
@@ -386,6 +498,7 @@ ORACLE_SQL = {
     "file_roll": f"{_DOC_PACK} SELECT bucket, seq, (block // 4) * 262144 AS file_from_offset, (block % 4)::INT AS block_index, wal_pos, status FROM judged LEFT JOIN (SELECT bucket, seq, block, wal_pos FROM packed) USING (bucket, seq)",
     "object_offsets": f"{_OFFSETS} SELECT j.bucket, j.seq, p.block, p.object_offset, j.len AS size FROM judged j LEFT JOIN placed p ON p.bucket = j.bucket AND p.seq = j.seq",
     "write_receipts": f"{_OFFSETS}, k AS (SELECT *, {_KEY} AS s3_key FROM placed) SELECT j.bucket, j.seq, k.s3_key, coalesce(k.object_offset, -1) AS object_offset, coalesce(k.len, -1) AS size, j.status = 'PUT_OK' AS is_success, j.status FROM judged j LEFT JOIN k ON k.bucket = j.bucket AND k.seq = j.seq",
+    "write_slices": f"{_offsets(_SLICES)}, k AS (SELECT *, {_KEY} AS s3_key FROM placed) SELECT j.bucket, j.seq, k.s3_key, coalesce(k.object_offset, -1) AS object_offset, coalesce(k.len, -1) AS size, j.status = 'PUT_OK' AS is_success, j.status FROM judged j LEFT JOIN k ON k.bucket = j.bucket AND k.seq = j.seq",
     "block_concat": f"{_OFFSETS} SELECT bucket, file_from_offset, block_index, sum(len)::BIGINT AS bytes, md5(string_agg(text, '' ORDER BY wal_pos)) AS content_md5 FROM placed GROUP BY ALL",
     "append_status": "SELECT bucket, status, count(*) AS records, sum(len)::BIGINT AS bytes FROM (SELECT source AS bucket, octet_length(encode(text))::BIGINT AS len, CASE WHEN octet_length(encode(text)) > 0 AND (octet_length(encode(text)) + 15) & -4 <= 4096 THEN 'PUT_OK' ELSE 'INVALID_ARGUMENT' END AS status FROM documents) GROUP BY ALL",
     "block_manifest": f"{_MANIFEST} SELECT * FROM manifest",
@@ -394,7 +507,23 @@ ORACLE_SQL = {
     "recover_tasks": f"{_MANIFEST} SELECT bucket, file_from_offset, block_index FROM manifest WHERE state = 'SEALED' AND is_broken",
     "dead_letter": f"{_MANIFEST} SELECT '{INSTANCE}' AS instance, bucket, file_from_offset, block_index, {_KEY} AS s3_key FROM manifest WHERE state = 'SEALED' AND page_cache_bytes <> finished_bytes",
     "live_blocks": f"{_MANIFEST} SELECT bucket, file_from_offset, block_index, state FROM manifest WHERE NOT (state = 'SEALED' AND page_cache_bytes = finished_bytes)",
-    "idle_blocks": f"{_pack_sql(_EVENTS, EVENT_B, 'ts, seq')}, b AS (SELECT bucket, block, max(ts) AS last_ts, sum(len)::BIGINT AS bytes FROM packed GROUP BY ALL) SELECT bucket, block, bytes FROM (SELECT *, block = max(block) OVER (PARTITION BY bucket) AS open, max(last_ts) OVER () AS as_of FROM b) WHERE open AND epoch_us(as_of) - epoch_us(last_ts) > 60000000",
+    "idle_blocks": f"{_event_blocks(None)} SELECT {_EVENT_PLACE}, bytes FROM b WHERE NOT sealed AND epoch_us(as_of) - epoch_us(last_ts) > 60000000",
+    "seal_idle": f"""{_event_blocks(IDLE_US)}, t AS (SELECT *, NOT sealed AND epoch_us(as_of) - epoch_us(last_ts) > 60000000 AS now FROM b)
+SELECT {_EVENT_PLACE}, records, CASE WHEN sealed OR now THEN {EVENT_B} - framed_bytes ELSE 0 END AS pad_bytes, CASE WHEN sealed OR now THEN 'SEALED' ELSE 'OPEN' END AS state,
+       CASE WHEN now THEN 'IDLE' ELSE cause END AS sealed_by, last_ts FROM t""",
+    "seal_all": f"{_event_blocks(IDLE_US)} SELECT {_EVENT_PLACE}, records, {EVENT_B} - framed_bytes AS pad_bytes, 'SEALED' AS state, CASE WHEN sealed THEN cause ELSE 'CLOSE' END AS sealed_by FROM b",
+    "stream_upload": f"{_event_blocks(IDLE_US)}, k AS (SELECT {_EVENT_PLACE}, bytes, CASE WHEN sealed THEN cause ELSE 'CLOSE' END AS sealed_by FROM b) SELECT bucket, file_from_offset, block_index, {_KEY} AS s3_key, bytes, sealed_by, true AS verified FROM k",
+    "block_sealed": f"{_MANIFEST} SELECT bucket, file_from_offset, block_index, (file_from_offset << 8) | block_index AS block_key, state = 'SEALED' AS is_sealed FROM manifest",
+    "dirty_buckets": f"{_MANIFEST} SELECT bucket, bool_or(page_cache_bytes <> finished_bytes) AS is_dirty FROM manifest GROUP BY bucket",
+    "bucket_counters": f"""{_MANIFEST} SELECT bucket, count(*) FILTER (WHERE state = 'OPEN') AS open, count(*) FILTER (WHERE state = 'SEALED') AS sealed,
+  count(*) FILTER (WHERE state = 'SEALED' AND page_cache_bytes = finished_bytes) AS queued, count(*) FILTER (WHERE state = 'SEALED' AND page_cache_bytes <> finished_bytes) AS dead,
+  count(*) FILTER (WHERE is_broken) AS broken, sum(expected_bytes)::BIGINT AS bytes FROM manifest GROUP BY bucket""",
+    "more_uploads": f"{_STATES} SELECT file, count(*) FILTER (WHERE state = 3) AS acked_blocks, count(*) FILTER (WHERE state = 3) < 16 AS more FROM s GROUP BY file",
+    "dead_letter_ack": f"{_STATES} SELECT file, (coalesce(min(idx) FILTER (WHERE state <> 3 AND NOT failed), count(*)) * 8388608)::BIGINT AS position FROM s GROUP BY file",
+    "dead_letter_consume": f"{_MANIFEST}, d AS (SELECT *, {_KEY} AS s3_key FROM manifest WHERE state = 'SEALED' AND page_cache_bytes <> finished_bytes) SELECT s3_key, count(*) AS records, md5(string_agg(text, '' ORDER BY wal_pos)) AS content_md5 FROM d JOIN placed USING (bucket, file_from_offset, block_index) GROUP BY s3_key",
+    "recover_commit": f"{_POSITIONS} SELECT bucket, file_from_offset, read_position, greatest(read_position, {B}) AS upload_position, 0 AS is_dirty FROM p",
+    "gc_delete": f"{_POSITIONS} SELECT bucket, file_from_offset FROM p WHERE read_position < {B} OR file_from_offset = last",
+    "block_rescan": f"{_OFFSETS} SELECT bucket, file_from_offset, block_index, wal_pos::INT AS wal_pos, len::INT AS len, md5(text) AS payload_md5 FROM placed WHERE bucket = (SELECT min(source) FROM documents) AND file_from_offset = 0 AND block_index = 1",
     "idle_sessions": "SELECT event_type AS bucket, count(*) AS records, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS session FROM (SELECT *, (coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id)), 0) > 3600000000)::INT AS new FROM events)) GROUP BY event_type, session",
     "upload_pointer": f"{_STATES} SELECT file, (coalesce(min(idx) FILTER (WHERE state <> 3), count(*)) * 8388608)::BIGINT AS position FROM s GROUP BY file",
     "read_pointer": f"{_STATES} SELECT file, (coalesce(min(idx) FILTER (WHERE state = 0), count(*)) * 8388608)::BIGINT AS position FROM s GROUP BY file",

@@ -5,9 +5,12 @@ A put is idempotent: the key follows from the block, and a second put replaces t
 
 from __future__ import annotations
 
+import contextlib
 import posixpath
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -29,10 +32,15 @@ def put_object(root: str, key: str, content: bytes) -> None:
         try:
             fs.create_dir(posixpath.dirname(target), recursive=True)
             name = f"{posixpath.dirname(target)}/.{uuid.uuid4().hex}"
-            with fs.open_output_stream(name) as f:
-                f.write(content)
-            fs.move(name, target)
-            return
+            try:
+                with fs.open_output_stream(name) as f:
+                    f.write(content)
+                fs.move(name, target)
+                return
+            except OSError:
+                with contextlib.suppress(OSError):
+                    fs.delete_file(name)
+                raise
         except OSError:
             if attempt == ATTEMPTS:
                 raise
@@ -67,9 +75,47 @@ class BlockObjects(DataSource):
         return ObjectWriter(self.options)
 
 
-def write_objects(objects: DataFrame, root: str) -> None:
+def write_objects(objects: DataFrame, root: str, uploads: int | None = None) -> None:
+    """Puts every object; with ``uploads``, no more than so many at a time."""
     objects.sparkSession.dataSource.register(BlockObjects)
-    objects.select("s3_key", "content").write.format("block_objects").mode("append").save(root)
+    rows = objects.select("s3_key", "content")
+    (rows.repartition(uploads) if uploads else rows).write.format("block_objects").mode("append").save(root)
+
+
+def read_ranges(receipts: DataFrame, root: str) -> DataFrame:
+    """(bucket, seq, s3_key, payload) of successful receipts: range reads of (object_offset, size), an object opened once
+    for all of its receipts in a task, never read whole. A missing object or a range beyond its end gives a null payload."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = open_root(root)
+        key, file = None, None
+        for b in batches:
+            out = []
+            for k, at, n in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                if k != key:
+                    if file:
+                        file.close()
+                    try:
+                        key, file = k, fs.open_input_file(f"{path}/{k}")
+                    except FileNotFoundError:
+                        file = None
+                data = file.read_at(n, at) if file else None
+                out.append(data if data is not None and len(data) == n else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], names=["bucket", "seq", "s3_key", "payload"])
+        if file:
+            file.close()
+
+    rows = receipts.where("is_success").select("bucket", "seq", "s3_key", F.col("object_offset").cast("long").alias("object_offset"), F.col("size").cast("long").alias("size"))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("bucket", "seq", "s3_key"))
+    return rows.repartition("s3_key").sortWithinPartitions("s3_key", "object_offset").mapInArrow(work, f"{kinds}, payload binary")
+
+
+def store_options(access_key: str, secret_key: str, endpoint: str, region: str = "us-east-1", path_style: bool = True, attempts: int = ATTEMPTS, timeout_ms: int = 60_000) -> dict[str, str]:
+    """Session options for an S3-compatible store under s3a:// paths. Keys and endpoint must not be blank."""
+    if not all(x and x.strip() for x in (access_key, secret_key, endpoint, region)):
+        raise ValueError("keys, endpoint and region must not be blank")
+    options = {"access.key": access_key, "secret.key": secret_key, "endpoint": endpoint, "endpoint.region": region, "path.style.access": str(path_style).lower(), "attempts.maximum": str(attempts), "connection.timeout": str(timeout_ms)}
+    return {f"spark.hadoop.fs.s3a.{k}": v for k, v in options.items()}
 
 
 def read_objects(spark, root: str, content: bool = True) -> DataFrame:

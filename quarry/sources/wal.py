@@ -7,7 +7,9 @@ go through pyarrow file systems, so a root may be in any store these know.
 
 from __future__ import annotations
 
+import contextlib
 import struct
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,8 +27,8 @@ def open_root(root: str):
     return fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
 
 
-def _files(root: str) -> list[tuple[str, str, str, int]]:
-    """(instance, bucket, path, offset) of each log file, in order of bucket and offset."""
+def _files(root: str) -> list[tuple[str, str, str, int, int]]:
+    """(instance, bucket, path, offset, size) of each log file, in order of bucket and offset."""
     from pyarrow import fs as pafs
 
     fs, path = open_root(root)
@@ -35,7 +37,7 @@ def _files(root: str) -> list[tuple[str, str, str, int]]:
     for f in found:
         parts = f.path[len(path) :].strip("/").split("/")
         if f.type == pafs.FileType.File and len(parts) == 4 and parts[2] == "wal" and parts[3].isdigit():
-            out.append((parts[0], parts[1], f.path, int(parts[3])))
+            out.append((parts[0], parts[1], f.path, int(parts[3]), f.size))
     return sorted(out, key=lambda x: (x[0], x[1], x[3]))
 
 
@@ -58,38 +60,61 @@ def frames_of(body: bytes, start: int, end: int, block_bytes: int) -> Iterator[t
 
 
 class FilePartition(InputPartition):
-    def __init__(self, instance: str, bucket: str, path: str, offset: int):
-        self.instance, self.bucket, self.path, self.offset = instance, bucket, path, offset
+    """A log file, or its bytes from ``start`` to ``end`` (without the header)."""
+
+    def __init__(self, instance: str, bucket: str, path: str, offset: int, start: int = 0, end: int = 1 << 62):
+        self.instance, self.bucket, self.path, self.offset, self.start, self.end = instance, bucket, path, offset, start, end
 
 
 class FramesReader(DataSourceReader):
-    """One partition a log file. mode: DROPMALFORMED (default), PERMISSIVE (invalid frames as rows), FAILFAST.
-    range: all, or recovery (files whose upload is behind; from upload to read position)."""
+    """Partitions of whole blocks, up to SPLIT bytes of a file; a task holds one block at a time and gives Arrow batches.
+
+    mode: DROPMALFORMED (default), PERMISSIVE (invalid frames as rows), FAILFAST. range: all, or recovery (files whose
+    upload is behind; from upload to read position). bucket, file and block: only these are listed and read, to scan a
+    single block again.
+    """
+
+    SPLIT = 64 << 20
 
     def __init__(self, options: dict):
         self.root, self.block_bytes = options["path"], int(options["block_bytes"])
         self.mode, self.range = options.get("mode", "DROPMALFORMED").upper(), options.get("range", "all")
+        self.bucket, self.file, self.block = options.get("bucket"), options.get("file"), options.get("block")
 
     def partitions(self) -> list[FilePartition]:
-        files = [FilePartition(*f) for f in _files(self.root)]
-        return files or [FilePartition("", "", "", -1)]
+        out, step = [], max(1, self.SPLIT // self.block_bytes) * self.block_bytes
+        for instance, bucket, path, offset, size in _files(self.root):
+            if self.bucket not in (None, bucket) or (self.file is not None and int(self.file) != offset):
+                continue
+            if self.block is not None:
+                out.append(FilePartition(instance, bucket, path, offset, int(self.block) * self.block_bytes, (int(self.block) + 1) * self.block_bytes))
+                continue
+            out += [FilePartition(instance, bucket, path, offset, at, at + step) for at in range(0, size - FILE_HEADER_BYTES, step)]
+        return out or [FilePartition("", "", "", -1)]
 
     def read(self, partition: FilePartition):
+        import pyarrow as pa
+
         if partition.offset < 0:
             return
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
+        names = ["instance", "bucket", "file_from_offset", "block_index", "wal_pos", "len", "crc", "payload", "valid"]
         fs, _ = open_root(self.root)
         with fs.open_input_file(partition.path) as f:
-            head = f.read(FILE_HEADER_BYTES)
-            read, upload, _ = struct.unpack_from("<qqq", head)
-            if self.range == "recovery" and read == upload:
-                return
-            body = f.read()
-        start, end = (upload, read) if self.range == "recovery" else (0, len(body))
-        for block, pos, size, crc, payload, ok in frames_of(body, start, end, self.block_bytes):
-            if not ok and self.mode == "FAILFAST":
-                raise ValueError(f"invalid frame at {partition.path}, block {block}, {pos}")
-            if ok or self.mode == "PERMISSIVE":
-                yield partition.instance, partition.bucket, partition.offset, block, pos, size, crc, payload, ok
+            read, upload, _ = struct.unpack_from("<qqq", f.read_at(FILE_HEADER_BYTES, 0))
+            start, end = partition.start, min(partition.end, f.size() - FILE_HEADER_BYTES)
+            if self.range == "recovery":
+                start, end = max(start, upload), min(end, read)
+            for at in range(start - start % self.block_bytes, end, self.block_bytes):
+                body = f.read_at(min(self.block_bytes, end - at), FILE_HEADER_BYTES + at)
+                rows = []
+                for _, pos, size, crc, payload, ok in frames_of(body, max(0, start - at), len(body), self.block_bytes):
+                    if not ok and self.mode == "FAILFAST":
+                        raise ValueError(f"invalid frame at {partition.path}, block {at // self.block_bytes}, {pos}")
+                    if ok or self.mode == "PERMISSIVE":
+                        rows.append((partition.instance, partition.bucket, partition.offset, at // self.block_bytes, pos, size, crc, payload, ok))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 class FilesWritten(WriterCommitMessage):
@@ -170,7 +195,7 @@ class HeadersReader(DataSourceReader):
         self.root = options["path"]
 
     def partitions(self) -> list[FilePartition]:
-        return [FilePartition(*f) for f in _files(self.root)] or [FilePartition("", "", "", -1)]
+        return [FilePartition(*f[:4]) for f in _files(self.root)] or [FilePartition("", "", "", -1)]
 
     def read(self, partition: FilePartition):
         if partition.offset >= 0:
@@ -179,6 +204,37 @@ class HeadersReader(DataSourceReader):
                 yield partition.instance, partition.bucket, partition.offset, *struct.unpack("<qqq", f.read(24))
 
 
+def move_positions(root: str, instance: str, bucket: str, file: int, read: int | None = None, upload: int | None = None) -> tuple[int, int]:
+    """Moves a log file's read or upload position on, never back; returns both. In place on a local file system; elsewhere,
+    where a file can't be written in part, by a copy that takes its name."""
+    from pyarrow import fs as pafs
+
+    fs, path = open_root(root)
+    name = f"{path}/{instance}/{bucket}/wal/{file}"
+    with fs.open_input_file(name) as f:
+        old_read, old_upload, _ = struct.unpack("<qqq", f.read(24))
+    new = (max(old_read, read or 0), max(old_upload, upload or 0))
+    head = struct.pack("<qqq", *new, time.time_ns() // 1_000_000)
+    if isinstance(fs, pafs.LocalFileSystem):
+        with open(name, "r+b") as f:
+            f.write(head)
+        return new
+    copy = f"{path}/{instance}/{bucket}/wal/.{file}-{uuid.uuid4().hex}"
+    with fs.open_input_stream(name) as f, fs.open_output_stream(copy) as out:
+        out.write(head + f.read(FILE_HEADER_BYTES)[24:])
+        while part := f.read(8 << 20):
+            out.write(part)
+    fs.move(copy, name)
+    return new
+
+
+def delete_log(root: str, instance: str, bucket: str, file: int) -> None:
+    """Deletes a log file; one that is gone already is no error."""
+    fs, path = open_root(root)
+    with contextlib.suppress(FileNotFoundError):
+        fs.delete_file(f"{path}/{instance}/{bucket}/wal/{file}")
+
+
 class WalHeaders(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -205,6 +261,18 @@ def write_bucket_meta(root: str, instance: str, bucket: str, is_dirty: int, bloc
         f.write((META.pack(is_dirty, block_size, file_size, meta_crc(block_size, file_size, p), len(p)) + p).ljust(4096, b"\0"))
 
 
+def set_dirty(root: str, instance: str, bucket: str, is_dirty: int) -> None:
+    """Changes the dirty flag of a bucket's metadata and nothing else; the CRC doesn't cover it."""
+    fs, path = open_root(root)
+    name = f"{path}/{instance}/{bucket}/bucketMeta"
+    with fs.open_input_file(name) as f:
+        data = f.read()
+    copy = f"{path}/{instance}/{bucket}/.bucketMeta-{uuid.uuid4().hex}"
+    with fs.open_output_stream(copy) as f:
+        f.write(struct.pack("<i", is_dirty) + data[4:])
+    fs.move(copy, name)
+
+
 class BucketMetaReader(DataSourceReader):
     """A row a bucket with metadata that hold their CRC; no row for missing or damaged ones."""
 

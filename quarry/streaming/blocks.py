@@ -8,63 +8,93 @@ the same when the micro-batches come in order. Idle is judged on event times, wh
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from quarry.operators.pack import gaps, next_opening
+
 OUTPUT = "bucket string, seq long, ts timestamp, len long, framed_size long, status string, block long, wal_pos long, object_offset long"
 
 
 class Packer(StatefulProcessor):
-    def __init__(self, block_bytes: int, idle_us: int | None):
-        self.block_bytes, self.idle_us = block_bytes, idle_us
+    """With ``payload``, a column of that name goes along; it never enters the state."""
+
+    def __init__(self, block_bytes: int, idle_us: int | None, payload: bool = False):
+        self.block_bytes, self.idle_us, self.payload = block_bytes, idle_us, payload
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("open", "block long, used long, bytes long, last_us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        block, used, total, last = self.state.get() if self.state.exists() else (0, 0, 0, None)
-        part = pd.concat(rows).sort_values(["ts", "seq"], kind="stable")
-        us = part["ts"].to_numpy().astype("datetime64[us]").astype("int64")
-        out = []
-        for seq, ts, t, n, framed, status in zip(part["seq"], part["ts"], us.tolist(), part["len"], part["framed_size"], part["status"], strict=True):
-            if status != "PUT_OK":
-                out.append((key[0], seq, ts, n, framed, status, None, None, None))
-                continue
-            if last is not None and (used + framed > self.block_bytes or (self.idle_us is not None and t - last > self.idle_us)):
-                block, used, total = block + 1, 0, 0
-            out.append((key[0], seq, ts, n, framed, status, block, used, total))
-            used, total, last = used + framed, total + n, t
-        if last is not None:
-            self.state.update((int(block), int(used), int(total), int(last)))
-        result = pd.DataFrame(out, columns=["bucket", "seq", "ts", "len", "framed_size", "status", "block", "wal_pos", "object_offset"])
-        for c in ("block", "wal_pos", "object_offset"):
-            result[c] = result[c].astype("Int64")
-        yield result
+        block, used, held, last = self.state.get() if self.state.exists() else (-1, 0, 0, None)
+        part = pd.concat(rows).sort_values(["ts", "seq"], kind="stable").reset_index(drop=True)
+        good = np.flatnonzero(part["status"] == "PUT_OK")
+        us = part["ts"].to_numpy().astype("datetime64[us]").astype("int64")[good]
+        sizes, lengths = (part[c].to_numpy()[good].astype(np.int64) for c in ("framed_size", "len"))
+        n = len(good)
+        total, upto = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes, lengths))
+        blocks, places, offsets = (np.zeros(n, np.int64) for _ in range(3))
+        cut = gaps(us, self.idle_us, n)
+        after = next_opening(sizes, cut, self.block_bytes)
+        at = 0
+        if n and last is not None:  # what still goes into the open block
+            idle = self.idle_us is not None and us[0] - last > self.idle_us
+            first_cut = 0 if idle else int(np.argmax(cut)) if cut.any() else n
+            at = min(int(np.searchsorted(total, self.block_bytes - used, side="right")) - 1, first_cut)
+            blocks[:at], places[:at], offsets[:at] = block, used + total[:at], held + upto[:at]
+            used, held = used + int(total[at]), held + int(upto[at])
+        while at < n:
+            end, block = int(after[at]), block + 1
+            blocks[at:end], places[at:end], offsets[at:end] = block, total[at:end] - total[at], upto[at:end] - upto[at]
+            used, held, at = int(total[end] - total[at]), int(upto[end] - upto[at]), end
+        if n:
+            self.state.update((int(block), int(used), int(held), int(us[-1])))
+        result = part[["seq", "ts", "len", "framed_size", "status"]].assign(bucket=key[0])
+        for c, values in (("block", blocks), ("wal_pos", places), ("object_offset", offsets)):
+            result[c] = pd.Series(pd.NA, index=result.index, dtype="Int64")
+            result.loc[good, c] = values
+        if self.payload:
+            result["payload"] = part["payload"]
+        yield result[[x.split()[0] for x in OUTPUT.split(", ")] + ["payload"] * self.payload]
 
     def close(self) -> None:
         pass
 
 
 def pack_stream(records: DataFrame, block_bytes: int, idle_us: int | None = None) -> DataFrame:
-    """A stream (bucket, seq, ts, len, framed_size, status) -> with block, wal_pos and object_offset."""
-    return records.groupBy("bucket").transformWithStateInPandas(Packer(block_bytes, idle_us), OUTPUT, "Append", "None")
+    """A stream (bucket, seq, ts, len, framed_size, status and, if need be, payload) -> with block, wal_pos and object_offset."""
+    payload = "payload" in records.columns
+    return records.groupBy("bucket").transformWithStateInPandas(Packer(block_bytes, idle_us, payload), OUTPUT + ", payload binary" * payload, "Append", "None")
 
 
-def run_available(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str, timeout_s: int = 300) -> DataFrame:
-    """Runs a stream over what its source has now, into Parquet; stops at the deadline at the latest."""
+@contextlib.contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Within, streams keep their state in the store that stateful processors need."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-        try:
-            if not query.awaitTermination(timeout_s):
-                raise TimeoutError("the stream did not end in time")
-        finally:
-            query.stop()
+        yield
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def finish(query, timeout_s: int) -> None:
+    """Waits for a stream over what its source has now; stops it at the deadline at the latest."""
+    try:
+        if not query.awaitTermination(timeout_s):
+            raise TimeoutError("the stream did not end in time")
+    finally:
+        query.stop()
+
+
+def run_available(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str, timeout_s: int = 300) -> DataFrame:
+    """Runs a stream over what its source has now, into Parquet; stops at the deadline at the latest."""
+    with state_store(spark):
+        finish(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(), timeout_s)
     return spark.read.schema(stream.schema).parquet(out)

@@ -82,3 +82,72 @@ def test_objects(spark, tmp_path):
     for bad in (("", "k", b""), (str(tmp_path), " / ".strip(), b""), (str(tmp_path), "k", None)):
         with pytest.raises(ValueError):
             ob.put_object(*bad)
+
+
+def test_one_block_again(spark, log):
+    root, rows = log
+    got = scan(spark, root, bucket="b", file=0, block=1).collect()
+    assert {(r.bucket, r.file_from_offset, r.block_index) for r in got} == {("b", 0, 1)}
+    assert scan(spark, root, bucket="none").count() == 0
+    assert scan(spark, root, bucket="b", file=0, block=9).count() == 0
+
+
+def test_commit_moves_positions_and_clears_flags(spark, log):
+    root, _ = log
+    for b in ("b", "c"):
+        wal.write_bucket_meta(root, "i", b, 1, BLOCK, FILE, "old")
+    heads = lambda: {(r.bucket, r.file_from_offset): (r.read_position, r.upload_position) for r in spark.read.format("wal_headers").option("path", root).load().collect()}
+    before, frames = heads(), scan(spark, root).count()
+    recover.commit(spark, root, BLOCK)
+    assert heads() == {k: (read, read) for k, (read, _) in before.items()}
+    assert recover.replay(spark, root, BLOCK, "m").count() == 0
+    assert all(r.is_dirty == 0 and r.prefix == "old" for r in spark.read.format("bucket_meta").option("path", root).load().collect())
+    assert scan(spark, root).count() == frames  # nothing but the header has changed
+    assert wal.move_positions(root, "i", "b", 0, read=1, upload=1) == (before["b", 0][0],) * 2  # never back
+    recover.commit(spark, root, BLOCK)
+    in_use = spark.createDataFrame([("b", 0, 1)], "bucket string, file_from_offset long, refs int")
+    files = {k for k in before if k[0] == "b"}
+    assert recover.collect_files(spark, root, in_use) == len(files) - 2
+    assert set(heads()) == {("b", 0), max(files), ("c", 0)}
+    assert recover.collect_files(spark, root) == 1 and recover.collect_files(spark, root) == 0
+
+
+def test_ranges(spark, tmp_path):
+    ob.put_object(str(tmp_path), "p/a.block", b"0123456789")
+    rows = [("x", 1, "p/a.block", 2, 3, True), ("x", 2, "p/a.block", 8, 5, True), ("x", 3, "p/none.block", 0, 1, True), ("x", 4, None, -1, -1, False), ("x", 5, "p/a.block", 0, 10, True)]
+    df = spark.createDataFrame(rows, "bucket string, seq long, s3_key string, object_offset long, size int, is_success boolean")
+    got = {r.seq: r.payload and bytes(r.payload) for r in ob.read_ranges(df, str(tmp_path)).collect()}
+    assert got == {1: b"234", 2: None, 3: None, 5: b"0123456789"}
+
+
+def test_a_put_is_tried_again_and_leaves_nothing_behind(tmp_path, monkeypatch):
+    from pyarrow import fs as pafs
+
+    fails, real = [OSError(), OSError()], ob.open_root
+
+    class Flaky:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def move(self, a, b):
+            if fails:
+                raise fails.pop()
+            self.fs.move(a, b)
+
+    monkeypatch.setattr(ob, "open_root", lambda root: (Flaky(real(root)[0]), real(root)[1]))
+    ob.put_object(str(tmp_path), "p/a.block", b"xyz")
+    assert [f.path.split("/")[-1] for f in pafs.LocalFileSystem().get_file_info(pafs.FileSelector(str(tmp_path / "p")))] == ["a.block"]
+    fails += [OSError()] * ob.ATTEMPTS
+    with pytest.raises(OSError):
+        ob.put_object(str(tmp_path), "p/b.block", b"xyz")
+    assert len(list((tmp_path / "p").iterdir())) == 1
+
+
+def test_store_options():
+    got = ob.store_options("a", "b", "http://store:9000", path_style=False)
+    assert got["spark.hadoop.fs.s3a.endpoint"] == "http://store:9000" and got["spark.hadoop.fs.s3a.path.style.access"] == "false"
+    with pytest.raises(ValueError):
+        ob.store_options("a", " ", "http://store:9000")

@@ -20,3 +20,33 @@ def test_micro_batches_equal_the_batch(spark, tmp_path):
     got = {(r.bucket, r.seq): (r.block, r.wal_pos, r.status) for r in out.collect()}
     want = pack(spark.createDataFrame(rows, schema), 128, ["ts", "seq"], 20_000_000)
     assert got == {(r.bucket, r.seq): (r.block, r.wal_pos, r.status) for r in want.collect()}
+
+
+def test_uploads_over_micro_batches(spark, tmp_path):
+    """Blocks go up when a later one has sealed them, the rest at the end, each once and whole."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators import manifest as mf
+    from quarry.operators.pack import roll_files
+    from quarry.sources import objects as ob
+    from quarry.streaming import upload
+
+    rng, t, rows = random.Random(4), dt.datetime(2024, 1, 1), []
+    for seq in range(150):
+        t += dt.timedelta(seconds=rng.choice([1, 5, 20, 21, 90]))
+        rows.append((rng.choice(["a", "a", "b"]), seq, t, bytearray(rng.randbytes(rng.choice([0, 4, 9, 30, 200])))))
+    schema = "bucket string, seq long, ts timestamp, payload binary"
+    for k in range(3):
+        spark.createDataFrame(rows[50 * k : 50 * k + 50], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    judged = lambda df: with_status(df.withColumn("len", F.octet_length("payload").cast("long")), 128)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    uploader = upload.Uploader(spark, f"{tmp_path}/up", 128, 512, "p", "m", "i", 20_000_000, uploads=2)
+    acks = upload.ingest(judged(source), uploader, f"{tmp_path}/checkpoint").collect()
+    every = spark.createDataFrame(rows, schema)
+    placed = roll_files(pack(judged(every).drop("payload"), 128, ["ts", "seq"], 20_000_000), 128, 512).join(every.select("seq", "payload"), "seq")
+    want = {(r.bucket, r.file_from_offset, r.block_index): bytes(r.content) for r in mf.concat_blocks(placed).collect()}
+    assert len(acks) == len(want) and all(r.verified for r in acks)
+    stored = {r.s3_key: bytes(r.content) for r in ob.read_objects(spark, uploader.objects).collect()}
+    assert {(r.bucket, r.file_from_offset, r.block_index): stored[r.s3_key] for r in acks} == want
+    assert sorted(r.bucket for r in acks if r.sealed_by == "CLOSE") == ["a", "b"]
+    assert {r.sealed_by for r in acks} == {"SIZE", "IDLE", "CLOSE"}
