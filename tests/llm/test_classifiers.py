@@ -74,3 +74,61 @@ def test_filter_keeps_columns_and_clean_rows(tables):
     clean = {r[0] for r in rows if not r[2]}
     assert len(ids & clean) > 0.97 * len(clean)
     assert len(ids - clean) < 20
+
+
+def test_long_texts_train(spark):
+    """Length keeps no labelled text out; the bound is on all characters of a class."""
+    from quarry.llm.labelled import sample
+
+    docs = spark.createDataFrame([(i, "word " * 30_000) for i in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    texts, y, share = sample(docs, labels, "toxic", F.lit(False), 10, 10**9)
+    assert (len(texts), y.sum(), share) == (6, 3, 0.5)
+    texts, y, _ = sample(docs, labels, "toxic", F.lit(False), 10, 200_000)
+    assert (len(texts), y.sum()) == (4, 2)
+
+
+def test_regression_against_a_dense_one():
+    """Weights and scores of the blocked sparse form equal those of the same formula over a dense table."""
+    texts = [t for _, t, *_ in corpus(4, 60)]
+    y = np.array([float(b) for _, _, b, _ in corpus(4, 60)])
+    given = toxicity.Sample(texts, y, 12)
+    x = np.zeros((len(texts), 1 << 12))
+    for i, t in enumerate(texts):
+        for n in toxicity.GRAMS:
+            for k in range(len(t) - n + 1):
+                g = next(toxicity.char_grams(t[k : k + n].lower(), range(n, n + 1), 12))
+                x[i, g[0]] += 1
+    x = np.log1p(x)[:, given.buckets]
+    w, b = given.fit(np.ones(len(y), bool), toxicity.PENALTY)
+    p, q = (x[y == c].sum(0) + toxicity.SMOOTHING for c in (1, 0))
+    r = np.log(p / p.sum()) - np.log(q / q.sum())
+    weigh = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    r /= np.sqrt(((x * r) ** 2).sum(1) @ weigh)
+    v, c, g2v, g2c = np.zeros(len(r)), 0.0, np.full(len(r), 1e-8), 1e-8
+    for _ in range(toxicity.STEPS):
+        e = (1 / (1 + np.exp(-(x @ (v * r) + c))) - y) * weigh
+        gv, gc = (x.T @ e) * r + toxicity.PENALTY * v, e.sum()
+        g2v, g2c = g2v + gv**2, g2c + gc**2
+        v, c = v - toxicity.RATE * gv / np.sqrt(g2v), c - toxicity.RATE * gc / np.sqrt(g2c)
+    assert np.allclose(x @ w + b, x @ (v * r) + c, atol=0.02)
+    assert np.allclose(given.products(w), x @ w, atol=1e-4)
+
+
+def test_every_language_of_the_test_tables(spark):
+    """Held-out rows of sf0.1, where toxic words are rare and differ by language."""
+    import pathlib
+
+    import pandas as pd
+
+    folder = pathlib.Path("/root/testdata/sf0.1")
+    if not folder.exists():
+        pytest.skip("no test tables")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = toxicity.classify(docs, labels).where("held_out").toPandas()
+    known = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    both = pd.merge(got, known, on="doc_id")
+    for lang, rows in both.groupby("lang"):
+        bad, good = rows[rows.toxic == 1], rows[rows.toxic == 0]
+        auc = (bad.score.to_numpy()[:, None] > good.score.to_numpy()[None]).mean()
+        assert auc >= 0.95 and bad.predicted.mean() >= 0.8 and good.predicted.mean() <= 0.08, lang
