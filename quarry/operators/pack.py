@@ -5,9 +5,11 @@ an idle limit a gap over it also opens the next block. That is a sequential fold
 (open block, bytes used in it) is small, so it is done in three steps:
 
 1. Records, without payloads, are range-partitioned by (bucket, order) into chunks of bounded size. Each
-   chunk works out, for every state in which its bucket may come in, the state in which it goes out. Only
-   the first record that opens a block depends on the state, and most states soon agree: a short table.
-2. The driver composes the tables, one row a chunk.
+   chunk works out, for every state in which its bucket may come in, the state in which it goes out: a table
+   with a row for each record of its first block at most, and few where runs that start differently soon agree.
+2. The tables of FAN chunks are composed into one, those of FAN such groups again, and so on, on the executors, until
+   FAN rows are left. The driver follows the state through these; each group, given its state, then does so for its
+   members, level by level down to the chunks. No more than FAN tables are ever in one place.
 3. Each chunk, given its state, assigns blocks and positions.
 
 So a bucket with a third of all records is dealt out like any other. Records over a block's size, empty
@@ -16,6 +18,8 @@ and null payloads get status INVALID_ARGUMENT and no place.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from quarry.functions.frames import MAX_BLOCKS_PER_FILE, framed_size, power_of_two
 from quarry.plans.shared import materialize
 
-CHUNK_ROWS = 1_000_000
+CHUNK_ROWS, FAN = 1_000_000, 64
 
 
 def with_status(records: DataFrame, block_bytes: int) -> DataFrame:
@@ -50,11 +54,113 @@ def gaps(ts: np.ndarray | None, idle: int | None, n: int) -> np.ndarray:
     return cut
 
 
-def _transitions(sizes: np.ndarray, cut: np.ndarray, block_bytes: int) -> tuple[list[int], list[int], list[int]]:
-    """Where the first new block opens (record k, n for none) -> blocks opened and bytes used at the end.
+class Outcome(NamedTuple):
+    """What a run of chunks does to the state (blocks opened so far, bytes used, time of the last record) of its bucket.
 
-    Given as least bytes used on coming in, rising, with the outcome from there on.
+    Coming in with ``used`` bytes, row k of the table with the largest ``least`` up to it says how many blocks are opened
+    and how many bytes are used at the end; -1: none is opened, and the run's ``total`` is added. A run in more than one
+    bucket (not ``single``) has no table, and its last bucket ends as ``fresh`` says, which is also how a single one
+    ends whose first record opens a block that counts as the first.
     """
+
+    first: str
+    last: str
+    single: bool
+    least: np.ndarray
+    blocks: np.ndarray
+    used: np.ndarray
+    total: int
+    fresh_blocks: int
+    fresh_used: int
+    first_ts: int
+    last_ts: int
+
+    def after(self, used: np.ndarray, idle: np.ndarray | bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks opened and bytes used for each way to come in; ``idle``: so late that a block is opened at once."""
+        k = np.searchsorted(self.least, used, side="right") - 1
+        blocks, left = self.blocks[k], np.where(self.used[k] < 0, used + self.total, self.used[k])
+        return np.where(idle, 1 + self.fresh_blocks, blocks), np.where(idle, self.fresh_used, left)
+
+    def then(self, other: Outcome, idle_us: int | None) -> Outcome:
+        """This run, followed by the other."""
+        if self.last != other.first or not other.single:
+            return other._replace(first=self.first, single=False, first_ts=self.first_ts, least=NONE, blocks=NONE, used=NONE)
+        idle = idle_us is not None and other.first_ts - self.last_ts > idle_us
+        g, u = other.after(np.array([self.fresh_used]), idle)
+        out = self._replace(last_ts=other.last_ts, total=self.total + other.total, fresh_blocks=self.fresh_blocks + int(g[0]), fresh_used=int(u[0]))
+        if not self.single:
+            return out
+        least, blocks, used = self.least, self.blocks, self.used
+        if used[0] < 0 and not idle:  # what opens nothing here meets each row of the other's table that it can come to
+            more = other.least - self.total
+            more = more[(more > least[0]) & (more < (least[1] if len(least) > 1 else 1 << 62))]
+            least = np.concatenate([least[:1], more, least[1:]])
+            blocks, used = (np.concatenate([np.repeat(x[:1], len(more) + 1), x[1:]]) for x in (blocks, used))
+        come = np.where(used < 0, least + self.total, used)
+        g, u = other.after(come, idle)
+        if not idle:  # nothing opened in both
+            u = np.where((used < 0) & (other.used[np.searchsorted(other.least, come, side="right") - 1] < 0), -1, u)
+        blocks = blocks + g
+        new = np.append(True, (blocks[1:] != blocks[:-1]) | (u[1:] != u[:-1]))
+        return out._replace(least=least[new], blocks=blocks[new], used=u[new])
+
+
+NONE = np.empty(0, np.int64)
+OUTCOME = "chunk long, first string, last string, single boolean, least binary, blocks binary, used binary, total long, fresh_blocks long, fresh_used long, first_ts long, last_ts long"
+STATE = "chunk long, known boolean, block long, used long, ts long"
+
+
+def _row(chunk: int, o: Outcome) -> dict:
+    return {"chunk": chunk} | {k: v.astype(np.int64).tobytes() if isinstance(v, np.ndarray) else v for k, v in o._asdict().items()}
+
+
+def _outcomes(part: pd.DataFrame) -> list[tuple[int, Outcome]]:
+    """(chunk, outcome) of each row, in order of chunk."""
+    read = lambda f, v: np.frombuffer(v, np.int64) if f in ("least", "blocks", "used") else v
+    return [(r["chunk"], Outcome(*(read(f, r[f]) for f in Outcome._fields))) for r in part.sort_values("chunk").to_dict("records")]
+
+
+def _follow(outcomes: list[tuple[int, Outcome]], idle_us: int | None, bucket: str | None, state: tuple[int, int, int]) -> list[tuple]:
+    """STATE rows: the state of ``bucket`` as it comes to each run; not known where the run's first bucket begins with it."""
+    rows = []
+    for chunk, o in outcomes:
+        known = bucket is not None and o.first == bucket
+        rows.append((chunk, known, *(state if known else (0, 0, 0))))
+        if known and o.single:
+            g, u = o.after(np.array([state[1]]), idle_us is not None and o.first_ts - state[2] > idle_us)
+            state = (state[0] + int(g[0]), int(u[0]), o.last_ts)
+        else:
+            state = (o.fresh_blocks, o.fresh_used, o.last_ts)
+        bucket = o.last
+    return rows
+
+
+def _states(level: DataFrame, n: int, idle_us: int | None) -> DataFrame:
+    """OUTCOME rows numbered from 0 to n - 1 (some may lack) -> STATE rows."""
+    spark = level.sparkSession
+    if n <= FAN:
+        return spark.createDataFrame(_follow(_outcomes(level.toPandas()), idle_us, None, (0, 0, 0)), STATE)  # FAN rows at most
+
+    def compose(part: pd.DataFrame) -> pd.DataFrame:
+        every = _outcomes(part)
+        whole = every[0][1]
+        for _, o in every[1:]:
+            whole = whole.then(o, idle_us)
+        return pd.DataFrame([_row(every[0][0] // FAN, whole)])
+
+    def follow(part: pd.DataFrame) -> pd.DataFrame:
+        one, every = part.iloc[0], _outcomes(part)
+        rows = _follow(every, idle_us, every[0][1].first if one["known"] else None, (int(one["block"]), int(one["bytes"]), int(one["ts"])))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in STATE.split(", ")])
+
+    group = F.floor(F.col("chunk") / F.lit(FAN))
+    upper = materialize(level.groupBy(group.alias("g")).applyInPandas(compose, OUTCOME), "pack-outcomes")
+    above = _states(upper, -(-n // FAN), idle_us).select(F.col("chunk").alias("g"), "known", "block", F.col("used").alias("bytes"), "ts")
+    return level.withColumn("g", group).join(above, "g").groupBy("g").applyInPandas(follow, STATE)
+
+
+def _transitions(sizes: np.ndarray, cut: np.ndarray, block_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table of an Outcome: where the first new block opens (record k, n for none) settles what follows."""
     n = len(sizes)
     after, total = next_opening(sizes, cut, block_bytes), np.concatenate([[0], np.cumsum(sizes)])
     # Pointer doubling: the last opening reached from each record, and how many openings on the way.
@@ -63,21 +169,16 @@ def _transitions(sizes: np.ndarray, cut: np.ndarray, block_bytes: int) -> tuple[
     while (hop[hop] != hop).any():
         opened, hop = opened + opened[hop], hop[hop]
     first_cut = int(np.argmax(cut)) if cut.any() else n
-    least, blocks, used = [], [], []
-    # Record k is the first that doesn't fit if the bytes used are over block_bytes - total[k + 1].
-    for k in range(min(first_cut, n), -1, -1):
-        low = 0 if k == min(first_cut, n) else block_bytes - int(total[k + 1]) + 1
-        if low > block_bytes:
-            break
-        low = max(low, 0)
-        g, u = (int(opened[k]) + 1, int(total[n] - total[hop[k]])) if k < n else (0, -1)
-        if least and least[-1] == low:
-            blocks[-1], used[-1] = g, u
-        elif not least or (blocks[-1], used[-1]) != (g, u):
-            least.append(low)
-            blocks.append(g)
-            used.append(u)
-    return least, blocks, used
+    # Record k is the first that doesn't fit if the bytes used are over block_bytes - total[k + 1]; the first cut at the latest.
+    k = np.arange(first_cut, -1, -1)
+    least = np.where(k == first_cut, 0, block_bytes - total[np.minimum(k + 1, n)] + 1)
+    k, least = k[least <= block_bytes], np.maximum(least[least <= block_bytes], 0)
+    keep = np.append(least[1:] != least[:-1], True)  # of several from the same bytes on, the last one opens first
+    k, least = k[keep], least[keep]
+    blocks = np.where(k < n, opened[k] + 1, 0)
+    used = np.where(k < n, total[n] - total[hop[k]], -1)
+    new = np.append(True, (blocks[1:] != blocks[:-1]) | (used[1:] != used[:-1]))
+    return least[new], blocks[new], used[new]
 
 
 def pack(records: DataFrame, block_bytes: int, order: list[str], idle_us: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -86,13 +187,14 @@ def pack(records: DataFrame, block_bytes: int, order: list[str], idle_us: int |
     With ``idle_us``, the first of ``order`` is a timestamp.
     """
     power_of_two(block_bytes)
-    judged = with_status(records, block_bytes)
+    judged = materialize(with_status(records, block_bytes), "pack-records")
     good = judged.where("status = 'PUT_OK'")
-    names = judged.columns
-    rows = good.count()
-    if not rows:
-        return judged.withColumn("block", F.lit(None).cast("long")).withColumn("wal_pos", F.lit(None).cast("long"))
-    dealt = good.repartitionByRange(-(-rows // chunk_rows), "bucket", *order).withColumn("chunk", F.spark_partition_id())
+    names, schema = judged.columns, judged.withColumns({"block": F.lit(None).cast("long"), "wal_pos": F.lit(None).cast("long")}).schema
+    bad = judged.where("status <> 'PUT_OK'").withColumn("block", F.lit(None).cast("long")).withColumn("wal_pos", F.lit(None).cast("long"))
+    chunks = -(-good.count() // chunk_rows)
+    if not chunks:
+        return bad
+    dealt = good.repartitionByRange(chunks, "bucket", *order).withColumn("chunk", F.spark_partition_id().cast("long"))
     dealt = materialize(dealt, "pack-chunks")
 
     def stamps(part: pd.DataFrame) -> np.ndarray | None:
@@ -105,37 +207,21 @@ def pack(records: DataFrame, block_bytes: int, order: list[str], idle_us: int |
         sizes, ts = own["framed_size"].to_numpy(), stamps(own)
         cut = gaps(ts, idle_us, len(own))
         single = len(own) == len(part)
-        if single:
-            least, blocks, used = _transitions(sizes, cut, block_bytes)
-        else:
-            least, blocks, used = [0], [0], [0]
+        table = _transitions(sizes, cut, block_bytes) if single else (NONE, NONE, NONE)
         # coming in fresh: as if the first record opened a block
         after = next_opening(sizes, cut, block_bytes)
         at, g = 0, 0
         while after[at] < len(sizes):
             at, g = int(after[at]), g + 1
-        return pd.DataFrame({"chunk": [int(part["chunk"].iloc[0])], "first": [bucket[0]], "last": [bucket[-1]], "single": [single], "least": [least], "blocks": [blocks], "used": [used], "total": [int(sizes.sum())], "fresh_blocks": [g], "fresh_used": [int(sizes[at:].sum())], "first_ts": [int(ts[0]) if ts is not None else 0], "last_ts": [int(ts[-1]) if ts is not None else 0]})
-
-    schema = "chunk int, first string, last string, single boolean, least array<long>, blocks array<long>, used array<long>, total long, fresh_blocks long, fresh_used long, first_ts long, last_ts long"
-    states: dict[int, tuple[int, int, int]] = {}
-    bucket, g, used, ts = None, 0, 0, 0
-    fresh = True
-    for r in sorted(dealt.groupBy("chunk").applyInPandas(survey, schema).collect(), key=lambda r: r["chunk"]):  # a row a chunk
-        if r["first"] == bucket and not fresh:
-            states[r["chunk"]] = (g, used, ts)
-        if r["single"] and r["first"] == bucket and not fresh:
-            come = block_bytes + 1 if idle_us is not None and r["first_ts"] - ts > idle_us else used
-            if come > block_bytes:  # idle before the first record: it opens a block
-                g, used = g + 1 + r["fresh_blocks"], r["fresh_used"]
-            else:
-                k = int(np.searchsorted(r["least"], come, side="right")) - 1
-                g, used = g + r["blocks"][k], (used + r["total"] if r["used"][k] < 0 else r["used"][k])
-        else:
-            g, used = r["fresh_blocks"], r["fresh_used"]
-        bucket, ts, fresh = r["last"], r["last_ts"], False
+        times = (int(ts[0]), int(ts[-1])) if ts is not None else (0, 0)
+        return pd.DataFrame([_row(int(part["chunk"].iloc[0]), Outcome(bucket[0], bucket[-1], single, *table, int(sizes.sum()), g, int(sizes[at:].sum()), *times))])
+
+    outcomes = materialize(dealt.groupBy("chunk").applyInPandas(survey, OUTCOME), "pack-outcomes")
+    states = materialize(_states(outcomes, chunks, idle_us), "pack-states")
 
     def assign(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["bucket", *order], kind="stable").reset_index(drop=True)
+        known, (g0, used, last) = bool(part["__known"].iloc[0]), (int(part[c].iloc[0]) for c in ("__block", "__used", "__ts"))
         bucket, sizes = part["bucket"].to_numpy(), part["framed_size"].to_numpy()
         block, pos = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
         edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(part)]
@@ -144,23 +230,21 @@ def pack(records: DataFrame, block_bytes: int, order: list[str], idle_us: int |
             ts = stamps(part.iloc[a:b])
             cut = gaps(ts, idle_us, b - a)
             after = next_opening(own, cut, block_bytes)
-            g, used, last = states.get(int(part["chunk"].iloc[0]), (0, 0, 0)) if a == 0 else (0, 0, 0)
             total = np.concatenate([[0], np.cumsum(own)])
-            at = 0
-            if a == 0 and int(part["chunk"].iloc[0]) in states:
+            at, g = 0, 0
+            if a == 0 and known:
                 first_cut = 0 if idle_us is not None and ts[0] - last > idle_us else (int(np.argmax(cut)) if cut.any() else b - a)
                 at = min(int(np.searchsorted(total, block_bytes - used, side="right")) - 1, first_cut)
-                block[a : a + at], pos[a : a + at] = g, used + total[:at]
-                g += 1
+                block[a : a + at], pos[a : a + at] = g0, used + total[:at]
+                g = g0 + 1
             while at < b - a:
                 end = int(after[at])
                 block[a + at : a + end], pos[a + at : a + end] = g, total[at:end] - total[at]
                 at, g = end, g + 1
         return part[names].assign(block=block, wal_pos=pos)
 
-    placed = dealt.groupBy("chunk").applyInPandas(assign, judged.schema.add("block", "long").add("wal_pos", "long"))
-    bad = judged.where("status <> 'PUT_OK'").withColumn("block", F.lit(None).cast("long")).withColumn("wal_pos", F.lit(None).cast("long"))
-    return placed.unionByName(bad)
+    told = dealt.join(states.select("chunk", *(F.col(c).alias(f"__{c}") for c in ("known", "block", "used", "ts"))), "chunk")
+    return told.groupBy("chunk").applyInPandas(assign, schema).unionByName(bad)
 
 
 def roll_files(packed: DataFrame, block_bytes: int, file_bytes: int) -> DataFrame:

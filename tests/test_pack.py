@@ -80,3 +80,65 @@ def test_bad_sizes(spark):
         pack(df, 48, ["seq"])
     with pytest.raises(ValueError):
         roll_files(pack(df, 64, ["seq"]), 64, 64 * 512)
+
+
+@pytest.mark.parametrize("fan, idle_us", [(2, None), (3, None), (2, 20_000_000)])
+def test_levels_of_chunks_do_not_matter(spark, monkeypatch, fan, idle_us):
+    from quarry.operators import pack as p
+
+    monkeypatch.setattr(p, "FAN", fan)
+    rng, t, rows = random.Random(fan), dt.datetime(2024, 1, 1), []
+    for seq in range(240):
+        t += dt.timedelta(microseconds=rng.choice([1, 10_000_000, 20_000_001] if idle_us else [1]))
+        rows.append((rng.choice(["hot"] * 12 + ["a", "z"]), t, seq, rng.choice([8, 8, 8, 20, 52, 116])))
+    df = spark.createDataFrame(rows, "bucket string, ts timestamp, seq long, len long")
+    got = pack(df, 128, ["ts", "seq"], idle_us, chunk_rows=13)
+    want = fold(rows if idle_us else [(b, s, n) for b, _, s, n in rows], 128, idle_us)
+    assert {(r.bucket, r.seq): (r.block, r.wal_pos) for r in got.collect()} == want
+
+
+def test_runs_of_one_size_never_agree(spark, monkeypatch):
+    """500-byte frames in 8 MiB blocks: a table has a row for each record of a block, and few tables are ever together."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators import pack as p
+
+    monkeypatch.setattr(p, "FAN", 4)
+    n, block = 120_000, 8 << 20
+    df = spark.range(n).select(F.lit("b").alias("bucket"), F.col("id").alias("seq"), F.lit(485).cast("long").alias("len"))
+    got = pack(df, block, ["seq"], chunk_rows=6_000)
+    per = block // 500
+    assert got.where((F.col("block") != F.floor(F.col("seq") / per)) | (F.col("wal_pos") != 500 * F.pmod("seq", F.lit(per)))).count() == 0
+    assert got.count() == n
+
+
+def test_outcomes_compose():
+    """A run of chunks against the plain fold, for any bytes used on coming in."""
+    import numpy as np
+
+    from quarry.operators import pack as p
+
+    rng, block = random.Random(1), 256
+    for trial in range(150):
+        idle = rng.choice([None, 5])
+        chunks, at = [], 0
+        for _ in range(rng.randint(1, 5)):
+            sizes = np.array([rng.choice([16, 20, 32, 64, 100, 256]) if trial % 3 else 20 for _ in range(rng.randint(1, 30))])
+            ts = np.cumsum([rng.choice([1, 2, 5, 6]) for _ in sizes]) + at
+            cut, at = p.gaps(ts, idle, len(sizes)), int(ts[-1])
+            after, k, g = p.next_opening(sizes, cut, block), 0, 0
+            while after[k] < len(sizes):
+                k, g = int(after[k]), g + 1
+            chunks.append((sizes, ts, p.Outcome("b", "b", True, *p._transitions(sizes, cut, block), int(sizes.sum()), g, int(sizes[k:].sum()), int(ts[0]), int(ts[-1]))))
+        whole = chunks[0][2]
+        for *_, o in chunks[1:]:
+            whole = whole.then(o, idle)
+        for come in (0, 1, 50, 150, 255, 256):
+            g, used, last = 0, come, None
+            for sizes, ts, _ in chunks:
+                for s, t in zip(sizes.tolist(), ts.tolist(), strict=True):
+                    if used + s > block or (idle is not None and last is not None and t - last > idle):
+                        g, used = g + 1, 0
+                    used, last = used + s, t
+            blocks, left = whole.after(np.array([come]))
+            assert (int(blocks[0]), int(left[0])) == (g, used)
