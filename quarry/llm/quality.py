@@ -1,7 +1,7 @@
 """Quality by supervised subword embeddings.
 
-Features of a text: every word, every 3- to 4-gram of its characters (case kept), and every pair of
-neighbouring words, where a word that repeats its neighbour counts as one common feature. Each is hashed
+Features of a text: every word, every pair of neighbouring words and every 3- to 4-gram of its characters
+(case kept). Each is hashed
 to one of 2**BITS rows of a table of vectors; the mean over all features of a document, repeats counted,
 goes through a linear layer and a softmax over two classes. Vectors and layer are learnt by numpy
 stochastic gradient descent, one document a step, on a bounded sample on the driver. Steps are scaled by
@@ -29,9 +29,8 @@ from quarry.llm.labelled import fold, sample
 from quarry.llm.text import char_grams, mix64, word_hashes
 
 BITS, GRAMS, DIM = 18, range(3, 5), 8
-SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 40_000  #: training rows a class at most, and characters of each at most
+SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 20_000_000  #: training rows a class at most, and about how many characters of them together
 EPOCHS, RATE, SEED = 4, 0.5, 7
-_SAME = np.uint64(0x5851F42D4C957F2D)
 
 
 def features(text: str, bits: int = BITS) -> Iterator[np.ndarray]:
@@ -41,8 +40,7 @@ def features(text: str, bits: int = BITS) -> Iterator[np.ndarray]:
     if len(words):
         yield (words >> shift).astype(np.uint32)
     if len(words) > 1:
-        a, b = words[:-1], words[1:]
-        yield (np.where(a == b, _SAME, mix64(a * np.uint64(3) + b)) >> shift).astype(np.uint32)
+        yield (mix64(words[:-1] * np.uint64(3) + words[1:]) >> shift).astype(np.uint32)
     if text:
         yield from char_grams(text, GRAMS, bits)
 

@@ -49,15 +49,33 @@ def test_held_out(tables, module, label, folds, out):
     assert got[9001].score == got[9002].score
 
 
-def test_labels_of_the_held_out_fold_do_not_count(tables):
+@pytest.mark.parametrize("module, label, folds, out", [(toxicity, "toxic", 3, 1), (quality, "quality", 5, 0)])
+def test_labels_of_the_held_out_fold_do_not_count(tables, module, label, folds, out):
     rows, docs, labels = tables
     from quarry.llm.labelled import fold
 
-    flipped = labels.withColumn("toxic", F.when(fold("doc_id", 3) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    a, b = ({r.doc_id: r.score for r in toxicity.classify(docs, x).collect()} for x in (labels, flipped))
+    flipped = labels.withColumn(label, F.when(fold("doc_id", folds) == out, 1 - F.col(label)).otherwise(F.col(label)))
+    a, b = ({r.doc_id: r.score for r in module.classify(docs, x).collect()} for x in (labels, flipped))
     assert a == b
 
 
+def test_scores_against_a_plain_softmax():
+    """The folded table gives the softmax of the mean of the vectors: the same training, scored by a loop over features."""
+    texts = [t for _, t, *_ in corpus(6, 80)]
+    y = np.array([float(q) for *_, q in corpus(6, 80)])
+    table, bias = quality.train(texts, y, 0.5, 12)
+    for t in texts[:20]:
+        data = t.encode().split()
+        words = [quality.word_hashes(w)[0] for w in data]
+        buckets = [int(w) >> 52 for w in words]
+        buckets += [int(quality.mix64(np.array([a]) * np.uint64(3) + np.array([b]))[0]) >> 52 for a, b in zip(words, words[1:], strict=False)]
+        buckets += [int(next(quality.char_grams(t[k : k + n], range(n, n + 1), 12))[0]) for n in quality.GRAMS for k in range(len(t) - n + 1)]
+        assert sorted(buckets) == sorted(np.concatenate(list(quality.features(t, 12))).tolist())
+        assert np.isclose(np.mean([table[b] for b in buckets]) + bias, np.concatenate([table[x] for x in quality.features(t, 12)]).mean() + bias, atol=1e-5)
+    z = np.array([np.concatenate([table[x] for x in quality.features(t, 12)]).mean() + bias for t in texts])
+    assert np.mean((z > 0) == y) > 0.9
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_no_labels_and_no_documents(spark, tables, module):
     _, docs, labels = tables
@@ -131,4 +149,4 @@ def test_every_language_of_the_test_tables(spark):
     for lang, rows in both.groupby("lang"):
         bad, good = rows[rows.toxic == 1], rows[rows.toxic == 0]
         auc = (bad.score.to_numpy()[:, None] > good.score.to_numpy()[None]).mean()
-        assert auc >= 0.95 and bad.predicted.mean() >= 0.8 and good.predicted.mean() <= 0.08, lang
+        assert auc >= 0.95 and bad.predicted.mean() >= 0.8 and good.predicted.mean() <= 0.1, lang
