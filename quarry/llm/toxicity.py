@@ -4,12 +4,13 @@ Features are the 4- and 5-grams of the lower-cased characters, hashed to 2**BITS
 log(1 + count) in each, so that a word counts that comes again and again, whatever its language, and yet no text by its
 length alone. Each bucket is scaled by r, the log of the ratio of its smoothed shares of the two classes' values. A
 logistic regression over the scaled features, with an L2 penalty, is fitted on the driver on a bounded sample of either
-class; no feature is left out. The cut between the classes is sought by cross-validation within the sample: the lowest
-of about the highest F2 at the classes' true shares, over outcomes of rows by regressions that haven't seen them; scores are moved so
-that it has the score ``threshold``. The folded weights (one float a bucket, 4 MB) go to the executors
-and every whole text is scored in one pass without a shuffle.
+class; no feature is left out. Outcomes of short texts are drawn to the odds of the classes' true shares, so that a text
+without evidence, an empty one above all, is taken for what most are. The cut between the classes is sought by
+cross-validation within the sample: the lowest of about the highest F2 at the classes' true shares, over outcomes of
+rows by regressions that haven't seen them; scores are moved so that it has the score ``threshold``. The folded weights
+(one float a bucket, 4 MB) go to the executors and every whole text is scored in one pass without a shuffle.
 
-Defined cases: a null text scores as the empty text, which has the intercept alone; repeated rows repeat;
+Defined cases: a null text scores as the empty text, which is never predicted 1 but where all rows are; repeated rows repeat;
 an empty table gives no rows; without labelled rows of both classes every score is the share of label 1; with
 a single row of a class no cut is sought, and it is where both classes are as likely.
 Columns other than id and text are ignored, so labels, lang and source can't be inputs.
@@ -18,6 +19,7 @@ Columns other than id and text are ignored, so labels, lang and source can't be
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 1_500, 20_000_000  #: training rows a class at most
 SMOOTHING, PENALTY, STEPS, RATE = 1.0, 3e-4, 60, 0.3
 FOLDS = 3  #: of the training rows; the cut is sought on outcomes of regressions that haven't seen the row
 BLOCK = 1 << 20  #: values worked on at once in training
-THRESHOLD = 0.7
+SHORT = 50  #: characters of a text whose outcome counts half, the classes' shares the other half
+THRESHOLD, EVIDENCE = 0.7, 0.5  #: by how much, at least, the threshold is over what an empty text has
 
 
 def values(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -114,23 +117,41 @@ class Sample:
 
 
 def best_cut(z: np.ndarray, y: np.ndarray, share: float) -> float:
-    """The lowest cut whose F2 (a miss weighs four times a false alarm), where label 1 has this share, is within a hundredth
-    of the highest: half way between the outcomes beside it. Among few rows the highest alone is a matter of chance."""
+    """The lowest cut whose F2 (a miss weighs four times a false alarm), where label 1 has this share, is within half a
+    hundredth of the highest: half way between the outcomes beside it. Among few rows the highest alone is a matter of chance."""
     order = np.argsort(-z, kind="stable")
     hit = np.cumsum(y[order]) / max(1, y.sum()) * share
     false = np.cumsum(1 - y[order]) / max(1, (1 - y).sum()) * (1 - share)
     f2 = hit / (4 * share + hit + false)
-    n = int(np.flatnonzero(f2 >= 0.99 * f2.max())[-1])
+    n = int(np.flatnonzero(f2 >= 0.995 * f2.max())[-1])
     return float(z[order[n : n + 2]].mean())
 
 
-def train(texts: list[str], y: np.ndarray, share: float, bits: int = BITS, threshold: float = THRESHOLD) -> tuple[np.ndarray, float]:
-    """Folded weights by bucket, and the intercept."""
-    odds = lambda p: np.log(p / (1 - p))
-    share = min(max(share, 1e-6), 1 - 1e-6)
+class Model(NamedTuple):
+    """Folded weights by bucket and the intercept; the odds of label 1, to which short texts are drawn; and what is added
+    so that the cut has the threshold's score."""
+
+    weights: np.ndarray
+    intercept: float
+    prior: float
+    shift: float
+
+    def logit(self, text: str | None) -> float:
+        ids, value = values(text)
+        return float(shrunk(float((self.weights[ids] * value).sum(dtype=np.float64)) + self.intercept, len(text or ""), self.prior) + self.shift)
+
+
+def shrunk(z, chars, prior: float):
+    """An outcome drawn to the prior, the more the shorter its text: an empty one has no evidence, and so the prior."""
+    return prior + chars / (chars + SHORT) * (z - prior)
+
+
+def train(texts: list[str], y: np.ndarray, share: float, bits: int = BITS, threshold: float = THRESHOLD) -> Model:
+    odds = lambda p: float(np.log(p / (1 - p)))
+    prior = odds(min(max(share, 1e-6), 1 - 1e-6))
     if not len(y) or y.min() == y.max():
-        return np.zeros(1 << bits, np.float32), float(odds(share))
-    given = Sample(texts, y, bits)
+        return Model(np.zeros(1 << bits, np.float32), prior, prior, 0.0)
+    given, chars = Sample(texts, y, bits), np.array([len(t) for t in texts])
     cut, fold, z = 0.0, np.zeros(len(y), np.int64), np.zeros(len(y))
     for c in (0, 1):
         fold[y == c] = np.arange((y == c).sum()) % FOLDS
@@ -139,28 +160,24 @@ def train(texts: list[str], y: np.ndarray, share: float, bits: int = BITS, thres
             if (fold == f).any():
                 w, b = given.fit(fold != f, PENALTY)
                 z[fold == f] = (given.products(w) + b)[fold == f]
-        cut = best_cut(z, y, share)
+        cut = best_cut(shrunk(z, chars, prior), y, share)
     w, b = given.fit(np.ones(len(y), bool), PENALTY)
     out = np.zeros(1 << bits, np.float32)
     out[given.buckets] = w
-    return out, float(b - cut + odds(threshold))
-
-
-def _dot(weights: np.ndarray, ids: np.ndarray, value: np.ndarray) -> float:
-    return float((weights[ids] * value).sum(dtype=np.float64))
+    return Model(out, b, prior, odds(threshold) - max(cut, prior + EVIDENCE))
 
 
-def score(docs: DataFrame, weights: np.ndarray, intercept: float, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """id (or the columns ``keep``) and the score, 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast((weights, intercept))  # 4 * 2**BITS bytes
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 * 2**BITS bytes
     cols = keep or [id_col]
     given = docs.select(*map(named, cols), *([] if text_col in cols else [named(text_col)]))
     at = given.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = shared.value
+        own = shared.value
         for batch in batches:
-            z = np.array([_dot(w, *values(t.as_py())) + b for t in batch.column(at)], np.float64)
+            z = np.array([own.logit(t.as_py()) for t in batch.column(at)], np.float64)
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], pa.array(s, pa.float64())], names=[*cols, name])
 
@@ -168,14 +185,14 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float, id_col: str =
     return given.mapInArrow(work, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> Model:
     return train(*sample(docs, labels, label, held_out, SAMPLE_ROWS, SAMPLE_CHARS, id_col, text_col), threshold=threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, out_fold: int = 1, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted: labels of the held-out fold are never seen."""
     held_out = fold("doc_id", folds) == out_fold
-    scored = score(docs, *fit(docs, labels, held_out, threshold=threshold))
+    scored = score(docs, fit(docs, labels, held_out, threshold=threshold))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -183,4 +200,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """The rows of docs that score below the threshold, all columns kept; learns from all labelled rows."""
     model = fit(docs, labels, F.lit(False), id_col=id_col, text_col=text_col, threshold=threshold)
     name = "__toxicity"
-    return score(docs, *model, id_col=id_col, text_col=text_col, keep=docs.columns, name=name).where(F.col(name) < threshold).drop(name)
+    return score(docs, model, id_col=id_col, text_col=text_col, keep=docs.columns, name=name).where(F.col(name) < threshold).drop(name)
