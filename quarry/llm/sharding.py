@@ -6,8 +6,8 @@ is one size up to 2^16 bytes and 1/1,024 of a power of two above, so there are a
 1,024 * 47 classes whatever the corpus holds. All groups of one class count as their mean, which is
 exact for classes of one size and for a class of one group. How many groups of a class each shard
 gets is settled in one step for whole rounds (raising the least loads to a common level) and by the
-heap for the rest. Within a class groups are told apart by their rank, counted in salted ranges so
-that no task sees a whole class.
+heap for the rest. Within a class groups are told apart by their rank, counted in salted ranges of
+about RANGE groups, as many as the class needs, so that no task sees a whole class.
 
 Defined cases: a null text counts 0 bytes, has CRC 0 and is in one group with the empty text; rows
 repeated under one id are separate rows; an empty table gives no rows; other columns are ignored.
@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.plans.shared import materialize
 
 OVERHEAD = 8  #: bytes that each row counts besides its text
-EXACT_BITS, FINE_BITS, SALTS, BLOCKS = 16, 10, 8, 512
+EXACT_BITS, FINE_BITS, RANGE, BLOCKS = 16, 10, 50_000, 512
 
 
 def size_class(size):
@@ -66,27 +67,16 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     utf8 = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     slim = materialize(docs.select(F.col(id_col).alias("id"), (F.octet_length(utf8).cast("long") + OVERHEAD).alias("size"), F.crc32(utf8).alias("text_crc32"), F.unhex(F.md5(utf8)).alias("digest")), "shard-rows")
-    salt = F.pmod(F.hash("digest"), F.lit(SALTS))
-    groups = materialize(slim.groupBy("digest").agg(F.sum("size").alias("bytes")).withColumn("class", size_class(F.col("bytes"))).withColumn("salt", salt), "shard-groups")
-    per = groups.groupBy("class", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).collect()  # bounded: classes * salts
-
-    by_class: dict[int, list] = {}
-    for r in per:
-        by_class.setdefault(r["class"], []).append((r["salt"], r["n"], r["bytes"]))
-    dealt = schedule([(k, sum(n for _, n, _ in v), sum(b for *_, b in v) / sum(n for _, n, _ in v)) for k, v in by_class.items()], shards)
-    ranges = []  # (class, salt, first rank of the salt, upper rank of each shard)
-    for k, v in by_class.items():
-        ends, upto, start = [], 0, 0
-        for c in dealt[k]:
-            upto += c
-            ends.append(upto)
-        for s, n, _ in sorted(v):
-            ranges.append((k, s, start, ends))
-            start += n
-    table = spark.createDataFrame(ranges, "class long, salt int, start long, ends array<long>")
-    rank = F.row_number().over(Window.partitionBy("class", "salt").orderBy("bytes", "digest")) - 1 + F.col("start")
+    groups = materialize(slim.groupBy("digest").agg(F.sum("size").alias("bytes")).withColumn("class", size_class(F.col("bytes"))), "shard-groups")
+    per = groups.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).collect()  # bounded: a row a class
+    dealt = schedule([(r["class"], r["n"], r["bytes"] / r["n"]) for r in per], shards)
+    table = spark.createDataFrame([(r["class"], -(-r["n"] // RANGE), np.cumsum(dealt[r["class"]]).tolist()) for r in per], "class long, ranges int, ends array<long>")
+    salted = groups.join(F.broadcast(table), "class").withColumn("range", F.pmod(F.hash("digest"), F.col("ranges")))  # 113,000 classes at most
+    counts = salted.groupBy("class", "range").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select("class", "range", (F.sum("n").over(Window.partitionBy("class").orderBy("range")) - F.col("n")).alias("start"))  # a row for RANGE groups
+    rank = F.row_number().over(Window.partitionBy("class", "range").orderBy("bytes", "digest")) - 1 + F.col("start")
     shard = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
-    placed = groups.join(table, ["class", "salt"]).withColumn("rank", rank).select("digest", shard.alias("shard"))
+    placed = salted.join(starts, ["class", "range"]).withColumn("rank", rank).select("digest", shard.alias("shard"))
 
     rows = materialize(slim.join(placed, "digest").select("id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int").alias("block")), "shard-placed")
     counts = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))  # bounded: shards * BLOCKS rows

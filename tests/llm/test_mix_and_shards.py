@@ -88,3 +88,26 @@ def test_mix_odd_tables(documents):
     rows = mixing.mix(documents([(7, "a b c", "s")] * 3 + [(None, "a", "s")])).collect()  # ids that stand thrice are taken alike
     assert len({r.taken for r in rows if r.doc_id == 7}) == 1
     assert sum(r.taken for r in rows) <= 20
+
+
+def test_large_classes_in_ranges(documents, monkeypatch):
+    """A class of many groups is ranked in ranges; rows repeated under one id are separate rows."""
+    monkeypatch.setattr(sharding, "RANGE", 7)
+    texts = [(i % 90, f"{i:04d}", "s") for i in range(200)] + [(5, "0001", "s")]
+    rows = sharding.assign(documents(texts), 24).collect()
+    assert len(rows) == 201
+    loads = [sum(r.size for r in rows if r.shard == j) for j in range(24)]
+    assert sorted(loads) == lpt([12] * 199 + [24], 24)
+
+
+def test_wordless_rows_and_sources(spark, documents):
+    """In a source at its cap no row stands oftener than that; a source without words stands not at all."""
+    rows = [(i, "a b c" if i % 2 else "", "small") for i in range(40)] + [(100 + i, "w " * 30, "large") for i in range(60)] + [(300 + i, " ", "none") for i in range(5)]
+    docs = documents(rows)
+    plan = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert max(r.times for r in plan.values()) <= 2 and all(r.taken <= 2 * r.size for r in plan.values())
+    got = {}
+    for r in mixing.mixed(docs).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == {i: r.times for i, r in plan.items() if r.times}
+    assert not any(i >= 300 for i in got)
