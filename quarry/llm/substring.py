@@ -5,15 +5,16 @@ with a smaller id. Which shard must know a window follows from its content: the
 of GRAM words, its anchor. Documents are cut into segments, maximal runs of windows with one anchor;
 anchors that only one text has are dropped, so that the shards hold the repeated parts of the corpus and
 no more. Equal texts count once, equal segments of a batch once with the least id that has them. Each shard builds
-an FM-index over its segments; these are streamed against it by backward search over its wavelet tree,
-which gives every window its range of suffixes and the least id among them. Windows whose least id is
-smaller are reported as intervals of words.
+an FM-index over its segments; the segments of its documents are streamed against it by backward search over its
+wavelet tree, which gives every position its matching statistic up to the window's length and, where it has that, the
+range of suffixes and the least id among them. Windows whose least id is smaller are reported as intervals of words. (As
+a segment is one of those that the index is made of, its matches are as long as it allows; ``FMIndex.matching`` takes any.)
 
 Bounds: a shard is cut at SHARD_WORDS words, at a change of anchor; the segments of an anchor with over HOT
 are split into their single windows, which are routed by their own hash. Shuffles carry anchors
 (8 bytes, about one in five words), segments of repeated anchors, and texts of documents that have any.
 
-Defined cases: null and empty texts have no words; of rows with equal text the least id counts as the
+Defined cases: ids are whole numbers, and a text that isn't one fails as an id; null and empty texts have no words; of rows with equal text the least id counts as the
 first, and rows with that id are no repeats of each other; a null id is neither repeated nor a repeat's
 origin; an empty table gives no rows; other columns are carried along or ignored, as stated.
 """
@@ -131,7 +132,7 @@ def search_shards(bodies: DataFrame, window: int) -> DataFrame:
         sizes = np.array([len(w) for w in split])
         starts = np.cumsum(sizes + 1) - sizes - 1
         index = FMIndex(text, np.repeat(np.array([i for _, i in found.values()], np.int64), sizes + 1), window)
-        least = index.least_owners(text, starts, sizes)
+        _, least = index.matching(text, starts, sizes)
         lengths = sizes - window + 1
         values = least[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))]
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
@@ -160,21 +161,21 @@ def search_shards(bodies: DataFrame, window: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id, digest) and the first words of its repeated windows, for the first document of each text; the survey, without
     anchors; and the least id (rep) of each text."""
-    some = scratch.table(survey(docs, window, id_col, text_col), "sub-survey", free=True)
+    some = scratch.table(survey(docs, window, id_col, text_col), "sub-survey")
     known = scratch.table(some.drop("anchors"), "sub-known")
     reps = known.where("id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     some = some.where("id is not null")
     each = some.select(F.xxhash64("digest").alias("text"), F.explode("anchors").alias("anchor"))
     shared = each.groupBy("anchor").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("anchor")  # of two texts at least
     where = some.select("id", F.explode("anchors").alias("anchor")).join(shared.hint("shuffle_hash"), "anchor")
-    wanted = scratch.table(where.groupBy("id").agg(F.collect_list("anchor").alias("anchors")), "sub-anchors", free=True)
+    wanted = scratch.table(where.groupBy("id").agg(F.collect_list("anchor").alias("anchors")), "sub-anchors")
     first = known.select("id", "digest").join(reps, "digest").where("id = rep").select("id", "digest", F.xxhash64("digest").alias("key")).dropDuplicates(["digest"])
-    wanted = scratch.table(wanted.join(first, "id"), "sub-wanted", free=True)
+    wanted = scratch.table(wanted.join(first, "id"), "sub-wanted")
     scratch.drop("sub-anchors", "sub-survey")
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = texts.join(wanted.hint("shuffle_hash"), "id").where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("digest"))
-    parts = scratch.table(segments(texts, window), "sub-segments", free=True)
+    parts = scratch.table(segments(texts, window), "sub-segments")
     scratch.drop("sub-wanted")
 
     bodies = parts.where("segment is not null")
@@ -184,12 +185,12 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str, s
         windows = scratch.table(single_windows(bodies.join(hot, "anchor", "left_semi").select(*parts.columns), window), "sub-windows")
         least = windows.select("of", "at", "segment_id").distinct().join(search_shards(windows, window), "segment_id")
         found = found.unionByName(least.groupBy(F.col("of").alias("segment_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("least")[0].alias("m")))), lambda x: x["m"]).alias("least")))
-    found = scratch.table(found, "sub-found", free=True)
+    found = scratch.table(found, "sub-found")
 
     starts = F.filter(F.transform("least", lambda m, j: F.when(m < F.col("id"), F.col("start") + j)), lambda x: x.isNotNull())
     hits = parts.where("start is not null").select("id", "key", "start", "segment_id").join(found, "segment_id").select("id", "key", starts.alias("starts")).where(F.size("starts") > 0)
     hits = hits.groupBy("id", "key").agg(F.flatten(F.collect_list("starts")).alias("starts")).join(first, ["id", "key"]).select("id", "digest", "starts")
-    hits = scratch.table(hits, "sub-hits", free=True)
+    hits = scratch.table(hits, "sub-hits")
     scratch.drop("sub-segments", "sub-hot", "sub-windows", "sub-found")
     return hits, known, reps
 
@@ -235,7 +236,7 @@ def digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     hits, known, reps = repeated_windows(docs, window, id_col, text_col, scratch)
     changed = _apply(docs.select(id_col, text_col), hits, window, id_col, text_col, "inner", texts=False)
     digest = F.unhex(F.md5(F.col(text_col).cast("binary")))
-    changed = scratch.table(changed.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), F.col("__removed").alias("n_removed"), F.col("__kept").alias("kept")).dropDuplicates(["id", "digest"]), "sub-changed", free=True)
+    changed = scratch.table(changed.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), F.col("__removed").alias("n_removed"), F.col("__kept").alias("kept")).dropDuplicates(["id", "digest"]), "sub-changed")
     out = known.select("id", "digest", "n_words", "clean_sha256").join(reps, "digest", "left").join(changed, ["id", "digest"], "left")
     copy = (F.col("id") > F.col("rep")) & (F.col("n_words") >= window)  # all its windows start in the first document of its text
     out = out.select(

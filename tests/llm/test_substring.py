@@ -46,7 +46,8 @@ def test_least_owner_of_each_window(window):
     sizes = np.array([len(p) for p in parts])
     text, starts = np.concatenate([np.append(p, 0) for p in parts]), np.cumsum(sizes + 1) - sizes - 1
     index = FMIndex(text, np.repeat(owner, sizes + 1), window)
-    got = index.least_owners(text, starts, sizes)
+    lengths, got = index.matching(text, starts, sizes)
+    assert all(lengths[a + i] == min(window, n - i) for a, n in zip(starts, sizes) for i in range(n))  # its own sequences
     best = {}
     for p, o in zip(parts, owner):
         for j in range(len(p) - window + 1):
@@ -103,3 +104,24 @@ def test_empty(documents):
     assert sub.digests(documents([])).count() == 0
     got = sub.digests(documents([None, ""])).collect()
     assert [(r.n_words, r.n_removed) for r in got] == [(0, 0), (0, 0)]
+
+
+@pytest.mark.parametrize("window", [2, 5, 13, 16])
+def test_matching_statistics_of_other_sequences(window):
+    """Sequences that aren't in the index, with symbols that it hasn't, against a search by brute force."""
+    rng = np.random.default_rng(window)
+    known = [rng.integers(1, 4, size=n) for n in (40, 3, 1, 25, 60)]
+    known.append(np.tile([1, 2], 30))
+    sizes = np.array([len(x) for x in known])
+    owner = np.array([7, 3, 9, 1, 5, 2])
+    index = FMIndex(np.concatenate([np.append(x, 0) for x in known]), np.repeat(owner, sizes + 1), window)
+    asked = [rng.integers(0, 6, size=30), np.concatenate([known[0][5:30], known[3][:20]]), np.tile([2, 1], 40), np.array([5]), known[4][::-1], rng.integers(1, 4, size=50)]
+    text, n = np.concatenate(asked), np.array([len(x) for x in asked])
+    starts = np.cumsum(n) - n
+    lengths, least = index.matching(text, starts, n)
+    has = lambda p: [o for x, o in zip(known, owner, strict=True) if any((x[k : k + len(p)] == p).all() for k in range(len(x) - len(p) + 1))]
+    for a, x in zip(starts, asked, strict=True):
+        for i in range(len(x)):
+            want = max((m for m in range(1, min(window, len(x) - i) + 1) if 0 not in x[i : i + m] and has(x[i : i + m])), default=0)
+            assert lengths[a + i] == want
+            assert least[a + i] == (min(has(x[i : i + window])) if want == window else np.iinfo(np.int64).max)
