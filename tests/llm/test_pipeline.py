@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -68,3 +69,21 @@ def test_stages(spark, tables):
 def test_run(spark, tables):
     folder, _ = tables
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_odd_tables(spark, tables, tmp_path):
+    """Every stage on an empty table, and on repeated rows with further columns whose names hold dots and spaces."""
+    folder, _ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for given in (docs.limit(0), docs.where("doc_id < 40").unionByName(docs.where("doc_id < 10")).withColumns({"a.b": F.lit(1), "c d": F.lit("x"), "score": F.lit(0.5), "size": F.lit(1)})):
+        before, rows = given, given.count()
+        for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            after = stage(spark, before, folder)
+            if n < len(corpus_pipeline.STAGES) - 1:
+                assert after.columns == given.columns
+                path = f"{tmp_path}/{rows}-{name}.parquet"
+                after.write.parquet(path)
+                before = spark.read.parquet(path)
+                assert (before.count() > 0) == (rows > 0)
+            else:
+                assert (after.count() > 0) == (rows > 0)
