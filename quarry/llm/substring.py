@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.columns import named
+from quarry.llm.columns import named, numbered
 from quarry.llm.fmindex import FMIndex
 from quarry.llm.text import shingle_hashes, word_hashes
 from quarry.plans.shared import Scratch, materialize
@@ -208,7 +208,8 @@ def _apply(docs: DataFrame, hits: DataFrame, window: int, id_col: str, text_col:
     names = docs.columns
     given = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__digest", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     joined = given.join(hits.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("starts").alias("__starts")).hint("shuffle_hash"), ["__id", "__digest"], how)
-    schema = docs.select(*map(named, names)).schema.add("__removed", "long").add("__kept", "string")
+    joined = numbered(joined.select(*map(named, names), "__starts"))
+    schema = joined.drop(joined.columns[-1]).schema.add("removed", "long").add("kept", "string")
     at = names.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,9 +226,9 @@ def _apply(docs: DataFrame, hits: DataFrame, window: int, id_col: str, text_col:
                     kept.append(b" ".join([words[i] for i in np.flatnonzero(~gone)]).decode())
                 else:
                     kept.append(text)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(counts, pa.int64()), pa.array(kept, pa.string())], names=[*names, "__removed", "__kept"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(counts, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
 
-    return joined.select(*map(named, names), "__starts").mapInArrow(work, schema)
+    return joined.mapInArrow(work, schema).toDF(*names, "__removed", "__kept")
 
 
 def digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.columns import named
+from quarry.llm.columns import named, numbered
 from quarry.llm.labelled import fold, sample
 from quarry.llm.text import char_grams
 
@@ -172,17 +172,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 * 2**BITS bytes
     cols = keep or [id_col]
     given = docs.select(*map(named, cols), *([] if text_col in cols else [named(text_col)]))
-    at = given.columns.index(text_col)
+    at, given = given.columns.index(text_col), numbered(given)
+    names = [*given.columns[: len(cols)], "score"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             z = np.array([own.logit(t.as_py()) for t in batch.column(at)], np.float64)
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], pa.array(s, pa.float64())], names=[*cols, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], pa.array(s, pa.float64())], names=names)
 
-    schema = given.select(*map(named, cols)).schema.add(name, "double")
-    return given.mapInArrow(work, schema)
+    schema = given.select(*names[:-1]).schema.add("score", "double")
+    return given.mapInArrow(work, schema).toDF(*cols, name)
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> Model:
