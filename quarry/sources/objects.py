@@ -75,9 +75,14 @@ class BlockObjects(DataSource):
         return ObjectWriter(self.options)
 
 
+def register(spark) -> None:
+    """Streams need this done before they start: their micro-batches run in a session that is a copy."""
+    spark.dataSource.register(BlockObjects)
+
+
 def write_objects(objects: DataFrame, root: str, uploads: int | None = None) -> None:
     """Puts every object; with ``uploads``, no more than so many at a time."""
-    objects.sparkSession.dataSource.register(BlockObjects)
+    register(objects.sparkSession)
     rows = objects.select("s3_key", "content")
     (rows.repartition(uploads) if uploads else rows).write.format("block_objects").mode("append").save(root)
 

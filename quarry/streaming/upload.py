@@ -28,6 +28,7 @@ class Uploader:
         self.spark, self.root, self.block_bytes, self.file_bytes = spark, root.rstrip("/"), block_bytes, file_bytes
         self.prefix, self.machine, self.instance, self.idle_us, self.uploads = prefix, machine, instance, idle_us, uploads
         self.objects, self.last = f"{self.root}/objects", -1
+        ob.register(spark)
 
     def _put(self, rows: DataFrame, manifest: DataFrame, batch: int) -> None:
         """Uploads the sealed blocks among ``manifest`` and acknowledges those that verify."""
