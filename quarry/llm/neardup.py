@@ -7,7 +7,7 @@ by its token there, so that two classes of similarity J share a child with 1.25
 from 0.8 on. Nodes of up to LEAF classes are compared exhaustively, by a sketch of 32 bytes; larger nodes
 branch again. As branching can't part classes that are alike, a class of a large node whose mean agreement
 with the node (by a random block of it) is DENSE or more is compared with all of the node that may be
-similar, and goes no further. From the second level on, nodes of up to WIDE classes are compared in a grid of
+similar (at the first level in DENSE_TREES of the trees), and goes no further. From the second level on, nodes of up to WIDE classes are compared in a grid of
 blocks, as is all that is left at level DEPTH. TREES
 independent trees bring the recall of a pair at the threshold to over 0.999 at any depth up to 5. Every
 candidate is confirmed on the full sets, rebuilt from whole texts.
@@ -20,7 +20,7 @@ come out, one for each class and component. Hot nodes are dealt to blocks by sal
 confirmed in salted parts. Nothing is capped and nothing collected.
 
 Defined cases: a text without words, or null, has an empty set and links with nothing; fewer words than a
-shingle are one shingle; rows with equal ids are one vertex, with the links of all its texts; a null id takes part in no link, has a null
+shingle are one shingle; ids are whole numbers, and a text that isn't one fails as an id; rows with equal ids are one vertex, with the links of all its texts; a null id takes part in no link, has a null
 component and is kept; an empty table gives no rows; other columns are ignored.
 """
 
@@ -42,7 +42,9 @@ from quarry.plans.shared import Scratch, materialize
 SIGNATURE, SKETCH = 128, 32
 TREES, FIRST, DEPTH, LEAF, WIDE = 12, 3, 10, 192, 4_096
 DENSE, NEARLY = 16, 6  #: of 32, mean agreement with a node; by the triangle inequality what is similar to a dense class has NEARLY
-CROWDED, GRID = 2, 384  #: candidates per class of a group that are compared in place; classes of a block among dense ones
+CROWDED, GRID = 2, 1_024  #: candidates per class of a group that are compared in place; classes of a block among dense ones
+DENSE_TREES = 8  #: trees in which the dense classes of the first level are compared: two similar ones meet in one but for 3 of a million cases
+HEAVY = 10_000  #: nodes that are broadcast at most
 SKETCH_LEAST = 16  #: of 32 coordinates; a pair of similarity 0.8 has fewer in 3 of a million cases
 STAR = 512  #: members of a star that are confirmed in one group
 _RNG = np.random.Generator(np.random.PCG64(77))
@@ -184,24 +186,32 @@ def nearest(groups: DataFrame) -> DataFrame:
     return by_group(groups, "tree node whole id sketch", work, "tree int, node long, whole int, id long, partner long, sketch binary")
 
 
-def candidates(groups: DataFrame) -> DataFrame:
-    """What a group tells, by kind.
-
-    0: similar pairs (a, b), a > b, of different components. 1: of groups that have many, the members that are in
-    any instead (a = id, b = component, group). 2: of blocks of large nodes (side 3), each row with its mean agreement with
-    the others and its sketch (tree, node, a = id, b = component, mean, sketch).
-    """
+def agreement(groups: DataFrame) -> DataFrame:
+    """Rows of blocks of large nodes, each with its mean agreement with the others of its block (of SKETCH)."""
 
-    def work(group, tree, node, ids, comp, side, sketch):
-        found, total = [], np.zeros(len(ids))
+    def work(group, tree, node, ids, comp, sketch):
+        total = np.zeros(len(ids))
         for a, b in _pairs(group):
-            thick = side[a] == 3
-            agree = np.zeros(len(a), np.int64)
-            fit = thick | ((comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] == 2)))
-            agree[fit] = (sketch[a[fit]] == sketch[b[fit]]).sum(1)
+            agree = (sketch[a] == sketch[b]).sum(1)
             total[a] += agree  # an index stands once in a and once in b of a step
             total[b] += agree
-            fit = ~thick & (agree >= SKETCH_LEAST)
+        keys, at, rows = np.unique(group, return_inverse=True, return_counts=True)
+        mean = total / np.maximum(rows[at] - 1, 1)
+        return pa.RecordBatch.from_arrays([pa.array(tree), pa.array(node), pa.array(ids), pa.array(comp), pa.array(mean), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["tree", "node", "id", "comp", "mean", "sketch"])
+
+    return by_group(groups, "tree node id comp sketch", work, "tree int, node long, id long, comp long, mean double, sketch binary")
+
+
+def candidates(groups: DataFrame) -> DataFrame:
+    """What a group tells, by kind. 0: similar pairs (a, b), a > b, of different components. 1: of groups that have
+    many, the members that are in any instead (a = id, b = component, group)."""
+
+    def work(group, ids, comp, side, sketch):
+        found = []
+        for a, b in _pairs(group):
+            fit = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] == 2))
+            a, b = a[fit], b[fit]
+            fit = (sketch[a] == sketch[b]).sum(1) >= SKETCH_LEAST
             found.append(np.stack([a[fit], b[fit]]))
         a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
         keys, at, rows = np.unique(group, return_inverse=True, return_counts=True)
@@ -209,12 +219,11 @@ def candidates(groups: DataFrame) -> DataFrame:
         many = crowded[at[a]]
         members = np.unique(np.concatenate([a[many], b[many]]))
         a, b = a[~many], b[~many]
-        mean, large = total / np.maximum(rows[at] - 1, 1), np.flatnonzero(side == 3)
-        kinds = np.repeat(np.arange(3, dtype=np.int32), [len(a), len(members), len(large)])
-        rest = lambda x, fill: np.concatenate([np.full(len(a), fill, x.dtype), x[members], x[large]])
-        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(rest(tree, 0)), pa.array(rest(node, 0)), pa.array(rest(group, 0)), pa.array(np.concatenate([ids[a], ids[members], ids[large]])), pa.array(np.concatenate([ids[b], comp[members], comp[large]])), pa.array(rest(mean, 0.0)), pa.array([None] * (len(a) + len(members)) + [x.tobytes() for x in sketch[large]], pa.binary())], names=["kind", "tree", "node", "group", "a", "b", "mean", "sketch"])
+        kinds = np.repeat(np.arange(2, dtype=np.int32), [len(a), len(members)])
+        groups_of = np.concatenate([np.zeros(len(a), group.dtype), group[members]])
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(groups_of), pa.array(np.concatenate([ids[a], ids[members]])), pa.array(np.concatenate([ids[b], comp[members]]))], names=["kind", "group", "a", "b"])
 
-    return by_group(groups, "tree node id comp side sketch", work, "kind int, tree int, node long, group long, a long, b long, mean double, sketch binary")
+    return by_group(groups, "id comp side sketch", work, "kind int, group long, a long, b long")
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
@@ -272,16 +281,25 @@ def confirm_blocks(rows: DataFrame, texts: DataFrame, k: int, percent: int, scra
     return scratch.table(given.mapInArrow(work, "a long, b long"), "near-links")
 
 
-def dense_grid(rows: DataFrame) -> DataFrame:
+def of_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows joined with what ``nodes`` (written, with their sizes n) says of theirs. The nodes with most rows, HEAVY at most,
+    are broadcast, so that the rows of none of them meet in one task."""
+    most = max(LEAF, (nodes.agg(F.sum("n")).first()[0] or 0) // HEAVY)
+    heavy = nodes.where(F.col("n") > most)  # fewer than HEAVY, as all have n rows
+    light = rows.join(F.broadcast(heavy.select("node")), "node", "left_anti").join(nodes.where(F.col("n") <= most), "node")
+    return rows.join(F.broadcast(heavy), "node").unionByName(light)
+
+
+def dense_grid(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (tree, node, id, comp, sketch) of classes that may be similar to dense ones, in groups with sides 0 and 1: in
     each node, all that are not of its most frequent component against all."""
     counts = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
-    nodes = counts.groupBy("node").agg(F.max_by("comp", "n").alias("most"), F.max("n").alias("of_most"), F.sum("n").alias("all")).withColumn("rest", F.col("all") - F.col("of_most")).where("rest > 0")
+    nodes = counts.groupBy("node").agg(F.max_by("comp", "n").alias("most"), F.max("n").alias("of_most"), F.sum("n").alias("n")).withColumn("rest", F.col("n") - F.col("of_most")).where("rest > 0")
     parts = lambda c: F.ceil(F.col(c) / F.lit(GRID)).cast("int")
     own = lambda c: F.pmod(F.xxhash64("id", "node"), parts(c)).cast("int")
-    both, columns = rows.join(nodes, "node"), ["tree", "node", "id", "comp", "sketch"]
-    rest = both.where("comp <> most").select(*columns, F.lit(0).alias("side"), own("rest").alias("i"), F.explode(F.sequence(F.lit(0), parts("all") - 1)).alias("j"))
-    every = both.select(*columns, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), parts("rest") - 1)).alias("i"), own("all").alias("j"))
+    both, columns = of_nodes(rows, scratch.table(nodes, "near-nodes")), ["id", "comp", "sketch", "node"]
+    rest = both.where("comp <> most").select(*columns, F.lit(0).alias("side"), own("rest").alias("i"), F.explode(F.sequence(F.lit(0), parts("n") - 1)).alias("j"))
+    every = both.select(*columns, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), parts("rest") - 1)).alias("i"), own("n").alias("j"))
     return rest.unionByName(every).withColumn("group", F.xxhash64("node", "i", "j"))
 
 
@@ -319,18 +337,15 @@ def confirm_stars(pairs: DataFrame, texts: DataFrame, k: int, percent: int, scra
     return scratch.table(rows.mapInArrow(work, "a long, b long"), "near-links")
 
 
-def blocks_of(rows: DataFrame, sizes: DataFrame, grid: int = 0) -> DataFrame:
+def blocks_of(rows: DataFrame, sizes: DataFrame, grid: bool = False) -> DataFrame:
     """Rows of nodes in blocks of LEAF at the mean, salted by id, each with its block's key (group).
 
-    side: 2 for whole nodes, 3 for blocks of large ones. In nodes of up to ``grid`` rows each block meets each: 0
-    and 1 for two blocks that meet, 2 within a block.
+    side: 2, or, where each block of a node meets each (``grid``), 0 and 1 for two blocks that meet, 2 within a block.
     """
-    parts = F.ceil(F.col("n") / F.lit(LEAF)).cast("int")
-    dealt = rows.join(sizes.select("node", "n"), "node").withColumns({"met": F.col("n") <= grid, "n": parts}).withColumn("met", F.col("met") & (F.col("n") > 1))
+    dealt = of_nodes(rows, sizes.select("node", "n")).withColumn("n", F.ceil(F.col("n") / F.lit(LEAF)).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", "node"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.when(F.col("met"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array("block"))))
-    apart = F.when(F.col("block") < F.col("other"), 0).when(F.col("block") > F.col("other"), 1).otherwise(2)
-    side = F.when(F.col("met"), apart).when(F.col("n") > 1, 3).otherwise(2)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)) if grid else F.col("block"))
+    side = F.when(F.col("block") < F.col("other"), 0).when(F.col("block") > F.col("other"), 1).otherwise(2)
     return dealt.withColumn("group", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))).withColumn("side", side)
 
 
@@ -361,13 +376,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     level = scratch.table(level.join(comps, "id", "left").select(*columns, F.coalesce("component", "id").alias("comp")), "near-level")
     found = []
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        grid = 0 if depth == 1 else WIDE if depth < DEPTH else 1 << 62
-        found.append(scratch.table(candidates(blocks_of(level, sizes, grid)), "near-found"))
-        thick = found[-1].where("kind = 2").select("tree", "node", F.col("a").alias("id"), F.col("b").alias("comp"), "mean", "sketch")
+        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("node", "n")
+        sizes = scratch.table(sizes, "near-sizes")
+        most = LEAF if depth == 1 else WIDE if depth < DEPTH else 1 << 62  #: rows of a node whose rows all meet
+        found.append(scratch.table(candidates(blocks_of(level, sizes.where(F.col("n") <= most), grid=True)), "near-found"))
+        thick = scratch.table(agreement(blocks_of(level, sizes.where(F.col("n") > most))), "near-thick")
         if thick.isEmpty():
             break
-        found.append(scratch.table(candidates(dense_grid(thick.where(F.col("mean") >= NEARLY))), "near-found"))
+        dense = thick.where(F.col("mean") >= NEARLY)
+        if depth == 1:  # two similar classes share a node there in four of five trees at least
+            dense = dense.where(F.col("tree") < DENSE_TREES)
+        found.append(scratch.table(candidates(dense_grid(dense, scratch)), "near-found"))
         level = scratch.table(next_level(thick.where(F.col("mean") < DENSE), classes), "near-level")
 
     found = reduce(DataFrame.union, found)
