@@ -47,6 +47,7 @@ DENSE_TREES = 8  #: trees in which the dense classes of the first level are comp
 HEAVY = 10_000  #: nodes that are broadcast at most
 SKETCH_LEAST = 16  #: of 32 coordinates; a pair of similarity 0.8 has fewer in 3 of a million cases
 STAR = 512  #: members of a star that are confirmed in one group
+FEW = 100_000  #: classes met late whose texts are picked by a broadcast of their keys; for more of them, all texts are shuffled
 _RNG = np.random.Generator(np.random.PCG64(77))
 _MUL = _RNG.integers(1 << 31, size=SIGNATURE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(1 << 32, size=SIGNATURE, dtype=np.uint32)
@@ -349,6 +350,13 @@ def blocks_of(rows: DataFrame, sizes: DataFrame, grid: bool = False) -> DataFram
     return dealt.withColumn("group", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))).withColumn("side", side)
 
 
+def texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, few: bool = False) -> DataFrame:
+    """id and text of the classes in ``ids``; docs: rep, text_hash, text. Where they are ``few``, no document is shuffled."""
+    own = classes.select("id", "rep", "text_hash")
+    keys = F.broadcast(own.join(F.broadcast(ids), "id")) if few else own.join(ids, "id").hint("shuffle_hash")
+    return docs.join(keys, ["rep", "text_hash"]).select("id", "text")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept: one row per row of docs."""
     scratch = Scratch(docs.sparkSession)
@@ -358,13 +366,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = alive.join(reps, "digest").where("id = rep.id and text_hash = rep.text_hash").dropDuplicates(["digest"])
     classes = scratch.table(classes.select(F.monotonically_increasing_id().alias("id"), "digest", F.col("rep.id").alias("rep"), "text_hash", "signature"), "near-classes")
     base = docs.select(F.col(id_col).cast("long").alias("rep"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    texts_of = lambda ids: base.join(classes.select("id", "rep", "text_hash").join(ids, "id").hint("shuffle_hash"), ["rep", "text_hash"]).select("id", "text")
 
     # Links to the most similar class of a block, in a few trees; their components.
     level = scratch.table(first_level(classes), "near-level")
     sizes = scratch.table(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
     close = scratch.table(nearest(blocks_of(level, sizes).withColumn("whole", (F.col("n") == 1).cast("int"))), "near-close")
-    texts = scratch.table(texts_of(close.select("id").distinct()), "near-texts")
+    texts = scratch.table(texts_of(base, classes, close.select("id").distinct()), "near-texts")
     first = close.where(F.col("tree") < FIRST).select(F.greatest("id", "partner").alias("a"), F.least("id", "partner").alias("b")).distinct()
     links = [confirm_stars(first, texts, k, percent, scratch)]
     comps = components(links[0])
@@ -395,8 +402,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     known = texts.select("id")
     more = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(blocks.select("id")).distinct().join(known, "id", "left_anti")
     more = scratch.table(more, "near-more")
-    if not more.isEmpty():
-        texts = scratch.table(texts.unionByName(texts_of(more)), "near-texts")
+    if late := more.count():
+        texts = texts.unionByName(scratch.table(texts_of(base, classes, more, few=late <= FEW), "near-texts"))
     links += [confirm_stars(pairs, texts, k, percent, scratch), confirm_blocks(blocks, texts, k, percent, scratch)]
     comps = components(reduce(DataFrame.union, links))
 

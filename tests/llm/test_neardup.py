@@ -123,3 +123,25 @@ def test_one_id_with_different_texts(documents):
     # One row of id 5 stays; the copy of its other text does, too.
     kept = {r.doc_id: r.text for r in nd.without_near_duplicates(docs, k=2).collect()}
     assert kept.keys() == {5, 11, 13, 17} | ({9} if kept[5] == a else {7})
+
+
+def test_few_late_texts_are_not_shuffled(documents, rows, monkeypatch):
+    """Texts of classes that are met late come without a shuffle of all documents. Blocks of large nodes, which only seek first
+    links, miss half of the classes here."""
+    for name, value in (("LEAF", 2), ("FIRST", 1)):
+        monkeypatch.setattr(nd, name, value)
+    seen, texts_of, nearest = [], nd.texts_of, nd.nearest
+    monkeypatch.setattr(nd, "nearest", lambda groups: nearest(groups).where("whole = 1 or id % 2 = 0"))
+
+    def watched(docs, classes, ids, few=False):
+        both = [texts_of(docs, classes, ids, x) for x in (few, not few)]
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in both]
+        seen.append((few, ["Exchange hashpartitioning" in p for p in plans], len({tuple(sorted(map(tuple, x.collect()))) for x in both}), both[0].count()))
+        return both[0]
+
+    monkeypatch.setattr(nd, "texts_of", watched)
+    got = nd.near_duplicates(documents([(i, t, "s") for i, t in rows]), k=2)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute(rows, 2)
+    first, late = seen
+    assert (first[0], first[2]) == (False, 1)
+    assert late[:3] == (True, [False, True], 1) and late[3] > 0
