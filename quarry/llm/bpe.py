@@ -7,7 +7,8 @@ piece's leftmost pair of least rank until no pair of the piece merges. As a recu
 of all its rounds, it stops after so many that these are at most ``ROWS`` and goes on from its last round
 alone, in memory that grows with the longest piece, not with its rounds; beyond that DuckDB spills. Decoding joins ids with the
 vocabulary and concatenates in order of position. The ids of each distinct piece, one or many, are so
-decoded; those of a text decode to its pieces' bytes in order. Pieces seen before come from a bounded memo.
+decoded; those of a text decode to its pieces' bytes in order. Pieces seen before come from a bounded memo,
+where a piece is found, too, that was a chunk of its own.
 
 Texts are first cut into chunks (an optional space and a run of non-space, or white space), a cut that
 every match of the tokenizer pattern respects, so that the pattern runs once per distinct chunk.
@@ -113,11 +114,10 @@ WITH RECURSIVE step(g, tok, round) AS (
 SELECT * FROM step WHERE round < 0 OR round = $rounds
 """
 
-#: The pieces that have come to their end, their ids in order, and these decoded.
+#: The tokens of the pieces that have come to their end, in order: id and a space, and what the id decodes to.
 FINISH = """
-SELECT piece, array_to_string(ids, ' ') AS ids, array_to_string(hex, '') AS hex
-FROM (SELECT s.g >> 32 AS piece, list(s.tok ORDER BY s.g) AS ids, list(v.hex ORDER BY s.g) AS hex
-      FROM steps s JOIN vocabulary v ON v.id = s.tok WHERE s.round < 0 GROUP BY 1)
+SELECT s.g >> 32 AS piece, s.tok || ' ' AS ids, unhex(v.hex) AS bytes
+FROM steps s JOIN vocabulary v ON v.id = s.tok WHERE s.round < 0 ORDER BY s.g
 """
 
 DECODE = """
@@ -150,6 +150,13 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({"pair": pa.array(keys, pa.int64()), "merged": column(merged), "firm": column(firm), "low": column(low), "high": column(high)})
 
 
+def joined(column: pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
+    """The values of a column one after another, and where each begins and the last ends."""
+    values = pa.concat_arrays(c.cast(pa.large_binary()) for c in column.chunks)
+    _, at, data = values.buffers()
+    return data.to_pybytes(), np.frombuffer(at, np.int64)[values.offset : values.offset + len(values) + 1]
+
+
 class Codec:
     """Encoder and decoder of one worker process, over one rank file."""
 
@@ -213,8 +220,14 @@ class Codec:
                 fill = lambda x: x.replace("$rounds", str(rounds)).replace("$free", str(free))  # noqa: B023, E731
                 self.con.execute(f"CREATE OR REPLACE TABLE steps AS {fill(query)}")
                 got = self.con.sql(fill(FINISH)).to_arrow_table()
-                for piece, ids, text in zip(*(got[c].to_numpy().tolist() for c in ("piece", "ids", "hex")), strict=True):
-                    out[part[piece]] = (ids, bytes.fromhex(text))
+                if got.num_rows:
+                    piece = got["piece"].to_numpy()
+                    first = np.flatnonzero(np.diff(piece, prepend=-1))
+                    (ids, ids_at), (text, text_at) = joined(got["ids"]), joined(got["bytes"])
+                    cuts = [at[np.append(first, len(piece))].tolist() for at in (ids_at, text_at)]
+                    ids = ids.decode()
+                    for k, i in enumerate(piece[first].tolist()):
+                        out[part[i]] = (ids[cuts[0][k] : cuts[0][k + 1] - 1], text[cuts[1][k] : cuts[1][k + 1]])
                 self.con.execute(f"CREATE OR REPLACE TABLE start AS SELECT g, tok FROM steps WHERE round = {rounds}")
                 n = self.con.sql("SELECT count(*) AS n FROM start").to_arrow_table()["n"][0].as_py()
             if more:
@@ -276,6 +289,13 @@ class Codec:
             spaced += words[1:]
         return firsts, spaced
 
+    def remembered(self, piece: str) -> tuple[str, bytes] | None:
+        """What the memo has of a piece that was a chunk of its own."""
+        for ids, bytes_, key in ((self.ids, self.bytes, piece), *([(self.spaced_ids, self.spaced_bytes, piece[1:])] * (piece[0] == " "))):
+            if key in ids and self.pattern.match(piece).end() == len(piece):
+                return ids[key], bytes_[key]
+        return None
+
     def learn(self, texts: list[str], most: int) -> None:
         """Puts every chunk of the texts into the memo, which is emptied first if it holds over ``most``."""
         if len(self.ids) + len(self.spaced_ids) > most:
@@ -292,8 +312,9 @@ class Codec:
         new_spaced.difference_update(self.spaced_ids)
         split = {c: self.pattern.findall(c) for c in new}
         spaced = {c: self.pattern.findall(" " + c) for c in new_spaced}
-        todo = list({p for of in (split, spaced) for ps in of.values() for p in ps})
-        known = dict(zip(todo, self.encode_pieces([p.encode() for p in todo]), strict=True))
+        known = {p: self.remembered(p) for of in (split, spaced) for ps in of.values() for p in ps}
+        todo = [p for p, found in known.items() if not found]
+        known |= zip(todo, self.encode_pieces([p.encode() for p in todo]), strict=True)
         for of, ids, bytes_ in ((split, self.ids, self.bytes), (spaced, self.spaced_ids, self.spaced_bytes)):
             for c, ps in of.items():
                 if len(ps) == 1:

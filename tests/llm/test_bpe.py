@@ -120,3 +120,17 @@ def test_decodes_by_id():
     own.con.execute(f"UPDATE vocabulary SET hex = '{b'other'.hex()}' WHERE id = {the}")
     own.learn(["in the"], bpe.MEMO)
     assert own.run("in the") == (f"{own.ranks[b'in']} {the}", b"inother")
+
+
+def test_known_pieces_are_not_encoded_again(monkeypatch, reference):
+    """A piece that was a chunk of its own comes from the memo, with or without a space before it."""
+    own = bpe.Codec(bpe.read_ranks(rank_file()), public_tokenizers.PATTERN)
+    text = "qzorblex\n  wzzyxq thnterreed it's 12345 \u3000x"
+    own.learn([text], bpe.MEMO)
+    encoded, encode_pieces = [], own.encode_pieces
+    monkeypatch.setattr(own, "encode_pieces", lambda pieces: encoded.extend(pieces) or encode_pieces(pieces))
+    for text in ("qzorblex, thnterreed! 'wzzyxq it's12345 .", "(qzorblex) thnterreed\n\n wzzyxq's  x"):
+        own.learn([text], bpe.MEMO)
+        assert own.run(text) == (" ".join(map(str, reference.encode_ordinary(text))), text.encode())
+    assert not {b"qzorblex", b" thnterreed"} & set(encoded)
+    assert encoded
