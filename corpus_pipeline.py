@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256. A small memo: the stages before have filled the executors' heaps."""
-    return bpe.encode(docs, rank_file(), public_tokenizers.PATTERN, digests=True, memo=250_000)
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256. A small memo and small runs: the stages before have filled the executors' heaps."""
+    return bpe.encode(docs, rank_file(), public_tokenizers.PATTERN, digests=True, memo=250_000, part=8)
 
 
 STAGES = [("toxicity", remove_toxic), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mix_sources), ("bpe", tokenize)]

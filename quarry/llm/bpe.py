@@ -15,7 +15,7 @@ every match of the tokenizer pattern respects, so that the pattern runs once per
 
 Defined cases: a null text encodes as the empty text (no ids, decodes to nothing); special tokens are
 ordinary text; an empty table gives no rows; repeated rows repeat; columns beside id and text are
-ignored. Texts are whole however long; memory holds one run of texts (``RUN_CHARS`` or one text).
+ignored. Texts are whole however long; memory holds one run of texts (``RUN_CHARS``, a part of it, or one text).
 """
 
 from __future__ import annotations
@@ -170,6 +170,7 @@ class Codec:
         self._table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks])}))
         self.of_byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         self.prefixes: set[bytes] = set()  # those of the vocabulary, once a long piece is met
+        self.part = 1  #: runs of texts, queries and their rows are so many times smaller: less memory, more time
         self.pattern, self.chunk, self.double = regex.compile(pattern), re.compile(CHUNK), re.compile(f"[{SPACE}][{SPACE}]")
         #: chunk -> its ids joined by a space, their bytes; in ``spaced`` a chunk stands without the space before it.
         self.ids: dict[str, str] = {}
@@ -198,10 +199,11 @@ class Codec:
             out[i] = (str(self.ranks[pieces[i]]), text)
         todo = [i for i, p in enumerate(pieces) if p not in self.ranks]
         short = [i for i in todo if len(pieces[i]) <= LONG]
-        runs = [(ENCODE, short[at : at + PIECES]) for at in range(0, len(short), PIECES)]
-        n = LONG_RUN
+        step, most = max(1, PIECES // self.part), LONG_RUN // self.part
+        runs = [(ENCODE, short[at : at + step]) for at in range(0, len(short), step)]
+        n = most
         for i in (i for i in todo if len(pieces[i]) > LONG):
-            if n + len(pieces[i]) > LONG_RUN:
+            if n + len(pieces[i]) > most:
                 runs.append((ENCODE_LONG, []))
                 n = 0
             runs[-1][1].append(i)
@@ -216,7 +218,7 @@ class Codec:
                 self.con.execute(f"SET memory_limit = '{MEMORY + more}B'")
             n = len(data)
             while n:  # a run of rounds after another, each from the last round of the one before
-                rounds = max(1, ROWS // n)
+                rounds = max(1, ROWS // self.part // n)
                 fill = lambda x: x.replace("$rounds", str(rounds)).replace("$free", str(free))  # noqa: B023, E731
                 self.con.execute(f"CREATE OR REPLACE TABLE steps AS {fill(query)}")
                 got = self.con.sql(fill(FINISH)).to_arrow_table()
@@ -268,8 +270,9 @@ class Codec:
     def decode_lists(self, lists: list[list[int]]) -> list[bytes]:
         """Bytes of each list of ids, by an ordered aggregation over token-position rows."""
         out = [b""] * len(lists)
-        for at in range(0, len(lists), 4 * PIECES):
-            part = lists[at : at + 4 * PIECES]
+        step = max(1, 4 * PIECES // self.part)
+        for at in range(0, len(lists), step):
+            part = lists[at : at + step]
             sizes = np.array([len(x) for x in part])
             flat = np.fromiter((i for x in part for i in x), np.int32, int(sizes.sum()))
             self._table("ids", pa.table({"seq": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": np.arange(len(flat), dtype=np.int64), "id": flat}))
@@ -341,22 +344,25 @@ class Codec:
         return " ".join(ids), b"".join(out)
 
 
-def runs(texts: pa.Array) -> Iterator[list[str]]:
-    """The texts in runs of RUN_CHARS; null as the empty text."""
+def runs(texts: pa.Array, part: int = 1) -> Iterator[list[str]]:
+    """The texts in runs of RUN_CHARS, or a part of that; null as the empty text."""
     run: list[str] = []
     n = 0
     for t in texts:
         run.append(t.as_py() or "")
         n += len(run[-1])
-        if n >= RUN_CHARS:
+        if n >= RUN_CHARS // part:
             yield run
             run, n = [], 0
     if run:
         yield run
 
 
-def encode(docs: DataFrame, content: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, lists: bool = True, memo: int = MEMO) -> DataFrame:
-    """id, n_tokens and, with ``lists``, ids (array<int>) and, with ``digests``, the SHA-256 of the joined ids and of the decoded bytes."""
+def encode(docs: DataFrame, content: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, lists: bool = True, memo: int = MEMO, part: int = 1) -> DataFrame:
+    """id, n_tokens and, with ``lists``, ids (array<int>) and, with ``digests``, the SHA-256 of the joined ids and of the decoded bytes.
+
+    Neither ``memo`` nor ``part`` (see Codec) changes a result, only the memory and time that it takes.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
     extra = [("ids", "array<int>", pa.list_(pa.int32()))] * lists + [("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())] * digests
     schema = f"`{id_col}` {id_type}, n_tokens long, " + ", ".join(f"{name} {kind}" for name, kind, _ in extra)
@@ -364,9 +370,10 @@ def encode(docs: DataFrame, content: bytes, pattern: str, id_col: str = "doc_id"
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()
         codec = Codec.get(content, pattern)
+        codec.part = part
         for batch in batches:
             at = 0
-            for run in runs(batch.column(1)):  # a batch out for each run, so that only one is held
+            for run in runs(batch.column(1), part):  # a batch out for each run, so that only one is held
                 codec.learn(run, memo)
                 n, cols = [], [[] for _ in extra]
                 for text in run:
