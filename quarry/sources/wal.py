@@ -12,7 +12,8 @@ import struct
 import time
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -66,55 +67,86 @@ class FilePartition(InputPartition):
         self.instance, self.bucket, self.path, self.offset, self.start, self.end = instance, bucket, path, offset, start, end
 
 
+class FilesPartition(InputPartition):
+    """Several of them, read by one task one after the other: a task costs far more than a small file does."""
+
+    def __init__(self, parts: list[FilePartition]):
+        self.parts = parts
+
+
+def _grouped(parts: Iterable[tuple[FilePartition, int]], limit: int) -> list[FilesPartition]:
+    """Parts, each with its cost, in order, in groups of up to ``limit``; one that costs more stands alone."""
+    out, group, held = [], [], 0
+    for part, cost in parts:
+        if group and held + cost > limit:
+            out.append(FilesPartition(group))
+            group, held = [], 0
+        group.append(part)
+        held += cost
+    return [*out, FilesPartition(group)]
+
+
 class FramesReader(DataSourceReader):
-    """Partitions of whole blocks, up to SPLIT bytes of a file; a task holds one block at a time and gives Arrow batches.
+    """Pieces of whole blocks, up to SPLIT bytes of a file, those of small files in groups of GROUP bytes, so that tasks grow
+    with the bytes and not with the files; a task holds one block and a batch of BATCH bytes at a time and gives Arrow batches.
 
     mode: DROPMALFORMED (default), PERMISSIVE (invalid frames as rows), FAILFAST. range: all, or recovery (files whose
     upload is behind; from upload to read position). bucket, file and block: only these are listed and read, to scan a
     single block again.
     """
 
-    SPLIT = 64 << 20
+    SPLIT, GROUP, OPEN, BATCH = 64 << 20, 16 << 20, 64 << 10, 1 << 20  #: OPEN: what opening a file counts as, at least
 
     def __init__(self, options: dict):
         self.root, self.block_bytes = options["path"], int(options["block_bytes"])
         self.mode, self.range = options.get("mode", "DROPMALFORMED").upper(), options.get("range", "all")
         self.bucket, self.file, self.block = options.get("bucket"), options.get("file"), options.get("block")
 
-    def partitions(self) -> list[FilePartition]:
+    def partitions(self) -> list[FilesPartition]:
         out, step = [], max(1, self.SPLIT // self.block_bytes) * self.block_bytes
         for instance, bucket, path, offset, size in _files(self.root):
             if self.bucket not in (None, bucket) or (self.file is not None and int(self.file) != offset):
                 continue
             if self.block is not None:
-                out.append(FilePartition(instance, bucket, path, offset, int(self.block) * self.block_bytes, (int(self.block) + 1) * self.block_bytes))
+                out.append((FilePartition(instance, bucket, path, offset, int(self.block) * self.block_bytes, (int(self.block) + 1) * self.block_bytes), self.block_bytes))
                 continue
-            out += [FilePartition(instance, bucket, path, offset, at, at + step) for at in range(0, size - FILE_HEADER_BYTES, step)]
-        return out or [FilePartition("", "", "", -1)]
+            out += [(FilePartition(instance, bucket, path, offset, at, at + step), max(self.OPEN, min(step, size - FILE_HEADER_BYTES - at))) for at in range(0, size - FILE_HEADER_BYTES, step)]
+        return _grouped(out, self.GROUP)
 
-    def read(self, partition: FilePartition):
+    def read(self, partition: FilesPartition):
         import pyarrow as pa
 
-        if partition.offset < 0:
-            return
         kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
         names = ["instance", "bucket", "file_from_offset", "block_index", "wal_pos", "len", "crc", "payload", "valid"]
+        rows, held = [], 0
+        for of_block, size in self._blocks(partition):
+            rows += of_block
+            held += size
+            if held >= self.BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def _blocks(self, partition: FilesPartition) -> Iterator[tuple[list[tuple], int]]:
+        """The rows of each block that has any, and its bytes."""
         fs, _ = open_root(self.root)
-        with fs.open_input_file(partition.path) as f:
-            read, upload, _ = struct.unpack_from("<qqq", f.read_at(FILE_HEADER_BYTES, 0))
-            start, end = partition.start, min(partition.end, f.size() - FILE_HEADER_BYTES)
-            if self.range == "recovery":
-                start, end = max(start, upload), min(end, read)
-            for at in range(start - start % self.block_bytes, end, self.block_bytes):
-                body = f.read_at(min(self.block_bytes, end - at), FILE_HEADER_BYTES + at)
-                rows = []
-                for _, pos, size, crc, payload, ok in frames_of(body, max(0, start - at), len(body), self.block_bytes):
-                    if not ok and self.mode == "FAILFAST":
-                        raise ValueError(f"invalid frame at {partition.path}, block {at // self.block_bytes}, {pos}")
-                    if ok or self.mode == "PERMISSIVE":
-                        rows.append((partition.instance, partition.bucket, partition.offset, at // self.block_bytes, pos, size, crc, payload, ok))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        for p in partition.parts:
+            with fs.open_input_file(p.path) as f:
+                read, upload, _ = struct.unpack_from("<qqq", f.read_at(FILE_HEADER_BYTES, 0))
+                start, end = p.start, min(p.end, f.size() - FILE_HEADER_BYTES)
+                if self.range == "recovery":
+                    start, end = max(start, upload), min(end, read)
+                for at in range(start - start % self.block_bytes, end, self.block_bytes):
+                    body = f.read_at(min(self.block_bytes, end - at), FILE_HEADER_BYTES + at)
+                    rows = []
+                    for _, pos, size, crc, payload, ok in frames_of(body, max(0, start - at), len(body), self.block_bytes):
+                        if not ok and self.mode == "FAILFAST":
+                            raise ValueError(f"invalid frame at {p.path}, block {at // self.block_bytes}, {pos}")
+                        if ok or self.mode == "PERMISSIVE":
+                            rows.append((p.instance, p.bucket, p.offset, at // self.block_bytes, pos, size, crc, payload, ok))
+                    if rows:
+                        yield rows, len(body)
 
 
 class FilesWritten(WriterCommitMessage):
@@ -164,9 +196,9 @@ class FramesWriter(DataSourceWriter):
 
     def commit(self, messages) -> None:
         fs, _ = open_root(self.root)
-        for m in messages:
-            for a, b in m.moves if m else ():
-                fs.move(a, b)
+        with ThreadPoolExecutor(16) as pool:
+            for _ in pool.map(lambda x: fs.move(*x), [x for m in messages if m for x in m.moves]):
+                pass
 
     def abort(self, messages) -> None:
         fs, _ = open_root(self.root)
@@ -191,17 +223,21 @@ class WalFrames(DataSource):
 
 
 class HeadersReader(DataSourceReader):
+    """The headers of up to GROUP files in a task."""
+
+    GROUP = 256
+
     def __init__(self, options: dict):
         self.root = options["path"]
 
-    def partitions(self) -> list[FilePartition]:
-        return [FilePartition(*f[:4]) for f in _files(self.root)] or [FilePartition("", "", "", -1)]
+    def partitions(self) -> list[FilesPartition]:
+        return _grouped(((FilePartition(*f[:4]), 1) for f in _files(self.root)), self.GROUP)
 
-    def read(self, partition: FilePartition):
-        if partition.offset >= 0:
-            fs, _ = open_root(self.root)
-            with fs.open_input_file(partition.path) as f:
-                yield partition.instance, partition.bucket, partition.offset, *struct.unpack("<qqq", f.read(24))
+    def read(self, partition: FilesPartition):
+        fs, _ = open_root(self.root)
+        for p in partition.parts:
+            with fs.open_input_file(p.path) as f:
+                yield p.instance, p.bucket, p.offset, *struct.unpack("<qqq", f.read(24))
 
 
 def move_positions(root: str, instance: str, bucket: str, file: int, read: int | None = None, upload: int | None = None) -> tuple[int, int]:
@@ -283,9 +319,11 @@ class BucketMetaReader(DataSourceReader):
         from pyarrow import fs as pafs
 
         fs, path = open_root(self.root)
-        for f in fs.get_file_info(pafs.FileSelector(path, recursive=True, allow_not_found=True)):
+        folders = lambda at: [f.path for f in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)) if f.type == pafs.FileType.Directory]
+        found = fs.get_file_info([f"{bucket}/bucketMeta" for instance in folders(path) for bucket in folders(instance)])
+        for f in found:  # no log file is listed for it
             parts = f.path[len(path) :].strip("/").split("/")
-            if len(parts) != 3 or parts[2] != "bucketMeta":
+            if f.type != pafs.FileType.File:
                 continue
             with fs.open_input_file(f.path) as opened:
                 data = opened.read()

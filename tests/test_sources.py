@@ -151,3 +151,32 @@ def test_store_options():
     assert got["spark.hadoop.fs.s3a.endpoint"] == "http://store:9000" and got["spark.hadoop.fs.s3a.path.style.access"] == "false"
     with pytest.raises(ValueError):
         ob.store_options("a", " ", "http://store:9000")
+
+
+def test_small_files_share_tasks(tmp_path):
+    """Tasks grow with the bytes of a log, not with its files: 300 files are read whole by two."""
+    from collections import namedtuple
+
+    row = namedtuple("row", "bucket file_from_offset block_index wal_pos payload sealed")
+    writer = wal.FramesWriter({"path": str(tmp_path), "instance": "i", "block_bytes": BLOCK, "file_bytes": FILE})
+    writer.commit([writer.write(row("b", k * FILE, k % 2, 0, b"%d" % k, False) for k in range(300)), None])
+    frames, heads = wal.FramesReader({"path": str(tmp_path), "block_bytes": BLOCK}), wal.HeadersReader({"path": str(tmp_path)})
+    assert len(frames.partitions()) == 2 and len(heads.partitions()) == 2
+    got = [r for p in frames.partitions() for b in frames.read(p) for r in b.to_pylist()]
+    assert [(r["file_from_offset"], r["block_index"], r["payload"]) for r in got] == [(k * FILE, k % 2, b"%d" % k) for k in range(300)]
+    assert [r[2:5] for p in heads.partitions() for r in heads.read(p)] == [(k * FILE, k % 2 * BLOCK + 16, 0) for k in range(300)]
+    frames.GROUP = 0
+    assert len(frames.partitions()) == 300
+    empty = wal.FramesReader({"path": f"{tmp_path}/none", "block_bytes": BLOCK})
+    assert [b for p in empty.partitions() for b in empty.read(p)] == []
+
+
+def test_a_batch_ends_where_it_is_full(tmp_path):
+    from collections import namedtuple
+
+    row = namedtuple("row", "bucket file_from_offset block_index wal_pos payload sealed")
+    writer = wal.FramesWriter({"path": str(tmp_path), "instance": "i", "block_bytes": BLOCK, "file_bytes": FILE})
+    writer.commit([writer.write(row("b", 0, k // 2, k % 2 * 32, bytes(20), True) for k in range(4))])
+    frames = wal.FramesReader({"path": str(tmp_path), "block_bytes": BLOCK})
+    frames.BATCH = BLOCK
+    assert [b.num_rows for p in frames.partitions() for b in frames.read(p)] == [2, 2]
