@@ -282,9 +282,9 @@ def write_log(spark, sf_dir, upload_position: int = 0) -> str:
     """Writes the documents' log files; returns their root."""
     root = new_path(spark, "wal")
     wal.register(spark)
-    rows = materialize(with_payload(roll_files(pack(doc_records(spark, sf_dir), B, ["seq"]), B, W).where("status = 'PUT_OK'"), spark, sf_dir), "wal-rows")
-    last = rows.groupBy("bucket").agg(F.max("block").alias("last_block"))
-    rows = rows.join(last, "bucket").select("bucket", "file_from_offset", "block_index", F.col("wal_pos").cast("int").alias("wal_pos"), "payload", (F.col("block") < F.col("last_block")).alias("sealed"))
+    placed = materialize(roll_files(pack(doc_records(spark, sf_dir), B, ["seq"]), B, W).where("status = 'PUT_OK'"), "wal-rows")
+    last = placed.groupBy("bucket").agg(F.max("block").alias("last_block"))
+    rows = with_payload(placed.join(last, "bucket"), spark, sf_dir).select("bucket", "file_from_offset", "block_index", F.col("wal_pos").cast("int").alias("wal_pos"), "payload", (F.col("block") < F.col("last_block")).alias("sealed"))
     rows = rows.repartition("bucket", "file_from_offset").sortWithinPartitions("bucket", "file_from_offset", "block_index", "wal_pos")
     rows.write.format("wal_frames").mode("append").options(instance=INSTANCE, block_bytes=B, file_bytes=W, upload_position=upload_position).save(root)
     return root
