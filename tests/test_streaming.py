@@ -50,3 +50,41 @@ def test_uploads_over_micro_batches(spark, tmp_path):
     assert {(r.bucket, r.file_from_offset, r.block_index): stored[r.s3_key] for r in acks} == want
     assert sorted(r.bucket for r in acks if r.sealed_by == "CLOSE") == ["a", "b"]
     assert {r.sealed_by for r in acks} == {"SIZE", "IDLE", "CLOSE"}
+
+
+def test_a_large_group_is_placed_in_pieces(monkeypatch):
+    """A group of many runs leaves in frames of a few runs at most, with the places of one frame of all its rows."""
+    import numpy as np
+    import pandas as pd
+
+    from quarry.streaming import runs
+
+    rng = np.random.default_rng(3)
+    n = 5_000
+    rows = pd.DataFrame({"seq": rng.permutation(n), "ts": pd.to_datetime(rng.integers(0, 900, n) * 7, unit="s"), "len": rng.integers(1, 40, n).astype(float)})
+    rows.loc[rng.random(n) < 0.05, "len"] = np.nan
+    rows["framed_size"] = (rows["len"] + 15) // 4 * 4
+    rows["status"] = np.where(rows["len"].isna() | (rows["framed_size"] > 48), "INVALID_ARGUMENT", "PUT_OK")
+    rows["payload"] = [None if x != x else bytes([k % 251]) * int(x) for k, x in enumerate(rows["len"])]
+
+    class State:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = lambda self, x: setattr(self, "value", x)
+
+    def placed(idle):
+        packer = st.Packer(128, idle, payload=True)
+        packer.state = State()
+        frames = [*packer.handleInputRows(("a",), (rows[k : k + 300] for k in range(0, n, 300)), None)]
+        return frames, packer.state.value
+
+    for idle in (None, 6_000_000):
+        (whole,), end = placed(idle)
+        with monkeypatch.context() as m:
+            for name, value in (("RUN_ROWS", 64), ("RUN_BYTES", 4_000), ("FAN", 4)):
+                m.setattr(runs, name, value)
+            parts, same = placed(idle)
+        assert max(map(len, parts)) <= 64 * 12 and same == end  # FAN runs of each of three levels
+        assert whole[["ts", "seq"]].equals(whole[["ts", "seq"]].sort_values(["ts", "seq"])) and len(whole) == n
+        pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), whole, check_dtype=False)
