@@ -22,13 +22,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.frames import MAX_BLOCKS_PER_FILE, framed_size, power_of_two
 from quarry.plans.shared import materialize
 
-CHUNK_ROWS, FAN = 1_000_000, 64
+CHUNK_ROWS, FAN = 250_000, 64
 
 
 def with_status(records: DataFrame, block_bytes: int) -> DataFrame:
@@ -107,6 +109,7 @@ class Outcome(NamedTuple):
 
 NONE = np.empty(0, np.int64)
 OUTCOME = "chunk long, first string, last string, single boolean, least binary, blocks binary, used binary, total long, fresh_blocks long, fresh_used long, first_ts long, last_ts long"
+OUTCOME_TYPES = pa.schema({name: {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}[kind] for name, kind in (x.split() for x in OUTCOME.split(", "))})
 STATE = "chunk long, known boolean, block long, used long, ts long"
 
 
@@ -159,6 +162,14 @@ def _states(level: DataFrame, n: int, idle_us: int | None) -> DataFrame:
     return level.withColumn("g", group).join(above, "g").groupBy("g").applyInPandas(follow, STATE)
 
 
+def _in_order(part: pa.Table, order: list[str]) -> tuple[pa.Table, list[int]]:
+    """The rows by (bucket, *order), and where each bucket begins, then their number."""
+    keys = ["bucket", *order]
+    part = part.take(pc.sort_indices(part.select(keys), sort_keys=[(k, "ascending") for k in keys], null_placement="at_end"))
+    code = pc.fill_null(part["bucket"].combine_chunks().dictionary_encode().indices, -1).to_numpy()
+    return part, [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+
+
 def _transitions(sizes: np.ndarray, cut: np.ndarray, block_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The table of an Outcome: where the first new block opens (record k, n for none) settles what follows."""
     n = len(sizes)
@@ -197,16 +208,15 @@ def pack(records: DataFrame, block_bytes: int, order: list[str], idle_us: int |
     dealt = good.repartitionByRange(chunks, "bucket", *order).withColumn("chunk", F.spark_partition_id().cast("long"))
     dealt = materialize(dealt, "pack-chunks")
 
-    def stamps(part: pd.DataFrame) -> np.ndarray | None:
-        return part[order[0]].to_numpy().astype("datetime64[us]").astype(np.int64) if idle_us is not None else None
+    def stamps(part: pa.Table) -> np.ndarray | None:
+        return pc.fill_null(part[order[0]].cast(pa.int64()), np.iinfo(np.int64).min).to_numpy() if idle_us is not None else None
 
-    def survey(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["bucket", *order], kind="stable")
-        bucket = part["bucket"].to_numpy()
-        own = part[bucket == bucket[-1]]
+    def survey(part: pa.Table) -> pa.Table:
+        part, edges = _in_order(part, order)
+        own = part.slice(edges[-2])
         sizes, ts = own["framed_size"].to_numpy(), stamps(own)
-        cut = gaps(ts, idle_us, len(own))
-        single = len(own) == len(part)
+        cut = gaps(ts, idle_us, len(sizes))
+        single = len(edges) == 2
         table = _transitions(sizes, cut, block_bytes) if single else (NONE, NONE, NONE)
         # coming in fresh: as if the first record opened a block
         after = next_opening(sizes, cut, block_bytes)
@@ -214,20 +224,20 @@ def pack(records: DataFrame, block_bytes: int, order: list[str], idle_us: int |
         while after[at] < len(sizes):
             at, g = int(after[at]), g + 1
         times = (int(ts[0]), int(ts[-1])) if ts is not None else (0, 0)
-        return pd.DataFrame([_row(int(part["chunk"].iloc[0]), Outcome(bucket[0], bucket[-1], single, *table, int(sizes.sum()), g, int(sizes[at:].sum()), *times))])
+        row = _row(part["chunk"][0].as_py(), Outcome(part["bucket"][0].as_py(), own["bucket"][0].as_py(), single, *table, int(sizes.sum()), g, int(sizes[at:].sum()), *times))
+        return pa.Table.from_pylist([row], OUTCOME_TYPES)
 
-    outcomes = materialize(dealt.groupBy("chunk").applyInPandas(survey, OUTCOME), "pack-outcomes")
+    outcomes = materialize(dealt.select("chunk", "bucket", *order, "framed_size").groupBy("chunk").applyInArrow(survey, OUTCOME), "pack-outcomes")
     states = materialize(_states(outcomes, chunks, idle_us), "pack-states")
 
-    def assign(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["bucket", *order], kind="stable").reset_index(drop=True)
-        known, (g0, used, last) = bool(part["__known"].iloc[0]), (int(part[c].iloc[0]) for c in ("__block", "__used", "__ts"))
-        bucket, sizes = part["bucket"].to_numpy(), part["framed_size"].to_numpy()
-        block, pos = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
-        edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(part)]
+    def assign(part: pa.Table) -> pa.Table:
+        known, g0, used, last = (part[c][0].as_py() for c in ("__known", "__block", "__used", "__ts"))
+        part, edges = _in_order(part.select(names), order)
+        sizes = part["framed_size"].to_numpy()
+        block, pos = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         for a, b in zip(edges, edges[1:], strict=False):
             own = sizes[a:b]
-            ts = stamps(part.iloc[a:b])
+            ts = stamps(part.slice(a, b - a))
             cut = gaps(ts, idle_us, b - a)
             after = next_opening(own, cut, block_bytes)
             total = np.concatenate([[0], np.cumsum(own)])
@@ -241,10 +251,10 @@ def pack(records: DataFrame, block_bytes: int, order: list[str], idle_us: int |
                 end = int(after[at])
                 block[a + at : a + end], pos[a + at : a + end] = g, total[at:end] - total[at]
                 at, g = end, g + 1
-        return part[names].assign(block=block, wal_pos=pos)
+        return part.append_column("block", pa.array(block)).append_column("wal_pos", pa.array(pos))
 
     told = dealt.join(states.select("chunk", *(F.col(c).alias(f"__{c}") for c in ("known", "block", "used", "ts"))), "chunk")
-    return told.groupBy("chunk").applyInPandas(assign, schema).unionByName(bad)
+    return told.groupBy("chunk").applyInArrow(assign, schema).unionByName(bad)
 
 
 def roll_files(packed: DataFrame, block_bytes: int, file_bytes: int) -> DataFrame:

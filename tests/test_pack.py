@@ -142,3 +142,19 @@ def test_outcomes_compose():
                     used, last = used + s, t
             blocks, left = whole.after(np.array([come]))
             assert (int(blocks[0]), int(left[0])) == (g, used)
+
+
+def test_chunks_are_small_and_stay_in_arrow(spark, monkeypatch):
+    """A worker holds one chunk, as Arrow columns: 600,000 records are more than one, and rows are never Python objects."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators import pack as module
+
+    tables, real = {}, module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, name: tables.setdefault(name, real(df, name)))
+    rows = spark.range(600_000).select(F.lit("a").alias("bucket"), F.col("id").alias("seq"), F.lit(20).cast("long").alias("len"))
+    got = pack(rows, 64, ["seq"])
+    plan = got._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan and "InPandas" not in plan
+    assert tables["pack-chunks"].groupBy("chunk").count().agg(F.max("count")).first()[0] < 400_000
+    assert got.where((F.col("block") == F.floor(F.col("seq") / 2)) & (F.col("wal_pos") == F.col("seq") % 2 * 32)).count() == 600_000
