@@ -180,3 +180,17 @@ def test_a_batch_ends_where_it_is_full(tmp_path):
     frames = wal.FramesReader({"path": str(tmp_path), "block_bytes": BLOCK})
     frames.BATCH = BLOCK
     assert [b.num_rows for p in frames.partitions() for b in frames.read(p)] == [2, 2]
+
+
+def test_many_files_are_collected_by_few_tasks(spark, tmp_path):
+    from collections import namedtuple
+
+    row = namedtuple("row", "bucket file_from_offset block_index wal_pos payload sealed")
+    writer = wal.FramesWriter({"path": str(tmp_path), "instance": "i", "block_bytes": BLOCK, "file_bytes": FILE, "upload_position": 16})
+    writer.commit([writer.write(row("b", k * FILE, k % 2, 0, b"%d" % k, False) for k in range(300))])  # even ones are uploaded
+    wal.register(spark)
+    heads = spark.read.format("wal_headers").option("path", str(tmp_path)).load()
+    assert heads.rdd.getNumPartitions() == 2
+    assert recover.collect_files(spark, str(tmp_path)) == 150
+    left = spark.read.format("wal_headers").option("path", str(tmp_path)).load()
+    assert sorted(r.file_from_offset for r in left.collect()) == [k * FILE for k in range(1, 300, 2)]
