@@ -88,3 +88,19 @@ def test_a_large_group_is_placed_in_pieces(monkeypatch):
         assert max(map(len, parts)) <= 64 * 12 and same == end  # FAN runs of each of three levels
         assert whole[["ts", "seq"]].equals(whole[["ts", "seq"]].sort_values(["ts", "seq"])) and len(whole) == n
         pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), whole, check_dtype=False)
+
+
+def test_payloads_bound_a_run(monkeypatch):
+    """Large payloads end a run and a piece by their bytes, long before the rows do."""
+    import pandas as pd
+
+    from quarry.streaming import runs
+
+    monkeypatch.setattr(runs, "RUN_BYTES", 64_000)
+    monkeypatch.setattr(runs, "FAN", 8)
+    n = 400
+    rows = pd.DataFrame({"seq": range(n)[::-1], "ts": pd.Timestamp("2024-01-01"), "len": 1_000, "framed_size": 1_012, "status": "PUT_OK", "payload": [bytes([k % 251]) * 1_000 for k in range(n)][::-1]})
+    parts = [*runs.in_order((rows[k : k + 10] for k in range(0, n, 10)), st.INPUT.append(st.PAYLOAD))]
+    assert len(parts) > 3 and max(p["len"].sum() for p in parts) < 3 * 64_000
+    got = pd.concat(parts, ignore_index=True)
+    assert got["seq"].tolist() == [*range(n)] and got["payload"].tolist() == rows["payload"].tolist()[::-1]
